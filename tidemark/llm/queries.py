@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import topk, url_filter
+from .common import materialize, table
 from .line_dedup import line_dedup
+from .mixing import mix, words_in
 from .near_dedup import near_dedup
 from .packing import pack
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .topk import top_k
+from .url_filter import RULES, judge_urls
 
 
 def tokenizer() -> str:
@@ -23,6 +29,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mixing-sizes")
+    return mix(sized)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: ~held_out(doc_id))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -35,9 +61,19 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op7_quality_rules, op8_packing, op9_minhash_near_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup, op2_mixing, op3_url_filters, op6_quality_classifier, op7_quality_rules, op8_packing,
+            op9_minhash_near_dedup, op10_exact_top_k,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": url_filter.SQL, "op10_exact_top_k": topk.SQL}
