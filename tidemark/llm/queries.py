@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import topk, url_filter
 from .common import materialize, table
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix, words_in
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .topk import top_k
@@ -40,6 +42,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
@@ -69,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_line_dedup, op2_mixing, op3_url_filters, op6_quality_classifier, op7_quality_rules, op8_packing,
+            op1_line_dedup, op2_mixing, op3_url_filters, op4_license_scans, op5_pii, op6_quality_classifier, op7_quality_rules, op8_packing,
             op9_minhash_near_dedup, op10_exact_top_k,
         )
     }
