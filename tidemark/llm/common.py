@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
@@ -46,7 +47,7 @@ def width(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = TEXT_BATCH) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = TEXT_BATCH) -> DataFrame:
     """mapInArrow, with f given slices of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,3 @@ def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def with_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns; df may have others, also of clashing names."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -22,6 +22,7 @@ from .common import SPACE, materialize
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SHARDS = 16
+SHARD_WORDS = 16_000_000
 #: Documents of a block, about, and blocks of a source at most.
 BLOCK_DOCS = 2048
 MAX_BLOCKS = 4096
@@ -155,23 +156,23 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, f"(?<=[^{SPACE}])(?=[{SPACE}])", -1), F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix itself: a row of docs for each time it is taken, dealt to shards and shuffled within them.
 
-    A row that is taken in part has the first words of its text. n_chars, where
-    docs has it, follows the text.
+    A row that is taken in part has the first words of its text; n_chars, where
+    docs has it, follows the text. Other columns go through. shards defaults to
+    one for SHARD_WORDS words, and SHARDS at least.
     """
     names = docs.columns
-    sized = docs.select("*", words_in(F.col("text")).alias("size")) if "size" not in names else docs.drop("size").withColumn("size", words_in(F.col("text")))
-    small = materialize(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"), "mixing-sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(F.col("text")).alias("size"), "text", row)
+    small = materialize(sized.select("doc_id", "source", "size"), "mixing-sizes")
+    if shards is None:
+        shards = max(SHARDS, -(-(small.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
     sources, plan = mixing_plan(small, weights, shards, max_repeats, seed)
-    inside = [c for c in sources.columns + plan.columns + ["order", "last_words", "taken", "shards", "copy"] if c not in ("source",)]
-    clash = [c for c in names if c in inside or c == "size"]
-    kept = sized.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in names if c not in ("text",)])).select("doc_id", "source", "size", "text", "row") if clash or "row" not in names else sized
-    placed = planned(kept, sources, plan, seed)
-    copies = placed.select("row", "text", "rounds", "size", "last_words", F.posexplode("shards").alias("copy", "shard"), "doc_id")
+    copies = planned(sized, sources, plan, seed).select("doc_id", "row", "text", "rounds", "size", "last_words", F.posexplode("shards").alias("copy", "shard"))
     part = (F.col("copy") >= F.col("rounds")) & (F.col("last_words") < F.col("size"))
     copies = copies.withColumn("text", F.when(part, first_words(F.col("text"), F.col("last_words"))).otherwise(F.col("text")))
-    mixed = copies.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    mixed = copies.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return mixed.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in names])

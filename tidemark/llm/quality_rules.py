@@ -112,6 +112,25 @@ def measure(text: bytes, ngrams: Sequence[int]) -> tuple:
     return n, total, n_symbols, dup_lines, repeats, dup_chars / total, shares
 
 
+def verdict(text: bytes, limits: dict[int, float], line_limit: float) -> tuple:
+    """The measures of a text, whether it fails the base rule, whether it is kept, and the largest shares."""
+    n, chars, symbols, lines, repeats, line_share, shares = measure(text, tuple(limits))
+    failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+    kept = not failed and line_share <= line_limit and all(shares[k] <= limits[k] for k in limits)
+    return n, chars, symbols, lines, repeats, failed, kept, line_share, max(shares.values(), default=0.0)
+
+
+def quality_filter(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns, in one scan."""
+    limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
+    at = docs.columns.index("text")
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([verdict(t, limits, line_limit)[6] for t in texts_as_bytes(batch.column(at))], pa.bool_()))
+
+    return map_batches(docs, keep, docs.schema)
+
+
 def quality_rules(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """One verdict for each row of docs (doc_id, text; other columns are ignored).
 
@@ -121,12 +140,7 @@ def quality_rules(docs: DataFrame, ngram_limits: dict[int, float] | None = None,
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for text in texts_as_bytes(batch.column(1)):
-            n, chars, symbols, lines, repeats, line_share, shares = measure(text, tuple(limits))
-            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-            kept = not failed and line_share <= line_limit and all(shares[k] <= limits[k] for k in limits)
-            rows.append((n, chars, symbols, lines, repeats, failed, kept, line_share, max(shares.values(), default=0.0)))
+        rows = [verdict(t, limits, line_limit) for t in texts_as_bytes(batch.column(1))]
         columns = list(zip(*rows, strict=True)) or [()] * 9
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [x.split()[0] for x in SCHEMA.split(", ")]
