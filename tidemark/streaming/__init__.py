@@ -1,0 +1 @@
+"""The same rules over streams."""
