@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Directories up to which listing stays on the driver.
 DRIVER_DIRS = 256
@@ -75,7 +76,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                 part = pdf.iloc[at : at + 64]
                 yield part.assign(content=[_content(os.path.join(root, rel)) for rel in part["rel"]])
 
-    return files.mapInPandas(read, files.schema.add("content", "binary"))
+    return files.mapInPandas(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
 
 def _content(path: str) -> bytes | None:
