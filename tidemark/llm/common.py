@@ -14,8 +14,10 @@ from pyspark.sql.types import StructType
 FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
 #: ASCII white space, the separators of a word in most operators.
 SPACE = r"\x20\x09-\x0D"
-#: Rows in one Arrow batch that carries whole texts.
+#: Rows of whole texts that Python works on at a time.
 TEXT_BATCH = 512
+#: Rows in one Arrow batch between the JVM and Python, at most.
+ARROW_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,15 +49,26 @@ def width(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: with Spark's default of 10,000 rows a batch takes tens of MB, in both processes of every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = TEXT_BATCH) -> DataFrame:
-    """mapInArrow, with f given slices of at most so many rows."""
+    """mapInArrow, with f given slices of at most so many rows, under the columns' own names."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                yield f(batch.slice(at, rows))
+                yield f(batch.slice(at, rows).rename_columns(names))
 
-    return df.mapInArrow(run, schema)
+    bounded_batches(df.sparkSession)
+    # By number, as a column's name can have a dot.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

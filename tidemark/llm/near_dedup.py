@@ -10,7 +10,8 @@
 3. Only buckets that still hold several components are looked at again: all of
    their signatures are compared there, in blocks of bounded size, and pairs that
    may be links of different components are verified on the full sets. So every
-   pair that shares a bucket is either compared or already joined.
+   pair that shares a bucket is either compared or already joined. A large bucket
+   is given its texts and verifies on the spot, so no pairs are written for it.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_as_bytes
+from .common import TEXT_BATCH, bounded_batches, map_batches, materialize, texts_as_bytes
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 SLOTS = 128
 BANDS = 32
-#: Slots that must agree before sets are compared; a pair at the threshold has 96 on average, with a deviation of 5.
-LEAST_AGREE = 70
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Slots that must agree before sets are compared; a pair at the threshold has 96 on average, with a deviation of 5 at most.
+LEAST_AGREE = 76
+#: Buckets of more members are compared where their texts are, in blocks of two times BLOCK rows.
+DENSE = 64
+BLOCK = 256
 #: Word hashes that a worker keeps.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: Shingles that are ranked at a time.
 RANKED = 16_384
 
@@ -134,6 +136,11 @@ def likely(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), keep, "a long, b long, agree long", 8192)
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
@@ -143,8 +150,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if last[0] != y:  # rows of one pivot come together
                 last = y, shingle_set(y)
             other, mine = last[1], shingle_set(x)
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            kept.append(both > 0 and 100 * both >= PERCENT * (len(mine) + len(other) - both))
+            kept.append(similar(mine, other))
         return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
@@ -157,40 +163,71 @@ def sizes_allow(n: str, m: str) -> str:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose signatures agree, of rows (key, i, j, node, n_shingles, root, sig) dealt and sorted by (key, i, j)."""
+    """Pairs (a, b) of different components, of rows (key, i, j, band, node, n_shingles, root, sig, text) dealt and sorted by (key, i, j).
+
+    A pair whose signatures agree enough is looked at in the first band that both
+    share. With texts, it is verified here on the full sets, and only links that
+    join two components of the block come out; without, the pair comes out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: tuple | None = None
         held: list[tuple] = []
 
-        def pairs() -> Iterator[pa.RecordBatch]:
+        def pairs() -> list[tuple[int, int]]:
             if len(held) < 2:
-                return
-            node, n, root = (np.array([r[k] for r in held], dtype=np.int64) for k in range(3))
-            sigs = np.frombuffer(b"".join(r[3] for r in held), dtype="<u2").reshape(len(held), -1)
-            for at in range(len(held) - 1):
-                other = at + 1 + np.flatnonzero((root[at + 1 :] != root[at]) & (100 * np.minimum(n[at + 1 :], n[at]) >= PERCENT * np.maximum(n[at + 1 :], n[at])))
-                if len(other):
-                    other = other[(sigs[other] == sigs[at]).sum(axis=1) >= LEAST_AGREE]
-                if len(other):
-                    a, b = np.minimum(node[other], node[at]), np.maximum(node[other], node[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                return []
+            out: list[tuple[int, int]] = []
+            band = held[0][0]
+            node, n, root = (np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3))
+            joined = b"".join(r[4] for r in held)
+            sigs = np.frombuffer(joined, dtype="<u2").reshape(len(held), -1)
+            bands = np.frombuffer(joined, dtype="<u8").reshape(len(held), -1)
+            sets: dict[int, np.ndarray] = {}
+
+            def set_of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingle_set(held[k][5])
+                return sets[k]
+
+            for x in range(len(held) - 1):
+                small, large = np.minimum(n[x + 1 :], n[x]), np.maximum(n[x + 1 :], n[x])
+                others = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (100 * small >= PERCENT * large))
+                if not len(others):
+                    continue
+                others = others[((sigs[others] == sigs[x]).sum(axis=1) >= LEAST_AGREE) & ((bands[others] == bands[x]).argmax(axis=1) == band)]
+                for y in others.tolist():
+                    if held[x][5] is not None:
+                        if root[x] == root[y] or not similar(set_of(x), set_of(y)):
+                            continue
+                        root[root == root[y]] = root[x]
+                    out.append((int(node[x]), int(node[y])))
+            return out
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if row[:3] != block:
-                    yield from pairs()
-                    block, held = row[:3], []
-                held.append(row[3:])
-        yield from pairs()
-
+            for at in range(0, batch.num_rows, TEXT_BATCH):
+                part, found = batch.slice(at, TEXT_BATCH), []
+                columns = [c.to_pylist() for c in part.columns[:-1]]
+                texts = [None] * part.num_rows if part.column(8).null_count == part.num_rows else texts_as_bytes(part.column(8))
+                for row in zip(*columns, texts, strict=True):
+                    if row[:3] != block:
+                        found += pairs()
+                        block, held = row[:3], []
+                    held.append(row[3:])
+                yield batch_of(found)
+        yield batch_of(pairs())
+
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough verified links (a, b) between nodes (node, n_shingles, sig) to join all that belong together."""
-    bands = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 8 * b + 1, 8)) for b in range(BANDS)])).alias("key"))
+    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 8 * b + 1, 8)).alias("key")) for b in range(BANDS)]
+    bands = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.band", "x.key")
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("m > 1")
     members = materialize(bands.join(buckets, "key"), "near-members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
@@ -202,23 +239,24 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     first = materialize(verified(best, texts), "near-links")
 
     root = components(first)
-    rooted = members.join(root, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "near-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     open_rows = (
         rooted.join(split, "key")
-        .withColumn("blocks", blocks)
+        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "root", "m")
         .join(nodes, "node")
-        .select("key", "i", "j", "node", "n_shingles", "root", "sig")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .select("key", "i", "j", "band", "node", "n_shingles", "root", "sig", "m")
     )
-    rest = materialize(in_blocks(open_rows).distinct(), "near-rest")
-    return first.unionByName(verified(rest, texts))
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sparse = dealt(open_rows.filter(F.col("m") <= DENSE).withColumn("text", F.lit(None).cast("string")).drop("m"))
+    rest = verified(materialize(in_blocks(sparse), "near-rest"), texts)
+    dense = open_rows.filter(F.col("m") > DENSE).drop("m").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    found = in_blocks(dealt(dense.select("key", "i", "j", "band", "node", "n_shingles", "root", "sig", "text")))
+    return first.unionByName(rest).unionByName(found)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
