@@ -128,7 +128,7 @@ def in_blocks(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFram
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, rounds, last_words, shards) for each row of sized (doc_id, source, size).
+    """(doc_id, size, source_size, target, taken, rounds, last_words, shards) for each row of sized (doc_id, source, size; other columns are ignored).
 
     Source n, by code point with null last, weighs weights[n mod len]; all
     sources together share the sum of all sizes. A target stops at max_repeats
@@ -139,7 +139,8 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHAR
     word have target and taken 0. An empty table gives an empty result. The same
     rows give the same mix, however they are partitioned.
     """
-    sources, plan = mixing_plan(sized.select("doc_id", "source", "size"), weights, shards, max_repeats, seed)
+    sized = sized.select("doc_id", "source", "size")
+    sources, plan = mixing_plan(sized, weights, shards, max_repeats, seed)
     return planned(sized, sources, plan, seed).select("doc_id", "size", "source_size", "target", "taken", "rounds", "last_words", "shards")
 
 
