@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All characters but \x00-\x2F, \x3A-\x60 and \x7B-\x7F. Java tests a class that is stated
+#: by what it has many times faster than a negated union of ranges.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: (phrase, label) of the base scan.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: (template, mandatory key phrase in it, label) of the method.
