@@ -35,6 +35,12 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+def drawn(*parts: Column | int | str) -> Column:
+    """A number below 2**60 that depends on the parts alone, in any engine; nulls are left out."""
+    named = [F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *named)), 1, 15), 16, 10).cast("long")
+
+
 def numbered(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     """df, written, with `number` from 0 in the given order; sorted by ranges, so no task has all rows."""
     placed = materialize(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), label)
@@ -82,7 +88,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: in
     dealt = in_blocks(sized, sources, seed).select("source_no", "block", "order", "size", "rounds", "rest")
     blocks = materialize(dealt.groupBy("source_no", "block", "rounds", "rest").agg(F.sum("size").alias("words")), "mixing-blocks")
     # At most MAX_BLOCKS rows for each source.
-    permuted = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "source_no", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    permuted = Window.partitionBy("source_no").orderBy(drawn(seed, "source_no", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("need", F.col("rest") - F.coalesce(F.sum("words").over(permuted), F.lit(0)))
     blocks = blocks.withColumn("mode", F.when(F.col("need") <= 0, "none").when(F.col("need") >= F.col("words"), "all").otherwise("cut"))
     blocks = materialize(blocks.withColumn("units", F.col("rounds") + (F.col("mode") != "none").cast("long")), "mixing-modes")
@@ -105,8 +111,7 @@ def split_units(units: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     units = units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
     depth = (shards - 1).bit_length()
     for level in range(depth):
-        drawn = F.xxhash64(F.lit(seed), F.lit(level), "source_no", "block", "round")
-        ranked = numbered(units, [F.col("low"), drawn, F.col("source_no"), F.col("block"), F.col("round")], "mixing-tree")
+        ranked = numbered(units, [F.col("low"), drawn(seed, level, "source_no", "block", "round"), F.col("source_no"), F.col("block"), F.col("round")], "mixing-tree")
         # One row for each node; there are at most as many as shards.
         nodes = ranked.groupBy("low", "high").agg(F.min("number").alias("first"), F.count("*").alias("n"))
         middle = F.expr("(low + high) div 2").cast("int")
@@ -123,8 +128,7 @@ def in_blocks(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFram
     """docs (doc_id, source, ...) with their source's quotas, block and order in it."""
     known = sources.select(F.col("source").alias("of_source"), "source_no", "source_size", "target", "blocks", "rounds", "rest")
     out = join_plan(docs, known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
-    return out.withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("long"), "size"))
+    return out.withColumn("block", (drawn(seed, "doc_id") % F.col("blocks")).cast("int")).withColumn("order", drawn(seed + 1, "doc_id", "size"))
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk, url_filter
+from . import oracle
 from .common import materialize, table
 from .license_scan import license_scan
 from .line_dedup import line_dedup
@@ -34,7 +34,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = materialize(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mixing-sizes")
-    return mix(sized)
+    shards = F.array_join(F.transform("shards", lambda s: s.cast("string")), ",")
+    return mix(sized).withColumn("shards", shards)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.SQL, "op10_exact_top_k": topk.SQL}
+    return {
+        "op1_line_dedup": oracle.line_dedup(),
+        "op2_mixing": oracle.mixing(),
+        "op3_url_filters": oracle.URL_RULES,
+        "op4_license_scans": oracle.license_scan(),
+        "op7_quality_rules": oracle.quality_rules(),
+        "op9_minhash_near_dedup": oracle.near_dedup(),
+        "op10_exact_top_k": oracle.TOP_K,
+    }
