@@ -278,3 +278,16 @@ def test_classifier_learns_nothing_from_what_it_may_not(spark, clashing):
 @pytest.mark.parametrize("text", [b"", b" \n", b"a", "é".encode() * 9, b"x" * 100_000, b"\n".join([b"same"] * 50), bytes(range(1, 128))])
 def test_features_are_finite(text):
     assert np.isfinite(features(text)).all()
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from tidemark.llm import common
+
+    df = common.materialize(spark.range(3), "test")
+    assert df.count() == 3
+    paths = [p.removeprefix("file://") for p in common._written]
+    assert paths and all(map(os.path.exists, paths))
+    common.release(spark)
+    assert not any(map(os.path.exists, paths)) and not common._written
