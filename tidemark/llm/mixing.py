@@ -22,7 +22,7 @@ from .common import SPACE, materialize
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SHARDS = 16
-SHARD_WORDS = 16_000_000
+SHARD_WORDS = 8_000_000
 #: Documents of a block, about, and blocks of a source at most.
 BLOCK_DOCS = 2048
 MAX_BLOCKS = 4096
@@ -117,7 +117,7 @@ def split_units(units: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         middle = F.expr("(low + high) div 2").cast("int")
         goes = F.col("number") - F.col("first") < F.round(F.col("n") * (middle - F.col("low")) / (F.col("high") - F.col("low")))
         single = F.col("high") - F.col("low") == 1
-        units = ranked.join(F.broadcast(nodes), ["low", "high"]).select(
+        units = join_plan(ranked, nodes, ["low", "high"]).select(
             "source_no", "block", "round",
             F.when(single | goes, F.col("low")).otherwise(middle).alias("low"), F.when(single | ~goes, F.col("high")).otherwise(middle).alias("high"),
         )
