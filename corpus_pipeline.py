@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, materialize, table
@@ -30,18 +30,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    return name + "_" * (1 + max(map(len, docs.columns)))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has; a text that loses all of its words goes."""
-    out = line_dedup(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.rlike("text", F.lit(f"[^{SPACE}]"))
+    lines, removed = unused(docs, "lines"), unused(docs, "removed")
+    out = line_dedup(docs, counts=(lines, removed))
+    emptied = (F.col(removed) > 0) & ~F.rlike("text", F.lit(f"[^{SPACE}]"))
     text_length = F.length("text").cast("long")
     return out.filter(~emptied).select(*[text_length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near copies; of rows that repeat both doc_id and text, one."""
+    kept, rows, nth = unused(docs, "kept"), unused(docs, "rows"), unused(docs, "nth")
+    ids = materialize(near_dedup(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).toDF(kept, rows), "pipeline-kept")
+    own_id = F.col("doc_id").cast("long")
+    repeated = ids.filter((F.col(rows) > 1) & F.col(kept).isNotNull())
+    if repeated.isEmpty():
+        return docs.join(ids, own_id.eqNullSafe(F.col(kept)), "left_semi")
+    once = docs.join(ids.join(repeated.select(kept), kept, "left_anti"), own_id.eqNullSafe(F.col(kept)), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    more = docs.join(repeated, own_id == F.col(kept), "left_semi").withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
+    return once.unionByName(more)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and "sequence_id" in out.columns
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_stages_with_further_columns_and_repeated_rows(spark, clashing):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(80))
+    twice = clashing.filter("doc_id <= 30")
+    rows = twice.unionByName(twice.filter("doc_id <= 3")).unionByName(twice.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(long)))
+    for more in ("n_lines", "n_removed", "kept_id", "c0", "covered"):
+        rows = rows.withColumn(more, F.lit(5))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, "")
+        assert out.columns == rows.columns and {r["n_removed"] for r in out.select("n_removed").collect()} <= {5}
+        if name == "minhash_near_dedup":
+            assert out.count() == out.dropDuplicates(["doc_id", "text"]).count() >= 25
+            assert out.filter("doc_id is null").count() == 1
+        assert stage(spark, rows.limit(0), "").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").filter("doc_id is null").count() == 1

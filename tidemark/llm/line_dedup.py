@@ -53,8 +53,8 @@ def without(lines: list[bytes], ranges: list[tuple[int, int]]) -> tuple[bytes, i
     return b"\n".join(kept), len(lines) - len(kept)
 
 
-def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE) -> DataFrame:
-    """docs with text deduplicated, and with n_lines and n_removed added (replaced, if docs has them).
+def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text deduplicated, and with two counts added: lines, and lines taken out (replaced, if docs has such columns).
 
     The first occurrence of a window, by doc_id (null first), then a hash of the
     text, then position, stays; lines covered by later occurrences go. Null texts
@@ -62,7 +62,7 @@ def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE) -
     place, so they get the same text. Extra columns go through; an empty table
     gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in counts]
     # Internal names that no column of docs has.
     tag = "_" * (1 + max((len(c) for c in names), default=0))
     id_, version, covered = f"id{tag}", f"version{tag}", f"covered{tag}"
@@ -100,7 +100,7 @@ def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE) -
             removed.append(n)
         own = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
         columns = [own.get(c, batch.column(c)) for c in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *counts])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names), "n_lines long, n_removed long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names), *(f"`{c}` long" for c in counts)])
     return map_batches(placed.join(ranges, [id_, version], "left"), take_out, schema)

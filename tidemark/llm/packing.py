@@ -27,6 +27,7 @@ from .common import map_batches, materialize, width
 
 WINDOW = 2048
 END_ID = 1
+PROBES = ("It's 1,234 WORDS  here,\n\n\tI'LL say: été 中文 😀!?", "", " lead and trail ", "a<|endoftext|>b")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -112,7 +113,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a text under a byte-level BPE file of the tokenizers library.
 
     The ranks are those of the file; tiktoken applies them several times faster.
-    A text that it can't take goes through tokenizers itself.
+    A file for which both differ on the probes, and a text that tiktoken can't
+    take, go through tokenizers itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -127,6 +129,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     slow = Tokenizer.from_file(path)
+    if any(fast.encode(t, allowed_special="all") != slow.encode(t, add_special_tokens=False).ids for t in PROBES):
+        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(text: str) -> np.ndarray:
         try:

@@ -25,6 +25,8 @@ SCALE = 64
 SLICES = 4
 QUERY_BLOCK = 1024
 ROW_BLOCK = 4096
+#: Components in a block of rows, at most, so that long vectors come in smaller blocks.
+BLOCK_CELLS = 1 << 19
 #: Sums of products below this are exact in doubles.
 EXACT = float(2**53)
 LONG = (-(2**63), 2**63 - 1)
@@ -88,8 +90,9 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
     beyond a long are set to its ends. An empty table gives an empty result.
     """
     rows = materialize(usable(vectors), "topk-rows")
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    n, n_queries, dims = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).first()
+    most = max(64, BLOCK_CELLS // max(1, dims or 1))
+    row_blocks, query_blocks = max(1, -(-n // min(ROW_BLOCK, most))), max(1, -(-n_queries // min(QUERY_BLOCK, most)))
     dealt = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
     to_all = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = rows.filter(F.col("vec_id") % every == 0).withColumn("qb", dealt(query_blocks, 1))
