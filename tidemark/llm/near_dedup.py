@@ -242,20 +242,22 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rooted = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "near-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    open_rows = (
-        rooted.join(split, "key")
+    columns = ["key", "i", "j", "band", "node", "n_shingles", "root", "sig", "text"]
+    open_rows = rooted.join(split, "key").join(nodes, "node")
+    dealt = lambda df: df.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sparse = open_rows.filter(F.col("m") <= DENSE).withColumns({"i": F.lit(0), "j": F.lit(0), "text": F.lit(None).cast("string")})
+    rest = verified(materialize(in_blocks(dealt(sparse)), "near-rest"), texts)
+    # Texts are joined once a member; only then is a member dealt to the blocks that it meets.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dense = (
+        open_rows.filter(F.col("m") > DENSE)
+        .join(texts.withColumnRenamed("doc_id", "node"), "node")
         .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "root", "m")
-        .join(nodes, "node")
-        .select("key", "i", "j", "band", "node", "n_shingles", "root", "sig", "m")
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
-    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    sparse = dealt(open_rows.filter(F.col("m") <= DENSE).withColumn("text", F.lit(None).cast("string")).drop("m"))
-    rest = verified(materialize(in_blocks(sparse), "near-rest"), texts)
-    dense = open_rows.filter(F.col("m") > DENSE).drop("m").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    found = in_blocks(dealt(dense.select("key", "i", "j", "band", "node", "n_shingles", "root", "sig", "text")))
+    found = in_blocks(dealt(dense))
     return first.unionByName(rest).unionByName(found)
 
 
