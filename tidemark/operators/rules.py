@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import HOME_RULE, KEY_RULE, LEAST_NAME, PEM_RULE
 
-RULES_SCHEMA = "ord int, rule_id string, shown string, pattern string"
+RULES_SCHEMA = "ord int, rule_id string, shown string, pattern string, needs string"
 #: Up to so many rules become literal patterns in one projection; more are joined.
 UNROLLED = 50
 
 
 class Rule(NamedTuple):
+    """needs is a literal that every match has; texts without it are passed without the regex."""
+
     ord: int
     rule_id: str
     shown: str
     pattern: str
+    needs: str = ""
 
 
 def local_names() -> list[str | None]:
@@ -48,7 +51,7 @@ def quoted(literal: str) -> str:
 
 def rule_list(names: Iterable[str]) -> list[Rule]:
     """Home paths, then account names in the given order, then keys."""
-    found = [HOME_RULE, *(("account", re.escape(n), quoted(n)) for n in names), PEM_RULE, KEY_RULE]
+    found = [(*HOME_RULE, "/Users/"), *(("account", re.escape(n), quoted(n)) for n in names), (*PEM_RULE, "PRIVATE KEY-----"), KEY_RULE]
     return [Rule(i, *r) for i, r in enumerate(found)]
 
 
@@ -63,7 +66,8 @@ def matches(text: Column, rules: list[Rule]) -> Column:
     """An array of (ord, rule_id, shown) of the rules that are found anywhere in the text, once each, in order."""
     if not rules:
         return F.array().cast("array<struct<ord:int,rule_id:string,shown:string>>")
-    each = [F.when(F.rlike(text, F.lit(r.pattern)), F.struct(F.lit(r.ord).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.shown).alias("shown"))) for r in rules]
+    hit = lambda r: F.rlike(text, F.lit(r.pattern)) if not r.needs else F.contains(text, F.lit(r.needs)) & F.rlike(text, F.lit(r.pattern))
+    each = [F.when(hit(r), F.struct(F.lit(r.ord).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.shown).alias("shown"))) for r in rules]
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
@@ -78,7 +82,7 @@ def match_rules(texts: DataFrame, text: str, rules: list[Rule], keep: list[str])
         return texts.select(*keep, F.explode(matches(F.col(text), rules)).alias("found")).select(*keep, "found.*")
     table = texts.sparkSession.createDataFrame(rules, RULES_SCHEMA)
     tagged = texts.select(*keep, F.col(text).alias("searched_text"))
-    return tagged.join(F.broadcast(table), F.rlike("searched_text", F.col("pattern"))).select(*keep, "ord", "rule_id", "shown")
+    return tagged.join(F.broadcast(table), F.contains("searched_text", F.col("needs")) & F.rlike("searched_text", F.col("pattern"))).select(*keep, "ord", "rule_id", "shown")
 
 
 def contains_any_case(text: Column, literal: str) -> Column:

@@ -11,14 +11,14 @@ from ..functions import fixed, folding, paths
 from ..operators import nearest, rules, scan, verdict
 from ..sources import registry
 
-#: (rule, pattern); the same in both regex dialects.
+#: (rule, pattern, a literal in all matches); the patterns are the same in both regex dialects.
 TABLE_RULES = (
-    ("home", r"/Users/[^/\s]+/"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("token", r'token = "[0-9a-f]{40}"'),
-    ("license", r"[Ll]icensed under the [A-Z]"),
-    ("pem", fixed.PEM_RULE[1]),
-    ("key", fixed.KEY_RULE[1]),
+    ("home", r"/Users/[^/\s]+/", "/Users/"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    ("token", r'token = "[0-9a-f]{40}"', 'token = "'),
+    ("license", r"[Ll]icensed under the [A-Z]", "icensed under the "),
+    ("pem", fixed.PEM_RULE[1], "PRIVATE KEY-----"),
+    ("key", fixed.KEY_RULE[1], ""),
 )
 SEARCHED = "All Rights RESERVED"
 #: (table, id column, text column) of all tables with texts.
@@ -30,7 +30,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rules() -> list[rules.Rule]:
-    return [rules.Rule(i, name, pattern, pattern) for i, (name, pattern) in enumerate(TABLE_RULES)]
+    return [rules.Rule(i, name, pattern, pattern, needs) for i, (name, pattern, needs) in enumerate(TABLE_RULES)]
 
 
 def _host(url: Column) -> Column:
@@ -166,7 +166,7 @@ def _quoted(values) -> str:
 
 def _issues_sql(name: str, key: str, text: str, shown: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {shown} CAST({i} AS INTEGER) AS ord, '{rule}' AS rule_id FROM {name} WHERE regexp_matches({text}, {_quoted([pattern])})" for i, (rule, pattern) in enumerate(TABLE_RULES)
+        f"SELECT {shown} CAST({i} AS INTEGER) AS ord, '{rule}' AS rule_id FROM {name} WHERE regexp_matches({text}, {_quoted([pattern])})" for i, (rule, pattern, _) in enumerate(TABLE_RULES)
     )
 
 
