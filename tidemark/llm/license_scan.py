@@ -49,16 +49,17 @@ def words_of(text: Column) -> Column:
 
 def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """IDF of each word over all documents; as many rows as the templates have words."""
-    present = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))).alias("word"))
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    present = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), known)).alias("word"))
     counts = {r["word"]: r["n"] for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}
     most = max(counts.values(), default=0)
     return {w: math.log((1 + most) / (1 + counts.get(w, 0))) for w in vocabulary}
 
 
 def license_scan(docs: DataFrame, base=BASE, templates=TEMPLATES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
-    Null and empty texts have no words, no labels (empty strings) and score 0.
+    docs has doc_id and text; other columns are ignored. Null and empty texts have no words, no labels (empty strings) and score 0.
     score is the largest share of a template's words found in their places with
     its key phrase, 1 for a base phrase. Repeated rows are scanned each. An empty
     table gives an empty result.
@@ -91,10 +92,15 @@ def license_scan(docs: DataFrame, base=BASE, templates=TEMPLATES, least_share: f
         return F.filter(F.transform(starts, measured), lambda x: x["share"] >= (1.0 if whole else least_share))
 
     none = F.array().cast("array<struct<start:bigint,share:double>>")
-    found = read.select("doc_id", F.size("words").cast("long").alias("n_words"), *[F.when(F.size("rare") > 0, places(k)).otherwise(none).alias(f"at{k}") for k in range(len(forms))])
+    each = [F.when(F.size("rare") > 0, places(k)).otherwise(none).alias(f"at{k}") for k in range(len(forms))]
+    found = read.select("doc_id", F.size("words").cast("long").alias("n_words"), *each)
     of_base = F.array_sort(F.transform(F.concat(*[F.col(f"at{k}") for k in range(len(base))]), lambda x: x["start"]))
-    label_if = lambda ks: F.filter(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(forms[k][3])) for k in ks]), lambda x: x.isNotNull())
-    joined = lambda ks: F.array_join(F.array_sort(F.array_distinct(label_if(ks))), ",")
+    label_if = lambda k: F.when(F.size(f"at{k}") > 0, F.lit(forms[k][3]))
+
+    def joined(ks: range) -> Column:
+        labels = F.filter(F.array(*map(label_if, ks)), lambda x: x.isNotNull())
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
     best = F.array_max(F.transform(F.concat(*[F.col(f"at{k}") for k in range(len(forms))]), lambda x: x["share"]))
     return found.withColumn("starts", of_base).select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.get("starts", F.lit(0)).alias("first_word"), F.array_max("starts").alias("last_word"),

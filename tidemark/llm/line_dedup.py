@@ -53,7 +53,9 @@ def without(lines: list[bytes], ranges: list[tuple[int, int]]) -> tuple[bytes, i
     return b"\n".join(kept), len(lines) - len(kept)
 
 
-def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
     """docs with text deduplicated, and with two counts added: lines, and lines taken out (replaced, if docs has such columns).
 
     The first occurrence of a window, by doc_id (null first), then a hash of the
@@ -66,28 +68,33 @@ def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, c
     # Internal names that no column of docs has.
     tag = "_" * (1 + max((len(c) for c in names), default=0))
     id_, version, covered = f"id{tag}", f"version{tag}", f"covered{tag}"
-    placed = docs.select(*[f"`{c}`" for c in names]).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(version, F.xxhash64("text"))
+    least_id = F.lit(-(2**63))
+    placed = docs.select(*[f"`{c}`" for c in names]).withColumns(
+        {id_: F.coalesce(F.col("doc_id").cast("long"), least_id), version: F.xxhash64("text")}
+    )
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(6)]
         for i, v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
             for start, stop, key in line_windows(text.split(b"\n"), size, long_line):
-                values = (i, v, start, stop, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
+                halves = (int.from_bytes(key[k : k + 8], "little", signed=True) for k in (0, 8))
+                values = (i, v, start, stop, *halves)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "version", "start", "stop", "h1", "h2"])
+        columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "version", "start", "stop", "h1", "h2"])
 
     places = materialize(map_batches(placed.select(id_, version, "text"), windows, _WINDOWS), "line-windows")
     firsts = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
     repeated = places.join(firsts.select("h1", "h2", "first_id"), ["h1", "h2"])
     later = repeated.filter("id > first_id")
     # Within the first document a window can stand again; so can rows of one doc_id with other texts.
-    own = repeated.filter("id = first_id").groupBy("h1", "h2", "id").agg(F.min(F.struct("version", "start")).alias("first"), F.collect_set(F.struct("version", "start", "stop")).alias("all"))
-    again = own.select("id", "first", F.explode("all").alias("x")).filter("struct(x.version, x.start) > first").select("id", "x.version", "x.start", "x.stop")
-    ranges = (
-        later.select("id", "version", "start", "stop").unionByName(again).groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    )
+    first, spans = F.min(F.struct("version", "start")), F.collect_set(F.struct("version", "start", "stop"))
+    own = repeated.filter("id = first_id").groupBy("h1", "h2", "id").agg(first.alias("first"), spans.alias("all"))
+    again = own.select("id", "first", F.explode("all").alias("x")).filter("struct(x.version, x.start) > first")
+    both = later.select("id", "version", "start", "stop").unionByName(again.select("id", "x.version", "x.start", "x.stop"))
+    ranges = both.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     ranges = ranges.toDF(id_, version, covered)
 
     def take_out(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,7 +107,9 @@ def line_dedup(docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, c
             removed.append(n)
         own = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
         columns = [own.get(c, batch.column(c)) for c in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *counts])
+        counted = [pa.array(before, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *counted], names=[*names, *counts])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names), *(f"`{c}` long" for c in counts)])
+    kept_as = [f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names]
+    schema = ", ".join([*kept_as, *(f"`{c}` long" for c in counts)])
     return map_batches(placed.join(ranges, [id_, version], "left"), take_out, schema)

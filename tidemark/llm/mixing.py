@@ -49,7 +49,9 @@ def numbered(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start", "at")
+    number = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    found = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", number)
+    return found.drop("part", "start", "at")
 
 
 def join_plan(left: DataFrame, plan: DataFrame, on: Column | list[str], how: str = "inner") -> DataFrame:
@@ -69,28 +71,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     total, level, before = ranked.agg(F.sum("source_size")).first()[0] or 0, 0.0, None
     while True:
         over = F.col("weight") * F.lit(level) > F.col("cap")
-        capped, taken, weight = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        sums = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))))
+        capped, taken, weight = sums.first()
         if capped == before or not weight:
             break
         level, before = (total - (taken or 0)) / weight, capped
     target = F.round(F.least(F.col("weight") * F.lit(level), F.col("cap").cast("double")), 6)
-    return materialize(ranked.select("source", "docs", "source_size", F.col("number").alias("source_no"), target.alias("target")), "mixing-targets")
+    ranked = ranked.withColumn("target", target).withColumnRenamed("number", "source_no")
+    return materialize(ranked.select("source", "docs", "source_size", "source_no", "target"), "mixing-targets")
 
 
-def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixing_plan(
+    sized: DataFrame, weights: tuple[int, ...], shards: int, max_repeats: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
     """Plans by source and by block for sized (doc_id, source, size)."""
-    sources = targets(sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")), weights, max_repeats)
+    sizes = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
+    sources = targets(sizes, weights, max_repeats)
     wanted = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as long) div source_size")).otherwise(0)
-    sources = sources.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")).withColumn("rounds", whole).withColumn("rest", (wanted - F.col("rounds") * F.col("source_size")).cast("long"))
-    sources = materialize(sources, "mixing-quotas")
+    n_blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
+    sources = sources.withColumn("blocks", n_blocks).withColumn("rounds", whole)
+    rest = (wanted - F.col("rounds") * F.col("source_size")).cast("long")
+    sources = materialize(sources.withColumn("rest", rest), "mixing-quotas")
 
     dealt = in_blocks(sized, sources, seed).select("source_no", "block", "order", "size", "rounds", "rest")
     blocks = materialize(dealt.groupBy("source_no", "block", "rounds", "rest").agg(F.sum("size").alias("words")), "mixing-blocks")
     # At most MAX_BLOCKS rows for each source.
-    permuted = Window.partitionBy("source_no").orderBy(drawn(seed, "source_no", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    by_draw = Window.partitionBy("source_no").orderBy(drawn(seed, "source_no", "block"), "block")
+    permuted = by_draw.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("need", F.col("rest") - F.coalesce(F.sum("words").over(permuted), F.lit(0)))
-    blocks = blocks.withColumn("mode", F.when(F.col("need") <= 0, "none").when(F.col("need") >= F.col("words"), "all").otherwise("cut"))
+    mode = F.when(F.col("need") <= 0, "none").when(F.col("need") >= F.col("words"), "all").otherwise("cut")
+    blocks = blocks.withColumn("mode", mode)
     blocks = materialize(blocks.withColumn("units", F.col("rounds") + (F.col("mode") != "none").cast("long")), "mixing-modes")
 
     # In the one block of a source that is cut: the place in its order where the target is reached.
@@ -98,11 +109,15 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: in
     by_order = docs_of_cut.groupBy("source_no", "block", "need", "order").agg(F.sum("size").alias("words"), F.count("*").alias("same"))
     running = Window.partitionBy("source_no", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     by_order = by_order.withColumn("left", F.col("need") - F.coalesce(F.sum("words").over(running), F.lit(0)))
-    cuts = by_order.filter("left > 0 and left <= words").select("source_no", "block", F.col("order").alias("cut_at"), F.expr("left div same").alias("cut_words"))
+    cut_words = F.expr("left div same").alias("cut_words")
+    cuts = by_order.filter("left > 0 and left <= words").select("source_no", "block", F.col("order").alias("cut_at"), cut_words)
 
     units = blocks.filter("units > 0").select("source_no", "block", F.explode(F.sequence(F.lit(1), F.col("units"))).alias("round"))
-    of_block = split_units(units, shards, seed).groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("round", "shard"))).alias("parts"))
-    plan = blocks.select("source_no", "block", "mode").join(cuts, ["source_no", "block"], "left").join(of_block, ["source_no", "block"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("round", "shard"))).alias("parts")
+    of_block = split_units(units, shards, seed).groupBy("source_no", "block").agg(parts)
+    plan = blocks.select("source_no", "block", "mode")
+    for more in (cuts, of_block):
+        plan = plan.join(more, ["source_no", "block"], "left")
     return sources, materialize(plan, "mixing-plan")
 
 
@@ -111,7 +126,8 @@ def split_units(units: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     units = units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
     depth = (shards - 1).bit_length()
     for level in range(depth):
-        ranked = numbered(units, [F.col("low"), drawn(seed, level, "source_no", "block", "round"), F.col("source_no"), F.col("block"), F.col("round")], "mixing-tree")
+        unit = ("source_no", "block", "round")
+        ranked = numbered(units, [F.col("low"), drawn(seed, level, *unit), *map(F.col, unit)], "mixing-tree")
         # One row for each node; there are at most as many as shards.
         nodes = ranked.groupBy("low", "high").agg(F.min("number").alias("first"), F.count("*").alias("n"))
         middle = F.expr("(low + high) div 2").cast("int")
@@ -119,7 +135,8 @@ def split_units(units: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         single = F.col("high") - F.col("low") == 1
         units = join_plan(ranked, nodes, ["low", "high"]).select(
             "source_no", "block", "round",
-            F.when(single | goes, F.col("low")).otherwise(middle).alias("low"), F.when(single | ~goes, F.col("high")).otherwise(middle).alias("high"),
+            F.when(single | goes, F.col("low")).otherwise(middle).alias("low"),
+            F.when(single | ~goes, F.col("high")).otherwise(middle).alias("high"),
         )
     return units.select("source_no", "block", "round", F.col("low").alias("shard"))
 
@@ -128,13 +145,16 @@ def in_blocks(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFram
     """docs (doc_id, source, ...) with their source's quotas, block and order in it."""
     known = sources.select(F.col("source").alias("of_source"), "source_no", "source_size", "target", "blocks", "rounds", "rest")
     out = join_plan(docs, known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    return out.withColumn("block", (drawn(seed, "doc_id") % F.col("blocks")).cast("int")).withColumn("order", drawn(seed + 1, "doc_id", "size"))
+    block = (drawn(seed, "doc_id") % F.col("blocks")).cast("int")
+    return out.withColumn("block", block).withColumn("order", drawn(seed + 1, "doc_id", "size"))
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, rounds, last_words, shards) for each row of sized (doc_id, source, size; other columns are ignored).
+def mix(
+    sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, rounds, last_words, shards) for each row of sized.
 
-    Source n, by code point with null last, weighs weights[n mod len]; all
+    sized has doc_id, source and size; other columns are ignored. Source n, by code point with null last, weighs weights[n mod len]; all
     sources together share the sum of all sizes. A target stops at max_repeats
     times its source's size, and the excess goes to the others by weight. taken is
     `rounds` times the size and the last_words of one more round; only one order
@@ -145,15 +165,20 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHAR
     """
     sized = sized.select("doc_id", "source", "size")
     sources, plan = mixing_plan(sized, weights, shards, max_repeats, seed)
-    return planned(sized, sources, plan, seed).select("doc_id", "size", "source_size", "target", "taken", "rounds", "last_words", "shards")
+    names = ["doc_id", "size", "source_size", "target", "taken", "rounds", "last_words", "shards"]
+    return planned(sized, sources, plan, seed).select(*names)
 
 
 def planned(docs: DataFrame, sources: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     placed = join_plan(in_blocks(docs, sources, seed), plan, ["source_no", "block"])
-    last = F.when(F.col("mode") == "all", F.col("size")).when((F.col("mode") == "cut") & (F.col("order") < F.col("cut_at")), F.col("size")).when((F.col("mode") == "cut") & (F.col("order") == F.col("cut_at")), F.col("cut_words")).otherwise(0)
-    placed = placed.withColumn("last_words", last.cast("long")).withColumn("taken", F.col("rounds") * F.col("size") + F.col("last_words"))
-    used = F.filter(F.coalesce("parts", F.array().cast("array<struct<round:bigint,shard:int>>")), lambda p: (p["round"] <= F.col("rounds")) | (F.col("last_words") > 0))
-    return placed.withColumn("shards", F.when(F.col("size") > 0, F.transform(used, lambda p: p["shard"])).otherwise(F.array().cast("array<int>")))
+    before = F.when(F.col("order") < F.col("cut_at"), F.col("size")).when(F.col("order") == F.col("cut_at"), F.col("cut_words"))
+    last = F.when(F.col("mode") == "all", F.col("size")).when(F.col("mode") == "cut", F.coalesce(before, F.lit(0))).otherwise(0)
+    placed = placed.withColumn("last_words", last.cast("long"))
+    placed = placed.withColumn("taken", F.col("rounds") * F.col("size") + F.col("last_words"))
+    parts = F.coalesce("parts", F.array().cast("array<struct<round:bigint,shard:int>>"))
+    used = F.filter(parts, lambda p: (p["round"] <= F.col("rounds")) | (F.col("last_words") > 0))
+    shards = F.when(F.col("size") > 0, F.transform(used, lambda p: p["shard"]))
+    return placed.withColumn("shards", F.coalesce(shards, F.array().cast("array<int>")))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -161,7 +186,9 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, f"(?<=[^{SPACE}])(?=[{SPACE}])", -1), F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
     """The mix itself: a row of docs for each time it is taken, dealt to shards and shuffled within them.
 
     A row that is taken in part has the first words of its text; n_chars, where
@@ -175,7 +202,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards:
     if shards is None:
         shards = max(SHARDS, -(-(small.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
     sources, plan = mixing_plan(small, weights, shards, max_repeats, seed)
-    copies = planned(sized, sources, plan, seed).select("doc_id", "row", "text", "rounds", "size", "last_words", F.posexplode("shards").alias("copy", "shard"))
+    copy = F.posexplode("shards").alias("copy", "shard")
+    copies = planned(sized, sources, plan, seed).select("doc_id", "row", "text", "rounds", "size", "last_words", copy)
     part = (F.col("copy") >= F.col("rounds")) & (F.col("last_words") < F.col("size"))
     copies = copies.withColumn("text", F.when(part, first_words(F.col("text"), F.col("last_words"))).otherwise(F.col("text")))
     mixed = copies.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))

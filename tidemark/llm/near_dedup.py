@@ -113,7 +113,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             n.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             sigs.append(superminhash(shingles).tobytes() if len(shingles) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sig"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), sign, SIGNED)
 
@@ -163,9 +164,10 @@ def sizes_allow(n: str, m: str) -> str:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, of rows (key, i, j, band, node, n_shingles, root, sig, text) dealt and sorted by (key, i, j).
+    """Pairs (a, b) of different components.
 
-    A pair whose signatures agree enough is looked at in the first band that both
+    rows has (key, i, j, band, node, n_shingles, root, sig, text), dealt and sorted
+    by (key, i, j). A pair whose signatures agree enough is looked at in the first band that both
     share. With texts, it is verified here on the full sets, and only links that
     join two components of the block come out; without, the pair comes out.
     """
@@ -195,7 +197,8 @@ def in_blocks(rows: DataFrame) -> DataFrame:
                 others = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (100 * small >= PERCENT * large))
                 if not len(others):
                     continue
-                others = others[((sigs[others] == sigs[x]).sum(axis=1) >= LEAST_AGREE) & ((bands[others] == bands[x]).argmax(axis=1) == band)]
+                agree = (sigs[others] == sigs[x]).sum(axis=1) >= LEAST_AGREE
+                others = others[agree & ((bands[others] == bands[x]).argmax(axis=1) == band)]
                 for y in others.tolist():
                     if held[x][5] is not None:
                         if root[x] == root[y] or not similar(set_of(x), set_of(y)):
@@ -226,16 +229,20 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough verified links (a, b) between nodes (node, n_shingles, sig) to join all that belong together."""
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 8 * b + 1, 8)).alias("key")) for b in range(BANDS)]
+    key_of = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 8 * b + 1, 8))
+    keys = [F.struct(F.lit(b).alias("band"), key_of(b).alias("key")) for b in range(BANDS)]
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.band", "x.key")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("m > 1")
+    pivot = F.min_by("node", F.xxhash64("node", "key")).alias("pivot")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1")
     members = materialize(bands.join(buckets, "key"), "near-members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "near-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = materialize(texts.join(involved, "doc_id", "left_semi"), "near-texts")
 
     a, b = nodes.toDF("a", "n_a", "sig_a"), nodes.toDF("b", "n_b", "sig_b")
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    best = likely(stars.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b"))).groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    possible = likely(stars.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b")))
+    best = possible.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
     first = materialize(verified(best, texts), "near-links")
 
     root = components(first)
@@ -270,17 +277,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     component (component_id null) and stay. An empty table gives an empty result.
     """
     signed = materialize(signatures(docs), "near-signatures")
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "near-classes")
+    # Equal sets have equal signatures, so any of them will do.
+    of_class = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")]
+    classes = materialize(signed.filter("digest is not null").groupBy("digest").agg(*of_class), "near-classes")
     nodes = classes.filter("node is not null").select("node", "n_shingles", "sig")
     found = links(nodes, docs)
     # A doc_id that stands on several rows ties their classes together.
-    ties = (
-        signed.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-        .join(signed, "doc_id").join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
+    named = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    own = named.join(several, "doc_id").join(classes.select("digest", "node"), "digest")
+    ties = own.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(found.unionByName(ties))
-    of_class = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    whole = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    rooted = classes.select("digest", "node").join(roots, "node", "left")
+    rooted = rooted.select("digest", F.coalesce("root", "node").alias("component_id"))
+    whole = signed.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
+    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept)

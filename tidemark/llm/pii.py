@@ -99,14 +99,19 @@ def candidates(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)), f"[{SPACE}]+", -1), lambda w: w != "")
         return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)), " ")
 
-    each = F.zip_with(hits_with_place(hits), F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda h, g: F.struct(h["i"].alias("i"), F.length(g).alias("gap"), h["h"].alias("token"), context(g).alias("context")))
+    def candidate(h: Column, g: Column) -> Column:
+        return F.struct(h["i"].alias("i"), F.length(g).alias("gap"), h["h"].alias("token"), context(g).alias("context"))
+
+    each = F.zip_with(hits_with_place(hits), F.slice(gaps, F.lit(1), F.size(gaps) - 1), candidate)
     return F.when(F.rlike(text, F.lit("[0-9]")), each.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its number, doc_id, base hits and candidates."""
-    text = F.coalesce("text", F.lit(""))
-    return materialize(docs.select("doc_id", text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", base_hits(F.col("text")).alias("hits"), candidates(F.col("text")).alias("candidates")), "pii-scan")
+    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    number = F.monotonically_increasing_id().alias("row")
+    return materialize(read.select(number, "doc_id", base_hits(text).alias("hits"), candidates(text).alias("candidates")), "pii-scan")
 
 
 def running(partition: list[str]) -> Window:
@@ -127,7 +132,8 @@ def instances(scan: DataFrame) -> DataFrame:
     opened = F.length(F.regexp_extract("token", r"^[\"'(\[{<]*", 0))
     each = each.withColumn("start", F.col("end") - F.length("token") + opened)
     each = each.withColumn("core", F.regexp_extract("token", r"^[\"'(\[{<]*(.*?)[\"')\]}>.,;:!?#$%&*|]*$", 1))
-    return each.select("row", "start", (F.col("start") + F.length("core")).alias("stop"), "core", "context").filter(F.length("core") >= 1)
+    each = each.withColumn("stop", F.col("start") + F.length("core"))
+    return each.select("row", "start", "stop", "core", "context").filter(F.length("core") >= 1)
 
 
 def confident_patterns(found: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -137,17 +143,23 @@ def confident_patterns(found: DataFrame, seeds: DataFrame) -> DataFrame:
     graph are distinct, pre-aggregated pairs, so a pattern before a third of all
     candidates costs as many rows as it has different instances.
     """
-    edges = materialize(found.filter((F.length("core") >= LEAST_LENGTH) & (F.col("context") != "")).select("context", F.xxhash64("core").alias("instance")).distinct(), "pii-edges")
-    seeded = materialize(seeds.select("kind", F.xxhash64("core").alias("instance")).distinct(), "pii-seeds")
+    instance = F.xxhash64("core").alias("instance")
+    wide = found.filter((F.length("core") >= LEAST_LENGTH) & (F.col("context") != ""))
+    edges = materialize(wide.select("context", instance).distinct(), "pii-edges")
+    seeded = materialize(seeds.select("kind", instance).distinct(), "pii-seeds")
     of_pattern = edges.groupBy("context").agg(F.count("*").alias("n"))
     good = seeded.withColumn("score", F.lit(1.0))
     scored = None
     for turn in range(ROUNDS):
-        mass = edges.join(good, "instance").groupBy("kind", "context").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        scored = materialize(mass.filter(F.col("seeds") >= LEAST_SEEDS).join(of_pattern, "context").select("kind", "context", (F.col("mass") / (F.col("n") + 1)).alias("confidence")), "pii-patterns")
+        sums = (F.sum("score").alias("mass"), F.count_if(F.col("score") == 1.0).alias("seeds"))
+        mass = edges.join(good, "instance").groupBy("kind", "context").agg(*sums).filter(F.col("seeds") >= LEAST_SEEDS)
+        confidence = (F.col("mass") / (F.col("n") + 1)).alias("confidence")
+        scored = materialize(mass.join(of_pattern, "context").select("kind", "context", confidence), "pii-patterns")
         if turn + 1 < ROUNDS:
-            lifted = edges.join(scored.filter(F.col("confidence") >= CONFIDENCE), "context").groupBy("kind", "instance").agg(F.max("confidence").alias("score"))
-            good = materialize(seeded.withColumn("score", F.lit(1.0)).unionByName(lifted).groupBy("kind", "instance").agg(F.max("score").alias("score")), "pii-good")
+            lifted = edges.join(scored.filter(F.col("confidence") >= CONFIDENCE), "context")
+            lifted = lifted.select("kind", "instance", F.col("confidence").alias("score"))
+            every = seeded.withColumn("score", F.lit(1.0)).unionByName(lifted)
+            good = materialize(every.groupBy("kind", "instance").agg(F.max("score").alias("score")), "pii-good")
     return scored.filter(F.col("confidence") >= CONFIDENCE).select("kind", "context")
 
 
@@ -164,23 +176,29 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = materialize(instances(scan), "pii-instances")
     names = F.array(*[F.lit(f"{k}_like") for k in KINDS], F.lit("secret"))
     secrets = found.filter(F.rlike("core", F.lit(SECRET)))
-    seeds = found.join(base.select("row", "start", "kind"), ["row", "start"]).select("kind", "core").unionByName(secrets.select(F.lit(len(KINDS)).alias("kind"), "core"))
+    keys = secrets.withColumn("kind", F.lit(len(KINDS)))
+    seeds = found.join(base.select("row", "start", "kind"), ["row", "start"]).select("kind", "core").unionByName(keys.select("kind", "core"))
     patterns = materialize(confident_patterns(found, seeds), "pii-confident")
     small = patterns.count() <= BROADCAST_ROWS
     wide = found.filter(F.length("core") >= LEAST_LENGTH)
     discovered = wide.join(F.broadcast(patterns) if small else patterns, "context").select("row", "kind", "start", "stop")
-    more = discovered.unionByName(secrets.select("row", F.lit(len(KINDS)).alias("kind"), "start", "stop")).groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
-    both = base.select("row", F.col("start"), "kind", "stop", F.lit(True).alias("base")).unionByName(more.select("row", "start", "kind", "stop", F.lit(False).alias("base")))
+    more = discovered.unionByName(keys.select("row", "kind", "start", "stop"))
+    more = more.groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
+    both = base.withColumn("base", F.lit(True)).unionByName(more.withColumn("base", F.lit(False)))
     of_row = both.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "base"))).alias("all"))
     of_row = of_row.withColumn("own", F.filter("all", lambda x: x["base"])).withColumn(
         "all", F.filter("all", lambda x: x["base"] | ~F.exists("own", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])))
     )
-    shown = lambda spans, kinds: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
     base_names = F.array(*[F.lit(k) for k in KINDS], F.lit("secret"))
-    spans = F.array_join(F.transform("all", lambda x: F.concat_ws(":", F.element_at(F.when(x["base"], base_names).otherwise(names), x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+    def shown(spans: str) -> Column:
+        name = lambda x: F.element_at(F.when(x["base"], base_names).otherwise(names), x["kind"] + 1)
+        one = lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["stop"].cast("string"))
+        return F.array_join(F.transform(spans, one), ",")
+
     count_of = lambda k: F.size(F.filter("own", lambda x: x["kind"] == k)).cast("long")
     counts = [count_of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     out = scan.select("row", "doc_id").join(of_row, "row", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,base:boolean>>")
     out = out.withColumn("own", F.coalesce("own", none)).withColumn("all", F.coalesce("all", none))
-    return out.select("doc_id", *counts, F.sha2(shown("own", base_names), 256).alias("base_sha256"), spans.alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(shown("own"), 256).alias("base_sha256"), shown("all").alias("spans"))

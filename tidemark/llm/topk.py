@@ -35,7 +35,9 @@ LONG = (-(2**63), 2**63 - 1)
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): one vector for each vec_id, the least of several; no nulls, no non-finite components."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd).groupBy("vec_id").agg(F.min("embedding").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd)
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("v"))
 
 
 def one_array(column: pa.ChunkedArray) -> pa.ListArray:
@@ -81,9 +83,9 @@ def as_long(x) -> int:
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k best other rows by integer inner product.
+    """(query_id, rank, vec_id, score): the k best other rows of each query by integer inner product.
 
-    vectors has vec_id and embedding; other columns are ignored. Components are
+    Queries are the rows whose vec_id is divisible by `every`. vectors has vec_id and embedding; other columns are ignored. Components are
     floor(64 * x). Ties go to the smaller vec_id. Null vec_ids, null vectors and
     vectors with null or non-finite components take no part; of rows that repeat a
     vec_id the least vector does. Shorter vectors are filled with zeros. Scores
@@ -96,22 +98,28 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
     dealt = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
     to_all = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = rows.filter(F.col("vec_id") % every == 0).withColumn("qb", dealt(query_blocks, 1))
-    found = rows.withColumn("rb", dealt(row_blocks, 2)).withColumn("qb", to_all(query_blocks)).select("qb", "rb", F.col("vec_id").alias("row_id"), F.col("v").alias("row"))
+    found = rows.withColumn("rb", dealt(row_blocks, 2)).withColumn("qb", to_all(query_blocks))
+    found = found.select("qb", "rb", F.col("vec_id").alias("row_id"), F.col("v").alias("row"))
 
     def met(asked: DataFrame, f, schema: str) -> DataFrame:
         each = asked.withColumn("rb", to_all(row_blocks))
         return each.groupBy("qb", "rb").cogroup(found.groupBy("qb", "rb")).applyInArrow(f, schema)
 
+    def of_lists(asked, blocks, best) -> pa.Table:
+        kinds = {"query_id": pa.int64(), "rb": pa.int32(), "best": pa.list_(pa.int64())}
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), (asked, blocks, best), strict=True)})
+
     def local_lists(q: pa.Table, x: pa.Table) -> pa.Table:
         if not len(q) or not len(x):
-            return pa.table({"query_id": pa.array([], pa.int64()), "rb": pa.array([], pa.int32()), "best": pa.array([], pa.list_(pa.int64()))})
+            return of_lists([], [], [])
         asked, ids = q.column("vec_id").to_numpy(), x.column("row_id").to_numpy()
         parts = partial_scores(q.column("v"), x.column("row"), slices)
         totals = sum(parts[1:], parts[0])
         # One more than k, as the query itself may lead.
         seen = np.concatenate([leaders(p, k + 1) for p in parts], axis=1)
-        best = [sorted((as_long(totals[i, j]) for j in set(seen[i].tolist()) if ids[j] != a), reverse=True)[:k] for i, a in enumerate(asked)]
-        return pa.table({"query_id": q.column("vec_id"), "rb": pa.array(np.full(len(q), x.column("rb")[0].as_py()), pa.int32()), "best": pa.array(best, pa.list_(pa.int64()))})
+        others = lambda i, a: (as_long(totals[i, j]) for j in set(seen[i].tolist()) if ids[j] != a)
+        best = [sorted(others(i, a), reverse=True)[:k] for i, a in enumerate(asked)]
+        return of_lists(asked, np.full(len(q), x.column("rb")[0].as_py()), best)
 
     def sufficient(q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -127,7 +135,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
                 score = sum((p[i, at] for p in parts[1:]), parts[0][i, at])
                 keep = (ids[at] != a) & (True if low is None else np.asarray(score >= low, dtype=bool))
                 at, score = at[keep], score[keep]
-                for j in np.lexsort((ids[at], np.array([-as_long(s) for s in score], dtype=object if score.dtype == object else np.int64)))[:k]:
+                falling = np.array([-as_long(s) for s in score], dtype=object if score.dtype == object else np.int64)
+                for j in np.lexsort((ids[at], falling))[:k]:
                     for column, value in zip(out, (a, ids[at[j]], as_long(score[j])), strict=True):
                         column.append(int(value))
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
@@ -136,8 +145,10 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
     best_of = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), asc=False), 1, k)
     # In two steps, so that no query gathers the lists of all blocks at once.
     some = lists.groupBy("query_id", (F.col("rb") % max(1, int(row_blocks**0.5))).alias("part")).agg(best_of("best").alias("best"))
-    cutoffs = some.groupBy("query_id").agg(best_of("best").alias("best")).select(F.col("query_id").alias("vec_id"), F.get("best", F.lit(k - 1)).alias("cutoff"))
+    whole = some.groupBy("query_id").agg(best_of("best").alias("best"))
+    cutoffs = whole.select(F.col("query_id").alias("vec_id"), F.get("best", F.lit(k - 1)).alias("cutoff"))
     asked = queries.join(materialize(cutoffs, "topk-cutoffs"), "vec_id", "left")
     entries = met(asked, sufficient, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

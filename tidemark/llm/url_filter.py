@@ -46,11 +46,16 @@ def rule_starts(rules: DataFrame) -> DataFrame:
 
     Of the rules of one host the longest path comes first; of equal rules block.
     """
-    named = rules.select(host_key(lower_ascii("host")).alias("key"), F.struct(-F.length("path"), F.col("path"), F.when(F.col("verdict") == "block", 0).otherwise(1), F.concat("host", "path").alias("rule"), "verdict").alias("r"))
+    by_rank = (-F.length("path"), F.col("path"), F.when(F.col("verdict") == "block", 0).otherwise(1))
+    rule = F.struct(*by_rank, F.concat("host", "path").alias("rule"), "verdict")
+    named = rules.select(host_key(lower_ascii("host")).alias("key"), rule.alias("r"))
     hosts = named.groupBy("key").agg(F.array_sort(F.collect_set("r")).alias("own"))
     labels = F.split(F.expr("substr(key, 1, length(key) - 1)"), r"\.", -1)
-    parents = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit(".")))).alias("parent"))
-    outer = hosts.select(F.col("key").alias("parent"), F.struct(-F.length("key"), F.col("key").alias("prefix"), F.transform("own", lambda r: F.struct(r["path"].alias("path"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))).alias("rules")).alias("level"))
+    parent = lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit("."))
+    parents = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), parent)).alias("parent"))
+    shown = F.transform("own", lambda r: F.struct(*[r[n].alias(n) for n in ("path", "rule", "verdict")]))
+    level = F.struct(-F.length("key"), F.col("key").alias("prefix"), shown.alias("rules"))
+    outer = hosts.select(F.col("key").alias("parent"), level.alias("level"))
     return parents.join(outer, "parent").groupBy("key").agg(F.array_sort(F.collect_list("level")).alias("stack"))
 
 
@@ -65,15 +70,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     """
     groups = 4 * width(pages.sparkSession)
     page = pages.select(F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    page = page.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("url", "page_id"), F.lit(groups)).cast("int").alias("group"))
+    group = F.pmod(F.xxhash64("url", "page_id"), F.lit(groups)).cast("int")
+    url = F.col("url")
+    page = page.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), group.alias("group"))
     starts = rule_starts(rules)
-    events = page.select("group", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path").unionByName(
-        starts.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "key", F.lit(0).alias("kind"), "stack"), allowMissingColumns=True
-    )
+    in_all = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    starts = starts.select(in_all, "key", F.lit(0).alias("kind"), "stack")
+    keyed = page.select("group", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path")
+    events = keyed.unionByName(starts, allowMissingColumns=True)
     sweep = Window.partitionBy("group").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
     holding = F.filter("active", lambda level: F.startswith(F.col("key"), level["prefix"]))
     fitting = F.filter(F.flatten(F.transform(holding, lambda level: level["rules"])), lambda r: F.startswith(F.col("path"), r["path"]))
     # Without any start before a page there is no stack at all.
     found = swept.withColumn("found", F.get(fitting, F.lit(0)))
-    return found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
+    verdict = F.coalesce("found.verdict", F.lit(default))
+    return found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
