@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,9 +16,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
 #: ASCII white space, the separators of a word in most operators.
 SPACE = r"\x20\x09-\x0D"
 #: Rows of whole texts that Python works on at a time.
-TEXT_BATCH = 512
+TEXT_BATCH = 256
+#: Bits of a bitmap of marked ids.
+MARKS = 1 << 25
 #: Rows in one Arrow batch between the JVM and Python, at most.
-ARROW_ROWS = 1024
+ARROW_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables written by this process that release() has not deleted.
 _written: list[str] = []
+_held: list[DataFrame] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -45,8 +49,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, computed and kept on the executors' disks; what a lost executor held is computed again.
+
+    For tables in the middle of one operator, whose lineage goes back only to a
+    written table: unlike materialize() it makes no files in the shared folder.
+    """
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    df.count()
+    return df
+
+
 def release(spark: SparkSession) -> None:
-    """Delete all that materialize() has written; only once no result that reads it is needed."""
+    """Delete all that materialize() and held() keep; only once no result that reads it is needed."""
+    while _held:
+        _held.pop().unpersist()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -90,6 +107,32 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def marks(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of MARKS bits over hashes of a column: (bucket, bits), at most 1024 rows of 4 KB for any number of ids."""
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MARKS)) + 1
+    known = ids.filter(F.col(column).isNotNull())
+    found = known.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    # Dealt by bucket first: else each task would make and send bitmaps of its own.
+    return found.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def split_marked(df: DataFrame, column: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose id surely isn't marked, and those whose id may be.
+
+    The bitmap's size is bounded, so it is broadcast; the more ids are marked, the
+    more rows may be, and only those need a join that shuffles them.
+    """
+    bucket, bits, at = (n + "_" * (1 + max(map(len, df.columns))) for n in ("bucket", "bits", "at"))
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MARKS)) + 1
+    placed = df.withColumn(at, place).withColumn(bucket, F.bitmap_bucket_number(at))
+    held = placed.join(F.broadcast(bitmap.toDF(bucket, bits)), bucket, "left")
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_marked = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    plain = [F.col(f"`{c}`") for c in df.columns]
+    return held.filter(~is_marked).select(*plain), held.filter(is_marked).select(*plain)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,8 @@ hash and the place (doc_id, text, position). A first aggregation, combined on th
 map side, finds the windows that occur more than once and their first place, so a
 window that stands in a third of all documents costs one row a task. Only
 occurrences of those windows are joined back; the covered line ranges of a
-document are merged and taken out of its text. Documents are shuffled once.
+document are merged and taken out of its text. Of the texts only those are
+shuffled that may lose lines, by a bitmap of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_as_bytes
+from .common import map_batches, marks, materialize, split_marked, texts_as_bytes
 
 LINES = 3
 #: A single line of more words than this is a window of its own.
@@ -95,7 +96,11 @@ def line_dedup(
     again = own.select("id", "first", F.explode("all").alias("x")).filter("struct(x.version, x.start) > first")
     both = later.select("id", "version", "start", "stop").unionByName(again.select("id", "x.version", "x.start", "x.stop"))
     ranges = both.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    ranges = ranges.toDF(id_, version, covered)
+    ranges = materialize(ranges.toDF(id_, version, covered), "line-ranges")
+    # Documents that lose nothing are most: they go on as they are, and only the others' texts are shuffled.
+    whole, rest = split_marked(placed, id_, marks(ranges, id_))
+    nothing = F.lit(None).cast(ranges.schema[covered].dataType)
+    found = whole.withColumn(covered, nothing).unionByName(rest.join(ranges, [id_, version], "left"))
 
     def take_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, before, removed = [], [], []
@@ -112,4 +117,4 @@ def line_dedup(
 
     kept_as = [f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names]
     schema = ", ".join([*kept_as, *(f"`{c}` long" for c in counts)])
-    return map_batches(placed.join(ranges, [id_, version], "left"), take_out, schema)
+    return map_batches(found, take_out, schema)
