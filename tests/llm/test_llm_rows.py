@@ -88,6 +88,15 @@ def test_packing_of_odd_texts(spark):
     check_packing(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer()), texts, 2048)
 
 
+def test_both_encoders_give_the_same_ids(monkeypatch):
+    texts = ["It's été 中文 <|endoftext|> 12", "", "x" * 3000, " \n\t "]
+    assert packing.ranks_agree(tokenizer())
+    for t in texts:
+        assert packing.encoder(tokenizer())(t).tolist() == packing.encoder(tokenizer(), by_ranks=False)(t).tolist()
+    monkeypatch.setattr(packing, "ranked", lambda path: None)  # as if tiktoken could not take a text
+    assert [packing.encoder(tokenizer())(t).tolist() for t in texts] == [packing.encoder(tokenizer(), by_ranks=False)(t).tolist() for t in texts]
+
+
 def test_packing_of_repeated_rows(spark):
     out = packing.pack(spark.createDataFrame([(1, "a b")] * 3 + [(None, "c")], "doc_id long, text string"), tokenizer()).collect()
     assert len(out) == 4 and len({(r["sequence_id"], r["offset"]) for r in out}) == 4
@@ -291,3 +300,19 @@ def test_written_tables_can_be_released(spark):
     assert paths and all(map(os.path.exists, paths))
     common.release(spark)
     assert not any(map(os.path.exists, paths)) and not common._written
+
+
+def test_marks_miss_no_id(spark, monkeypatch):
+    from tidemark.llm import common
+
+    df = spark.range(5000).select((F.col("id") - 100).alias("doc_id"), F.lit(1).alias("bits"), F.lit(2).alias("at")).unionByName(spark.createDataFrame([(None, 1, 2)], "doc_id long, bits int, at int"))
+    ids = df.filter("doc_id % 7 = 3").select(F.col("doc_id").alias("k"))
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(common, "MARKS", bits)
+        sure, maybe = common.split_marked(df, "doc_id", common.marks(ids, "k"))
+        assert sure.columns == maybe.columns == df.columns
+        assert sure.filter("doc_id % 7 = 3").isEmpty() and maybe.filter("doc_id % 7 = 3").count() == ids.count()
+        assert sure.count() + maybe.count() == 5001 and sure.filter("doc_id is null").count() == 1
+        assert bits == 64 or maybe.count() < 1.05 * ids.count()
+    sure, maybe = common.split_marked(df, "doc_id", common.marks(ids.limit(0), "k"))
+    assert sure.count() == 5001 and maybe.count() == 0

@@ -109,15 +109,16 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> list[tu
 
 
 @cache
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under a byte-level BPE file of the tokenizers library.
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
 
-    The ranks are those of the file; tiktoken applies them several times faster.
-    A file for which both differ on the probes, and a text that tiktoken can't
-    take, go through tokenizers itself.
-    """
+    return Tokenizer.from_file(path)
+
+
+@cache
+def ranked(path: str):
+    """The ranks of a byte-level BPE file of the tokenizers library, applied by tiktoken."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -127,27 +128,45 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
-    if any(fast.encode(t, allowed_special="all") != slow.encode(t, add_special_tokens=False).ids for t in PROBES):
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+def ranks_agree(path: str) -> bool:
+    """Whether tiktoken gives the ids of tokenizers for the probes; asked once, on the driver."""
+    try:
+        fast, slow = ranked(path), whole_tokenizer(path)
+        return all(fast.encode(t, allowed_special="all") == slow.encode(t, add_special_tokens=False).ids for t in PROBES)
+    except (KeyError, ValueError):
+        return False
+
+
+def encoder(path: str, by_ranks: bool = True) -> Callable[[str], np.ndarray]:
+    """Ids of a text: by ranks, several times faster, or by tokenizers itself.
+
+    A text that tiktoken can't take goes through tokenizers too, which a worker
+    loads only then.
+    """
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(whole_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def encode(text: str) -> np.ndarray:
+    def fast(text: str) -> np.ndarray:
         try:
-            return np.frombuffer(fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+            return np.frombuffer(ranked(path).encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
         except BaseException as e:  # the library's own panics derive from BaseException
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return slow(text)
 
-    return encode
+    return fast if by_ranks else slow
 
 
 def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document: full windows, then the rest."""
+    by_ranks = ranks_agree(tokenizer)
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, by_ranks)
         out: list[list] = [[] for _ in range(5)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
