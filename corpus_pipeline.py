@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, materialize, table
+from tidemark.llm.common import SPACE, marks, materialize, split_marked, table
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near_dedup import near_dedup
@@ -45,17 +45,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that repeat both doc_id and text, one."""
-    kept, rows, nth = unused(docs, "kept"), unused(docs, "rows"), unused(docs, "nth")
-    ids = materialize(near_dedup(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).toDF(kept, rows), "pipeline-kept")
-    own_id = F.col("doc_id").cast("long")
-    repeated = ids.filter((F.col(rows) > 1) & F.col(kept).isNotNull())
-    if repeated.isEmpty():
-        return docs.join(ids, own_id.eqNullSafe(F.col(kept)), "left_semi")
-    once = docs.join(ids.join(repeated.select(kept), kept, "left_anti"), own_id.eqNullSafe(F.col(kept)), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    more = docs.join(repeated, own_id == F.col(kept), "left_semi").withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
-    return once.unionByName(more)
+    """One document of each group of near copies; of rows that repeat both doc_id and text, one. Rows without a doc_id stay.
+
+    Only rows whose id may be that of a dropped or a repeated document are shuffled.
+    """
+    seen, rows, nth = unused(docs, "seen"), unused(docs, "rows"), unused(docs, "nth")
+    by_id = near_dedup(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.every("kept").alias("kept"), F.count("*").alias("rows"))
+    special = materialize(by_id.filter("not kept or rows > 1").toDF(seen, "kept", rows), "pipeline-special")
+    sure, rest = split_marked(docs, "doc_id", marks(special, seen))
+    rest = rest.join(special.filter("not kept").select(seen), F.col("doc_id").cast("long") == F.col(seen), "left_anti")
+    if not special.filter(F.col("kept") & (F.col(rows) > 1)).isEmpty():
+        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+        rest = rest.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
+    return sure.unionByName(rest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, bounded_batches, map_batches, materialize, texts_as_bytes
+from .common import TEXT_BATCH, bounded_batches, held, map_batches, marks, materialize, split_marked, texts_as_bytes
 from .components import components
 
 SHINGLE = 5
@@ -234,26 +234,28 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.band", "x.key")
     pivot = F.min_by("node", F.xxhash64("node", "key")).alias("pivot")
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1")
-    members = materialize(bands.join(buckets, "key"), "near-members")
+    members = held(bands.join(buckets, "key"))
     involved = members.select(F.col("node").alias("doc_id")).distinct()
+    # Most documents share no bucket: their texts are left out before the shuffle.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = split_marked(texts, "doc_id", marks(involved, "doc_id"))[1]
     texts = materialize(texts.join(involved, "doc_id", "left_semi"), "near-texts")
 
     a, b = nodes.toDF("a", "n_a", "sig_a"), nodes.toDF("b", "n_b", "sig_b")
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     possible = likely(stars.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b")))
     best = possible.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    first = materialize(verified(best, texts), "near-links")
+    first = held(verified(best, texts))
 
     root = components(first)
     rooted = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "near-rooted")
+    rooted = held(rooted)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     columns = ["key", "i", "j", "band", "node", "n_shingles", "root", "sig", "text"]
     open_rows = rooted.join(split, "key").join(nodes, "node")
     dealt = lambda df: df.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     sparse = open_rows.filter(F.col("m") <= DENSE).withColumns({"i": F.lit(0), "j": F.lit(0), "text": F.lit(None).cast("string")})
-    rest = verified(materialize(in_blocks(dealt(sparse)), "near-rest"), texts)
+    rest = verified(held(in_blocks(dealt(sparse))), texts)
     # Texts are joined once a member; only then is a member dealt to the blocks that it meets.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dense = (
@@ -279,7 +281,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs), "near-signatures")
     # Equal sets have equal signatures, so any of them will do.
     of_class = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")]
-    classes = materialize(signed.filter("digest is not null").groupBy("digest").agg(*of_class), "near-classes")
+    classes = held(signed.filter("digest is not null").groupBy("digest").agg(*of_class))
     nodes = classes.filter("node is not null").select("node", "n_shingles", "sig")
     found = links(nodes, docs)
     # A doc_id that stands on several rows ties their classes together.
