@@ -126,6 +126,18 @@ def test_contexts_discover_identifiers(spark):
     assert got[20] == ("email_like:16:27",) and got[21] == ("",) and got[0] == ("email:16:25",)
 
 
+def test_seeds_of_several_words_and_without_a_digit_teach_contexts(spark):
+    texts = [f"please call us {x}+1 (017) 555-77{i}, thanks" for i, x in enumerate(["", "", '"', "("] * 5, start=10)]
+    cards = [f"4{i:03d} 1111 1111 111" for i in range(100, 120)]
+    texts += [f"paid by card {c}{next(d for d in '0123456789' if brute.luhn((c + d).replace(' ', '')))} today" for c in cards]
+    texts += [f"my e-mail is {c}{c}.smith@example.com now" for c in "abcdefghijklmnopqrst"]
+    at = len(texts)
+    texts += ["please call us (018) 555-7799 now", "paid by card 4111 1111 1111 1112 now", "my e-mail is jane.smith(at)example now", "my e-mail is gone now", "who is jane.smith(at)example"]
+    got = by_id(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
+    assert [got[at + k][0] for k in range(5)] == ["phone_like:15:29", "card_like:13:32", "email_like:13:34", "", ""]
+    assert got[0] == ("phone:15:32",) and "_like" not in "".join(got[i][0] for i in range(at))
+
+
 @pytest.mark.parametrize("f", [quality_rules.quality_rules, quality_rules.quality_filter, line_dedup, near_dedup, license_scan.license_scan, pii.personal_data])
 def test_empty_tables(f, documents):
     assert f(documents.limit(0)).count() == 0

@@ -1,9 +1,10 @@
 """Personal data by patterns and by bootstrapped contexts.
 
-One scan over the texts finds the base matches of four kinds and all candidate
-tokens (words with a digit) with the words before them; what follows works on
-those few columns and never on texts. Base matches and long hexadecimal keys are
-seeds. The words before a seed are a lexical pattern; patterns and instances form
+One scan over the texts finds the base matches of four kinds and all candidates
+with the words before them; what follows works on those few columns and never on
+texts. Candidates go by shape: words with a digit, numbers of several words, and
+words without a digit that have a mark between letters, as addresses do. Valid
+base matches, whole, and long hexadecimal keys are seeds. The words before a seed are a lexical pattern; patterns and instances form
 a graph that is scored in rounds: a pattern by the share of its distinct
 instances that are good, an instance by its best pattern. Patterns that stay above
 a confidence mark identifiers that no seed had.
@@ -32,7 +33,19 @@ PATTERNS = {
     "card": ("", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: Marks around a candidate that are no part of it.
+_OPEN, _CLOSE = r"[\"'(\[{<]", r"[\"')\]}>.,;:!?#$%&*|]"
+_END = rf"{_CLOSE}*+(?![^{SPACE}])"
+_GROUP = r"\(*+[0-9][0-9()./-]*+"
+_NEXT = rf"\x20++{_GROUP}(?={_END})"
+#: Candidates by shape: words with a digit; numbers of several words (19 digits at most, so as many words); words without a digit.
+TOKEN, NUMBER, NAME, BASE = range(4)
+SHAPES = {
+    TOKEN: rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+",
+    NUMBER: rf"(?<![^{SPACE}])[\"'\[{{<]*+\+?{_GROUP}(?:{_NEXT}){{1,18}}+(?!{_NEXT})",
+    NAME: rf"(?<![^{SPACE}])(?=[^{SPACE}0-9]++(?![^{SPACE}]))[^{SPACE}]*?\p{{L}}[@._%+(\[-]++\p{{L}}[^{SPACE}]*+",
+}
+MOST_DIGITS = 19
 #: Seeds beyond the base kinds.
 SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}$"
 #: Characters before a candidate in which its context stands, and words of it.
@@ -43,7 +56,8 @@ LEAST_SEEDS = 3
 LEAST_LENGTH = 6
 BROADCAST_ROWS = 100_000
 
-_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>"
+_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,core:string,context:string>>"
+_CANDIDATES = "array<struct<shape:int,i:int,gap:int,token:string,context:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -68,42 +82,62 @@ def valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def hits_with_place(hits: Column) -> Column:
-    return F.transform(hits, lambda h, i: F.struct(i.cast("int").alias("i"), h.alias("h")))
+def context_of(hits: Column, gaps: Column, i: Column) -> Column:
+    """The last words before match i, back to the last word that looks like an identifier itself."""
+    tail = lambda c: F.coalesce(F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(""))
+    # A match and the gaps around it have a word at least, so two matches back are enough for two words.
+    opened = F.regexp_replace(F.get(gaps, i), f"{_OPEN}+$", "")
+    before = F.concat(tail(F.get(hits, i - 2)), tail(F.get(gaps, i - 1)), tail(F.get(hits, i - 1)), tail(opened))
+    words = F.filter(F.split(F.lower(tail(before)), f"[{SPACE}]+", -1), lambda w: w != "")
+    last = F.filter(F.transform(words, lambda w, k: F.when(F.rlike(w, F.lit("[0-9@]")), k + 1)), lambda k: k.isNotNull())
+    since = F.greatest(F.coalesce(F.array_max(last), F.lit(0)), F.size(words) - CONTEXT_WORDS) + 1
+    return F.array_join(F.slice(words, since, F.lit(CONTEXT_WORDS)), " ")
 
 
-def as_hit(number: int, kind: str) -> Callable[[Column, Column], Column]:
-    return lambda hit, gap: F.struct(
-        F.lit(number).alias("kind"), hit["i"].alias("i"), F.length(gap).alias("gap"), F.length(hit["h"]).alias("len"), valid(kind, hit["h"]).alias("ok")
-    )
+def each_match(text: Column, pattern: str, row: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """row(match, gap before it, its number, its context) of all matches; the text is searched once for them and once for the gaps."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+    def rows(x: Column) -> Column:
+        return F.transform(x["hits"], lambda h, i: row(h, F.get(x["gaps"], i), i, context_of(x["hits"], x["gaps"], i)))
+
+    # The one element names what was found, else each use of it would search the text again.
+    return F.get(F.transform(F.array(found), rows), F.lit(0))
 
 
 def base_hits(text: Column) -> Column:
-    """All matches of the base kinds, valid or not, with the length of the gap before each."""
+    """All matches of the base kinds, valid or not, with the length of the gap before each; valid ones with their text and context."""
+
+    def as_hit(number: int, kind: str) -> Callable[[Column, Column, Column, Column], Column]:
+        def hit(h: Column, gap: Column, i: Column, context: Column) -> Column:
+            ok = valid(kind, h)
+            lengths = F.length(gap).alias("gap"), F.length(h).alias("len")
+            seed = F.when(ok, h).alias("core"), F.when(ok, context).alias("context")
+            return F.struct(F.lit(number).alias("kind"), i.cast("int").alias("i"), *lengths, ok.alias("ok"), *seed)
+
+        return hit
+
     found = []
     for k, kind in enumerate(KINDS):
         must, pattern = PATTERNS[kind]
-        gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-        each = F.zip_with(hits_with_place(hits), F.slice(gaps, F.lit(1), F.size(gaps) - 1), as_hit(k, kind))
         has = F.rlike(text, F.lit("[0-9]")) if not must else F.contains(text, F.lit(must))
-        found.append(F.when(has, each.cast(_HITS)).otherwise(F.array().cast(_HITS)))
+        found.append(F.when(has, each_match(text, pattern, as_hit(k, kind)).cast(_HITS)).otherwise(F.array().cast(_HITS)))
     return F.concat(*found)
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a digit, with the gap before each and the last words of that gap."""
-    gaps, hits = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
-    kind = "array<struct<i:int,gap:int,token:string,context:string>>"
+    """Matches of each shape, with the gap before each and its context."""
 
-    def context(gap: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)), f"[{SPACE}]+", -1), lambda w: w != "")
-        return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)), " ")
+    def as_candidate(shape: int) -> Callable[[Column, Column, Column, Column], Column]:
+        return lambda h, gap, i, context: F.struct(
+            F.lit(shape).alias("shape"), i.cast("int").alias("i"), F.length(gap).alias("gap"), h.alias("token"), context.alias("context")
+        )
 
-    def candidate(h: Column, g: Column) -> Column:
-        return F.struct(h["i"].alias("i"), F.length(g).alias("gap"), h["h"].alias("token"), context(g).alias("context"))
-
-    each = F.zip_with(hits_with_place(hits), F.slice(gaps, F.lit(1), F.size(gaps) - 1), candidate)
-    return F.when(F.rlike(text, F.lit("[0-9]")), each.cast(kind)).otherwise(F.array().cast(kind))
+    found = []
+    for shape, pattern in SHAPES.items():
+        has = F.lit(True) if shape == NAME else F.rlike(text, F.lit("[0-9]"))
+        found.append(F.when(has, each_match(text, pattern, as_candidate(shape)).cast(_CANDIDATES)).otherwise(F.array().cast(_CANDIDATES)))
+    return F.concat(*found)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -119,44 +153,64 @@ def running(partition: list[str]) -> Window:
 
 
 def base_spans(scan: DataFrame) -> DataFrame:
-    """(row, kind, start, stop) of the valid base matches."""
+    """(row, kind, start, stop, core, context) of the valid base matches."""
     each = scan.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
     stop = F.sum(F.col("gap") + F.col("len")).over(running(["row", "kind"]))
-    return each.withColumn("stop", stop).filter("ok").select("row", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop")
+    return each.withColumn("stop", stop).filter("ok").select("row", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop", "core", "context")
 
 
-def instances(scan: DataFrame) -> DataFrame:
-    """(row, start, stop, core, context) of the candidates, without the marks around them."""
+def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
+    """(row, start, stop, core, context, shape, kinds) of base matches and of candidates without the marks around them.
+
+    kinds are those that an instance counts for: numbers of several words can be
+    cards and phones, names addresses. A candidate that starts where a base match
+    does is that match, unless it is a key, which has seeds of its own.
+    """
     each = scan.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("x")).select("row", "x.*")
-    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row"])))
-    opened = F.length(F.regexp_extract("token", r"^[\"'(\[{<]*", 0))
-    each = each.withColumn("start", F.col("end") - F.length("token") + opened)
-    each = each.withColumn("core", F.regexp_extract("token", r"^[\"'(\[{<]*(.*?)[\"')\]}>.,;:!?#$%&*|]*$", 1))
-    each = each.withColumn("stop", F.col("start") + F.length("core"))
-    return each.select("row", "start", "stop", "core", "context").filter(F.length("core") >= 1)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row", "shape"])))
+    number = F.col("shape") == NUMBER
+    opened = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*", 0)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*", 0))
+    inner = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*(.*[0-9])", 1)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*(.*?){_CLOSE}*$", 1))
+    each = each.withColumn("start", F.col("end") - F.length("token") + F.length(opened)).withColumn("core", inner)
+    each = each.withColumn("stop", F.col("start") + F.length("core")).filter(F.length("core") >= 1)
+    each = each.filter(~number | (F.length(F.regexp_replace("core", "[^0-9]", "")) <= MOST_DIGITS))
+    names = ["row", "start", "stop", "core", "context", "shape"]
+    every = each.select(*names).unionByName(base.withColumn("shape", F.lit(BASE)).select(*names).distinct())
+    here = Window.partitionBy("row", "start")
+    starts = lambda shape: F.max(F.col("shape") == shape).over(here)
+    every = every.withColumns({"based": starts(BASE), "numbered": starts(NUMBER)})
+    every = every.filter((F.col("shape") == BASE) | ~F.col("based") | F.rlike("core", F.lit(SECRET)))
+    kinds = lambda *names: F.array(*[F.lit(k) for k, kind in enumerate((*KINDS, "secret")) if kind in names])
+    of_shape = (
+        F.when(number, kinds("card", "phone"))
+        .when(F.col("shape") == NAME, kinds("email"))
+        .when((F.col("shape") == TOKEN) & F.col("numbered"), kinds("email", "ip", "secret"))
+        .otherwise(kinds(*KINDS, "secret"))
+    )
+    return every.select(*names, of_shape.alias("kinds"))
 
 
 def confident_patterns(found: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, context) of the patterns above the confidence.
 
-    found has (core, context), seeds (kind, core); both can repeat. Edges of the
-    graph are distinct, pre-aggregated pairs, so a pattern before a third of all
-    candidates costs as many rows as it has different instances.
+    found has (core, context, shape, kinds), seeds (kind, core); both can repeat.
+    Edges of the graph are distinct, pre-aggregated rows, so a pattern before a
+    third of all candidates costs as many rows as it has different instances.
     """
     instance = F.xxhash64("core").alias("instance")
-    wide = found.filter((F.length("core") >= LEAST_LENGTH) & (F.col("context") != ""))
-    edges = materialize(wide.select("context", instance).distinct(), "pii-edges")
+    wide = found.filter(((F.col("shape") == BASE) | (F.length("core") >= LEAST_LENGTH)) & (F.col("context") != ""))
+    edges = materialize(wide.select(F.explode("kinds").alias("kind"), "context", instance).distinct(), "pii-edges")
     seeded = materialize(seeds.select("kind", instance).distinct(), "pii-seeds")
-    of_pattern = edges.groupBy("context").agg(F.count("*").alias("n"))
+    of_pattern = edges.groupBy("kind", "context").agg(F.count("*").alias("n"))
     good = seeded.withColumn("score", F.lit(1.0))
     scored = None
     for turn in range(ROUNDS):
         sums = (F.sum("score").alias("mass"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        mass = edges.join(good, "instance").groupBy("kind", "context").agg(*sums).filter(F.col("seeds") >= LEAST_SEEDS)
+        mass = edges.join(good, ["kind", "instance"]).groupBy("kind", "context").agg(*sums).filter(F.col("seeds") >= LEAST_SEEDS)
         confidence = (F.col("mass") / (F.col("n") + 1)).alias("confidence")
-        scored = materialize(mass.join(of_pattern, "context").select("kind", "context", confidence), "pii-patterns")
+        scored = materialize(mass.join(of_pattern, ["kind", "context"]).select("kind", "context", confidence), "pii-patterns")
         if turn + 1 < ROUNDS:
-            lifted = edges.join(scored.filter(F.col("confidence") >= CONFIDENCE), "context")
+            lifted = edges.join(scored.filter(F.col("confidence") >= CONFIDENCE), ["kind", "context"])
             lifted = lifted.select("kind", "instance", F.col("confidence").alias("score"))
             every = seeded.withColumn("score", F.lit(1.0)).unionByName(lifted)
             good = materialize(every.groupBy("kind", "instance").agg(F.max("score").alias("score")), "pii-good")
@@ -173,18 +227,18 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     scan = scanned(docs)
     base = materialize(base_spans(scan), "pii-base")
-    found = materialize(instances(scan), "pii-instances")
+    found = materialize(instances(scan, base), "pii-instances")
     names = F.array(*[F.lit(f"{k}_like") for k in KINDS], F.lit("secret"))
-    secrets = found.filter(F.rlike("core", F.lit(SECRET)))
+    secrets = found.filter((F.col("shape") == TOKEN) & F.rlike("core", F.lit(SECRET)))
     keys = secrets.withColumn("kind", F.lit(len(KINDS)))
-    seeds = found.join(base.select("row", "start", "kind"), ["row", "start"]).select("kind", "core").unionByName(keys.select("kind", "core"))
+    seeds = base.select("kind", "core").unionByName(keys.select("kind", "core"))
     patterns = materialize(confident_patterns(found, seeds), "pii-confident")
     small = patterns.count() <= BROADCAST_ROWS
-    wide = found.filter(F.length("core") >= LEAST_LENGTH)
-    discovered = wide.join(F.broadcast(patterns) if small else patterns, "context").select("row", "kind", "start", "stop")
+    wide = found.filter((F.col("shape") != BASE) & (F.length("core") >= LEAST_LENGTH)).withColumn("kind", F.explode("kinds"))
+    discovered = wide.join(F.broadcast(patterns) if small else patterns, ["kind", "context"]).select("row", "kind", "start", "stop")
     more = discovered.unionByName(keys.select("row", "kind", "start", "stop"))
     more = more.groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
-    both = base.withColumn("base", F.lit(True)).unionByName(more.withColumn("base", F.lit(False)))
+    both = base.select("row", "kind", "start", "stop").withColumn("base", F.lit(True)).unionByName(more.withColumn("base", F.lit(False)))
     of_row = both.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "base"))).alias("all"))
     of_row = of_row.withColumn("own", F.filter("all", lambda x: x["base"])).withColumn(
         "all", F.filter("all", lambda x: x["base"] | ~F.exists("own", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])))
