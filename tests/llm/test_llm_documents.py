@@ -100,6 +100,14 @@ def test_license_scan(clashing, spark):
     assert license_scan.license_scan(clashing).count() == clashing.count()
 
 
+def test_a_template_counts_without_its_rarest_word(spark):
+    """'released' and 'v' are the rarest words of their templates, and outside of the key phrases."""
+    common = ["licensed under the MIT License"] * 3
+    texts = ["Released under the MIT License", *common, "subject to the terms of the Mozilla Public License version 2 0", "released under the license"]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "labels", "score")
+    assert got[0] == ("mit", 1.0) and got[1] == ("mit", 0.8) and got[4] == ("mpl-2.0", 11 / 12) and got[5] == ("", 0.0)
+
+
 PII_TEXTS = {
     1: "a@b.c_d@e.fg x 1.2.3.4.5.6.7.8 999.1.1.1", 2: "4111 1111 1111 1111, +44 (0) 1234-5678-9 +1 22", 3: "4111-1111-1111-1111 4111111111111112 00000000000000",
     4: "😀 x@y.zz 😀 +12 345 678 901", 5: "", 6: None, 7: "1" * 100_000, 8: "1 " * 5000, 9: "a.b@c.d.e.f..g 1.2.3.4 +1(2)3.4-5 6 7 8 9 0 1 2\n+123456789x", 10: "@@ a@ @b.c a@b a@b. a@b.-", 11: "0001.002.3.4 1.2.3.256 256.1.2.3.4",

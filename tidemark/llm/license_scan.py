@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare words.
 
 Corpus counts over all documents give each licence word its IDF. The index is
-keyed by the highest-IDF word of each template and holds its position there. A
-file's own such words are looked up; each gives a start by its relative position,
+keyed by the highest-IDF word of each template's mandatory key phrase, which
+every place that counts has, and holds its position in the template. A file's own such words are looked up; each gives a start by its relative position,
 and the other words of the template are intersected at their places after it. A
 template counts where enough of its words stand and its mandatory key phrase is
 complete. Base phrases are templates that must stand whole, so none is missed:
@@ -71,7 +71,8 @@ def license_scan(docs: DataFrame, base=BASE, templates=TEMPLATES, least_share: f
         forms.append((words, at, len(needed), label, False))
     vocabulary = sorted({w for words, *_ in forms for w in words})
     idf = rarity(docs, vocabulary)
-    anchors = [max(words, key=lambda w: (idf[w], w)) for words, *_ in forms]
+    keys = [words[key_at : key_at + key_words] for words, key_at, key_words, *_ in forms]
+    anchors = [max(key, key=lambda w: (idf[w], w)) for key in keys]
 
     read = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     seen = F.transform("words", lambda w, i: F.when(w.isin(sorted(set(anchors))), i))
@@ -81,7 +82,7 @@ def license_scan(docs: DataFrame, base=BASE, templates=TEMPLATES, least_share: f
         """(start, share) of each place where form k counts."""
         words, key_at, key_words, _, whole = forms[k]
         here = F.filter("rare", lambda i: F.get("words", i) == anchors[k])
-        starts = F.transform(here, lambda i: i - words.index(anchors[k]))
+        starts = F.transform(here, lambda i: i - key_at - keys[k].index(anchors[k]))
         stands = lambda s, i: F.coalesce(F.get("words", s + i) == words[i], F.lit(False))
 
         def measured(s: Column) -> Column:
