@@ -38,16 +38,15 @@ def quality(text, limits, line_limit):
     return n, chars, len(re.findall(r"[#*$%&|<>]", text)), dup, repeats, failed, kept
 
 
-def line_windows(lines):
+def line_windows(lines, short_texts=False):
     counted = [(i, x) for i, x in enumerate(lines) if words(x)]
+    k = min(3, len(counted)) if short_texts else 3
     if not counted:
         return []
-    k = min(3, len(counted))
-    out = [(counted[j][0], counted[j + k - 1][0], tuple(x for _, x in counted[j : j + k])) for j in range(len(counted) - k + 1)]
-    return out + ([(i, i, (x,)) for i, x in counted if len(words(x)) > 50] if k > 1 else [])
+    return [(counted[j][0], counted[j + k - 1][0], tuple(x for _, x in counted[j : j + k])) for j in range(len(counted) - k + 1)]
 
 
-def line_dedup(docs):
+def line_dedup(docs, short_texts=False):
     """[(doc_id, text)] of different ids to {doc_id: (text, n_lines, n_removed)}."""
     seen, out = set(), {}
     for doc_id, text in sorted(docs):
@@ -55,7 +54,7 @@ def line_dedup(docs):
             out[doc_id] = (None, 0, 0)
             continue
         lines, gone = text.split("\n") if text else [], set()
-        for start, stop, key in sorted(line_windows(lines)):
+        for start, stop, key in sorted(line_windows(lines, short_texts)):
             if key in seen:
                 gone.update(range(start, stop + 1))
             seen.add(key)
@@ -124,3 +123,22 @@ def pii_base(text):
     shown = ",".join(x for _, _, x in sorted(found))
     counts = collections.Counter(k for _, k, _ in found)
     return *(counts[k] for k in range(4)), hashlib.sha256(shown.encode()).hexdigest(), shown
+
+
+def pairwise_scores(x, good, pairs, seed, penalty, threshold):
+    """Bradley-Terry strengths by plain gradient descent on all drawn pairs, as scores."""
+    import numpy as np
+
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    z = np.clip((x - x.mean(axis=0)) / scale, -5, 5)
+    rng = np.random.default_rng(seed)
+    diff = z[rng.choice(np.flatnonzero(good), pairs)] - z[rng.choice(np.flatnonzero(~good), pairs)]
+    w, step = np.zeros(x.shape[1]), 4 / np.linalg.eigvalsh(diff.T @ diff / pairs).max()
+    for _ in range(20_000):
+        slope = penalty * w - diff.T @ (1 / (1 + np.exp(diff @ w))) / pairs
+        w = w - step * slope
+        if np.abs(slope).max() < 1e-6:
+            break
+    s = z @ w
+    cut = np.quantile(s, (~good).mean(), method="midpoint")
+    return 1 / (1 + np.exp(-(2 * (s - cut) / s.std() + np.log(threshold / (1 - threshold)))))

@@ -284,6 +284,27 @@ def test_classifier_learns_nothing_from_what_it_may_not(spark, clashing):
     assert quality_scores(clashing.limit(0), table(lambda i: 0), lambda d: ~held_out(d)).count() == 0
 
 
+def test_repeated_documents_change_no_score(spark, documents):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(1, 181)], "doc_id long, quality int")
+    scores = lambda df: {(r["doc_id"], r["score"]) for r in quality_scores(df, labels, lambda d: F.lit(True), max_fit=120).collect()}
+    once = scores(documents)
+    assert len({s for _, s in once}) > 100
+    thrice = documents.unionByName(documents).unionByName(documents)
+    assert scores(thrice) == once and quality_scores(thrice, labels, lambda d: F.lit(True), max_fit=120).count() == 3 * documents.count()
+
+
+def test_scores_are_those_of_plain_gradient_descent(spark, corpus, documents):
+    from tidemark.llm import quality_classifier as q
+
+    labels = {i: int(i % 3 > 0) for i, _ in corpus}
+    df = quality_scores(documents, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), lambda d: F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in df.collect()}
+    rows = sorted((bool(labels[i]), features((t or "").encode()).tolist(), i) for i, t in corpus)
+    x, good = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    want = brute.pairwise_scores(x, good, q.PAIRS, q.SEED, q.PENALTY, q.THRESHOLD)
+    assert max(abs(got[i] - s) for (_, _, i), s in zip(rows, want, strict=True)) < 0.02
+
+
 @pytest.mark.parametrize("text", [b"", b" \n", b"a", "é".encode() * 9, b"x" * 100_000, b"\n".join([b"same"] * 50), bytes(range(1, 128))])
 def test_features_are_finite(text):
     assert np.isfinite(features(text)).all()
