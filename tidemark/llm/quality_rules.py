@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_as_bytes
 
-#: Largest share of characters inside n-grams seen before in the text, by n.
-NGRAM_LIMITS = {5: 0.30, 6: 0.30, 7: 0.30, 8: 0.30, 9: 0.30, 10: 0.30}
+#: Largest share of characters inside n-grams seen before in the text, by n: the longer the n-gram, the less chance repeats it.
+#: These and the next are the limits published with the Gopher corpus (Rae et al., 2021, table A1).
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters inside repeated lines.
-LINE_LIMIT = 0.30
+LINE_LIMIT = 0.20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -134,8 +135,9 @@ def quality_filter(docs: DataFrame, ngram_limits: dict[int, float] | None = None
 def quality_rules(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """One verdict for each row of docs (doc_id, text; other columns are ignored).
 
-    Null and empty texts have no words and fail the base rule. Repeated rows
-    are judged each on its own. An empty table gives an empty result.
+    Null and empty texts have no words and fail the base rule. Repeated rows,
+    and rows with a null doc_id, are judged each on its own. Very long texts are
+    judged whole, one at a time. An empty table gives an empty result.
     """
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
 
