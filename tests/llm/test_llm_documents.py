@@ -23,6 +23,28 @@ def test_quality_rules(clashing, corpus):
     assert {x[-2:] for x in want.values()} >= {(True, False), (False, True)}
 
 
+def test_the_method_drops_texts_that_the_base_rule_keeps(spark):
+    fresh = (f"w{i}" for i in range(10_000))
+    words = lambda n: " ".join(next(fresh) for _ in range(n))
+    sentence, heading = words(20), words(2)
+    texts = {
+        1: f"{sentence} {words(50)} {sentence}",  # 20 of 90 words again
+        2: f"{sentence} {words(160)} {sentence}",  # 10 of 200
+        3: "\n".join(f"{heading}\n{words(5)}" for _ in range(12)),  # 22 of 84 words in lines again
+        4: "\n".join(f"{heading}\n{words(9)}" for _ in range(12)),  # 22 of 132
+        5: words(60),
+    }
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "base_failed", "kept")
+    assert got == {1: (False, False), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, True)}
+
+
+def test_quality_rules_of_repeated_rows_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (None, long), (None, None), (2, "")]
+    got = collections.Counter((r["doc_id"], r["kept"]) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, True): 2, (None, True): 1, (None, False): 1, (2, False): 1}
+
+
 def test_quality_filter_keeps_rows_as_they_are(clashing):
     kept = {r["doc_id"] for r in quality_rules.quality_rules(clashing).filter("kept").collect()}
     out = quality_rules.quality_filter(clashing)
@@ -37,18 +59,30 @@ def test_windows_of_very_many_different_words_are_compared_exactly():
     assert keys[0] == keys[4] and len(set(keys.tolist())) == 5
 
 
-def test_line_dedup(clashing, corpus):
-    out = line_dedup(clashing)
+@pytest.mark.parametrize(("short_texts", "least_hot"), [(False, 1000), (True, 1000), (False, 1)])
+def test_line_dedup(clashing, corpus, monkeypatch, short_texts, least_hot):
+    monkeypatch.setattr("tidemark.llm.line_dedup.LEAST_HOT", least_hot)  # with 1 a window of a few texts is a frequent one
+    out = line_dedup(clashing, short_texts=short_texts)
     assert out.columns == [*clashing.columns, "n_lines", "n_removed"]
-    want = brute.line_dedup(corpus)
+    want = brute.line_dedup(corpus, short_texts)
     assert by_id(out, "text", "n_lines", "n_removed") == want
-    assert sum(x[2] > 0 for x in want.values()) > 40
+    assert sum(x[2] > 0 for x in want.values()) > (40 if short_texts else 25)
+
+
+def test_long_lines_are_windows_only_with_their_neighbours(spark):
+    lines = lambda *ns: "\n".join(" ".join(f"w{n}x{i}" for i in range(n)) for n in ns)
+    rows = [(1, lines(50, 51, 3)), (2, lines(51, 9, 50)), (3, lines(7, 50, 51, 3)), (4, lines(51)), (5, lines(51))]
+    assert by_id(line_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed") == {1: (0,), 2: (0,), 3: (3,), 4: (0,), 5: (0,)}
 
 
 def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc"), (None, "a\nb\nc\nd"), (1, "a\nb\nc\nother")]
     got = collections.Counter((r["doc_id"], r["text"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[None, "a\nb\nc\nd"] == 1 and got[2, "x"] == 1 and got[1, ""] == 2 and got[1, "other"] == 1
+    rows = [(None, "a\nb\nc\nd"), (None, "a\nb\nc"), (None, "a\nb\nc\nd"), (None, None), (4, "x\ny\nz\nx\ny\nz\nx\ny\nz")]
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # Of the two texts without an id one comes first, by its hash, on each of its rows.
+    assert got in ({(None, 0): 3, (None, 3): 1, (4, 6): 1}, {(None, 0): 2, (None, 3): 2, (4, 6): 1})
 
 
 def test_near_dedup(clashing, corpus):

@@ -1,12 +1,14 @@
 """Line deduplication over overlapping three-line windows.
 
 Windows are taken over the lines that have a word; each is keyed by a 128-bit
-hash and the place (doc_id, text, position). A first aggregation, combined on the
-map side, finds the windows that occur more than once and their first place, so a
-window that stands in a third of all documents costs one row a task. Only
-occurrences of those windows are joined back; the covered line ranges of a
-document are merged and taken out of its text. Of the texts only those are
-shuffled that may lose lines, by a bitmap of bounded size.
+hash and the place (doc_id, text, position). A window that its own text has
+already had is known at once. Of the others a first aggregation, combined on the
+map side, finds those that several texts have, and the least doc_id of each, so a
+window that stands in a third of all documents costs one row a task. Occurrences
+of frequent windows are found by a broadcast of those windows, of which there can
+be only HOT_WINDOWS, and the rest by a join. The covered line ranges of a document
+are merged and taken out of its text. Of the texts only those are shuffled that
+may lose lines, by a bitmap of bounded size.
 """
 
 from __future__ import annotations
@@ -19,28 +21,27 @@ from pyspark.sql import functions as F
 from .common import map_batches, marks, materialize, split_marked, texts_as_bytes
 
 LINES = 3
-#: A single line of more words than this is a window of its own.
-LONG_LINE = 50
-_WINDOWS = "id long, version long, start int, stop int, h1 long, h2 long"
+#: Windows that are joined by a broadcast, at most: only so many can each have a HOT_WINDOWS-th part of all places.
+HOT_WINDOWS = 10_000
+#: Places up to which a window is never among them.
+LEAST_HOT = 1_000
+_WINDOWS = "id long, version long, start int, stop int, h1 long, h2 long, again boolean"
 
 
-def line_windows(lines: list[bytes], size: int = LINES, long_line: int = LONG_LINE) -> list[tuple[int, int, bytes]]:
+def line_windows(lines: list[bytes], size: int = LINES, short_texts: bool = False) -> list[tuple[int, int, bytes]]:
     """(first line, last line, key) of each window.
 
     Lines without a word count for no window and lie within one that spans them.
-    A text with fewer lines than a window has one window of all of them.
+    A text with fewer lines than a window has none, or with short_texts one of all of them.
     """
     counted = [(i, line) for i, line in enumerate(lines) if not line.isspace() and line]
-    if not counted:
+    k = min(size, len(counted)) if short_texts else size
+    if not counted or len(counted) < k:
         return []
-    k = min(size, len(counted))
-    out = [
+    return [
         (counted[j][0], counted[j + k - 1][0], xxhash.xxh3_128_digest(b"\n".join(x for _, x in counted[j : j + k])))
         for j in range(len(counted) - k + 1)
     ]
-    if k > 1:
-        out += [(i, i, xxhash.xxh3_128_digest(x)) for i, x in counted if len(x) > 2 * long_line and len(x.split()) > long_line]
-    return out
 
 
 def without(lines: list[bytes], ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -55,15 +56,17 @@ def without(lines: list[bytes], ranges: list[tuple[int, int]]) -> tuple[bytes, i
 
 
 def line_dedup(
-    docs: DataFrame, size: int = LINES, long_line: int = LONG_LINE, counts: tuple[str, str] = ("n_lines", "n_removed")
+    docs: DataFrame, size: int = LINES, short_texts: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")
 ) -> DataFrame:
     """docs with text deduplicated, and with two counts added: lines, and lines taken out (replaced, if docs has such columns).
 
     The first occurrence of a window, by doc_id (null first), then a hash of the
-    text, then position, stays; lines covered by later occurrences go. Null texts
-    stay null, with no lines. Rows that repeat both doc_id and text count as one
-    place, so they get the same text. Extra columns go through; an empty table
-    gives an empty result.
+    text, then position, stays; lines covered by later occurrences go. A text of
+    fewer than `size` lines with a word has no window and stays as it is; with
+    short_texts all of its lines are its window. Null texts stay null, with no lines.
+    Rows that repeat both doc_id and text count as one place, so they get the same
+    text. Very long texts and lines are taken whole. Extra columns go through; an
+    empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in counts]
     # Internal names that no column of docs has.
@@ -75,26 +78,35 @@ def line_dedup(
     )
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for i, v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
-            for start, stop, key in line_windows(text.split(b"\n"), size, long_line):
+            had: set[bytes] = set()
+            for start, stop, key in line_windows(text.split(b"\n"), size, short_texts):
                 halves = (int.from_bytes(key[k : k + 8], "little", signed=True) for k in (0, 8))
-                values = (i, v, start, stop, *halves)
-                for column, value in zip(out, values, strict=True):
+                for column, value in zip(out, (i, v, start, stop, *halves, key in had), strict=True):
                     column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                had.add(key)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "version", "start", "stop", "h1", "h2"])
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _WINDOWS.split(", ")])
 
     places = materialize(map_batches(placed.select(id_, version, "text"), windows, _WINDOWS), "line-windows")
-    firsts = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
-    repeated = places.join(firsts.select("h1", "h2", "first_id"), ["h1", "h2"])
-    later = repeated.filter("id > first_id")
-    # Within the first document a window can stand again; so can rows of one doc_id with other texts.
-    first, spans = F.min(F.struct("version", "start")), F.collect_set(F.struct("version", "start", "stop"))
-    own = repeated.filter("id = first_id").groupBy("h1", "h2", "id").agg(first.alias("first"), spans.alias("all"))
-    again = own.select("id", "first", F.explode("all").alias("x")).filter("struct(x.version, x.start) > first")
-    both = later.select("id", "version", "start", "stop").unionByName(again.select("id", "x.version", "x.start", "x.stop"))
+    window, place = ["h1", "h2"], ["id", "version", "start", "stop"]
+    of_text = places.filter("not again").drop("again")
+    firsts = of_text.groupBy(*window).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+    firsts = materialize(firsts, "line-firsts")
+    least_hot = max(LEAST_HOT, -(-of_text.count() // HOT_WINDOWS))
+    hot = F.broadcast(firsts.filter(F.col("n") > least_hot).drop("n"))
+    other = firsts.filter(F.col("n") <= least_hot).drop("n")
+    marked = of_text.join(hot, window, "left")
+    repeated = marked.filter("first_id is not null").unionByName(marked.filter("first_id is null").drop("first_id").join(other, window))
+    repeated = materialize(repeated, "line-repeated")
+    # In the first document a window can stand in several texts, where a doc_id (or null) has several.
+    own = repeated.filter("id = first_id")
+    texts = own.groupBy(*window).agg(F.min("version").alias("least"), F.max("version").alias("most")).filter("least <> most")
+    later = repeated.filter("id > first_id").select(*place)
+    in_same = own.join(texts, window).filter("version > least").select(*place)
+    both = places.filter("again").select(*place).unionByName(later).unionByName(in_same)
     ranges = both.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     ranges = materialize(ranges.toDF(id_, version, covered), "line-ranges")
     # Documents that lose nothing are most: they go on as they are, and only the others' texts are shuffled.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from . import license_scan as licenses
 from . import mixing as mixes
 from . import quality_rules as rules
-from .line_dedup import LINES, LONG_LINE
+from .line_dedup import LINES
 from .near_dedup import PERCENT, SHINGLE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +48,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-def line_dedup(size: int = LINES, long_line: int = LONG_LINE) -> str:
+def line_dedup(size: int = LINES) -> str:
     assert size == 3
     return f"""
 WITH d AS (
@@ -56,14 +56,10 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS ix FROM d
 ), c AS (
-  SELECT doc_id, ix, line, lead(ix, 1) OVER w AS at1, lead(line, 1) OVER w AS line1, lead(ix, 2) OVER w AS at2, lead(line, 2) OVER w AS line2,
-         row_number() OVER w AS j, count(*) OVER (PARTITION BY doc_id) AS n
+  SELECT doc_id, ix, line, lead(line, 1) OVER w AS line1, lead(ix, 2) OVER w AS at2, lead(line, 2) OVER w AS line2
   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY ix)
 ), win AS (
   SELECT doc_id, ix AS start, at2 AS stop, line || chr(10) || line1 || chr(10) || line2 AS key FROM c WHERE at2 IS NOT NULL
-  UNION ALL SELECT doc_id, ix, at1, line || chr(10) || line1 FROM c WHERE n = 2 AND j = 1
-  UNION ALL SELECT doc_id, ix, ix, line FROM c WHERE n = 1
-  UNION ALL SELECT doc_id, ix, ix, line FROM c WHERE n > 1 AND len({WORDS.format("line")}) > {long_line}
 ), later AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, start) AS k FROM win) AS r WHERE k > 1
 ), gone AS (
