@@ -125,6 +125,50 @@ def pii_base(text):
     return *(counts[k] for k in range(4)), hashlib.sha256(shown.encode()).hexdigest(), shown
 
 
+def confident(occurrences, plain, seeds, least, rounds, threshold, formed):
+    """{(kind, pattern): confidence} by the scoring rounds over plain dictionaries.
+
+    occurrences: (type, pattern, instance, kinds, failed kinds); plain: {pattern: words in its
+    context}; seeds: {(kind, instance)}. An occurrence ends with the kinds whose check it fails.
+    """
+    places, members = collections.Counter(), collections.defaultdict(set)
+    for type_, pattern, instance, kinds, wrong in occurrences:
+        places[pattern] += 1
+        for k in kinds:
+            others = {kind for kind, i in seeds if i == instance}
+            members[k, type_, pattern].add((instance, bool(others) and k not in others or k in wrong))
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(rounds):
+        out = {}
+        for (kind, type_, pattern), found in members.items():
+            good = [score[kind, i] for i, _ in found if (kind, i) in score]
+            if len(found) < least or len(good) < least:
+                continue
+            bad = sum(wrong and (kind, i) not in score for i, wrong in found)
+            n = len(found) if type_ == formed else len(good) + bad + max(0, plain.get(pattern, 0) - places[pattern])
+            if sum(good) / (n + 1) >= threshold:
+                out[kind, pattern] = sum(good) / (n + 1)
+        score = dict.fromkeys(seeds, 1.0)
+        for (kind, _, pattern), found in members.items():
+            for i, _ in found:
+                if (kind, pattern) in out:
+                    score[kind, i] = max(score.get((kind, i), 0), out[kind, pattern])
+    return out
+
+
+def context_words(texts):
+    """Counter of ("before", words) and ("around", word, word) over all word places."""
+    out = collections.Counter()
+    for t in texts:
+        w = ["#" if re.search("[0-9@]", x) else x for x in words((t or "").lower())]
+        for i in range(1, len(w)):
+            if w[i - 1] != "#":
+                out["before", w[i - 1] if i < 2 or w[i - 2] == "#" else f"{w[i - 2]} {w[i - 1]}"] += 1
+                if i + 1 < len(w):
+                    out["around", w[i - 1], w[i + 1]] += 1
+    return out
+
+
 def pairwise_scores(x, good, pairs, seed, penalty, threshold):
     """Bradley-Terry strengths by plain gradient descent on all drawn pairs, as scores."""
     import numpy as np

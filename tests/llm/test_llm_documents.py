@@ -1,4 +1,5 @@
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ def test_a_template_counts_without_its_rarest_word(spark):
 
 PII_TEXTS = {
     1: "a@b.c_d@e.fg x 1.2.3.4.5.6.7.8 999.1.1.1", 2: "4111 1111 1111 1111, +44 (0) 1234-5678-9 +1 22", 3: "4111-1111-1111-1111 4111111111111112 00000000000000",
-    4: "😀 x@y.zz 😀 +12 345 678 901", 5: "", 6: None, 7: "1" * 100_000, 8: "1 " * 5000, 9: "a.b@c.d.e.f..g 1.2.3.4 +1(2)3.4-5 6 7 8 9 0 1 2\n+123456789x", 10: "@@ a@ @b.c a@b a@b. a@b.-", 11: "0001.002.3.4 1.2.3.256 256.1.2.3.4",
+    4: "😀 x@y.zz 😀 +12 345 678 901", 5: "", 6: None, 7: "1" * 30_000, 8: "1 " * 5000, 9: "a.b@c.d.e.f..g 1.2.3.4 +1(2)3.4-5 6 7 8 9 0 1 2\n+123456789x", 10: "@@ a@ @b.c a@b a@b. a@b.-", 11: "0001.002.3.4 1.2.3.256 256.1.2.3.4",
     12: "x" * 100_000 + "@b.co", 13: "1.1" * 20_000, 14: "é1.2.3.4é +1 23456789é",
 }
 
@@ -158,14 +159,66 @@ def test_personal_data(spark, clashing):
 
 
 def test_contexts_discover_identifiers(spark):
-    texts = [f"my account mail {c}{c}@x.org is here" for c in "abcdefghijklmnopqrst"] + ["my account mail user77-at-x is here", "mail of user88-at-x is here", 'token = "' + "0a1b2c3d" * 5 + '" x']
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    plain = by_id(pii.personal_data(df), "spans")
-    assert plain[22] == ("secret:9:49",)
-    # Seeds without a digit are no candidates, so addresses need one to teach.
-    texts = [t.replace("@", f"{i}@") for i, t in enumerate(texts)]
+    key = "0a1b2c3d" * 5
+    texts = [f"my account mail {c}{c}@x.org is here" for c in "abcdefghijklmnopqrst"]
+    texts += ["my account mail user77-at-x is here", "mail of user88-at-x is here", f'token = "{key}" x', f'TOKEN="{key.upper()}"', f"{key}g and {'0' * 40}"]
     got = by_id(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
-    assert got[20] == ("email_like:16:27",) and got[21] == ("",) and got[0] == ("email:16:25",)
+    assert got[20] == ("email_like:16:27",) and got[21] == ("",) and got[0] == ("email:16:24",)
+    # Keys are found within words, in either case, but not as a part of longer ones.
+    assert got[22] == ("secret:9:49",) and got[23] == ("secret:7:47",) and got[24] == ("",)
+
+
+def keyed_texts():
+    """Texts of which 60 have a key after the same words, 30 a name where a key could be, and 40 a number after other words."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("the of and hen tion ander lich vor ation ent".split()) for _ in range(n))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'{prose(30)} token = "{key()}" {prose(30)}' for _ in range(60)]
+    texts += [f"{prose(20)} {rng.randint(10**15, 10**16)} {prose(20)}" for _ in range(40)]
+    return [*texts, *(prose(50) for _ in range(30)), f'{prose(5)} token = "hunter_2" {prose(5)}', f"{prose(9)} {key()} {prose(9)}"]
+
+
+def test_keys_are_found_by_discovered_patterns(spark):
+    texts = keyed_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.personal_data(df, seed_keys=6), "spans", "n_spans")
+    planted = {i: f"secret:{texts[i].index(chr(34)) + 1}:{texts[i].index(chr(34)) + 41}" for i in range(60)}
+    assert all(planted[i] in got[i][0] for i in planted)  # 6 of 61 keys are seeds
+    assert "secret" in got[130][0]  # what stands there and is no key
+    assert sum("secret" in got[i][0] for i in range(60, 130)) == 0
+    assert got[131][0] == "" or "secret" in got[131][0]  # a key elsewhere is found only as a seed
+    assert all(n == len([x for x in s.split(",") if x]) for s, n in got.values())
+    few = by_id(pii.personal_data(df, seed_keys=2), "spans")  # too few to teach
+    assert sum("secret" in s for (s,) in few.values()) == 2
+
+
+def test_scoring_rounds_are_those_of_the_plain_form(spark):
+    texts = [*keyed_texts(), *(f"call {'us' if i % 3 else 'them'} +1 (017) 555-77{i} now" for i in range(10, 30)), "call us today", "call us (018) 555-7799 now", "call us 1.2.3.4 now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = pii.scanned(docs)
+    _, found, seeds, patterns = pii.learnt(docs, scan, 6)
+    rows = pii.patterns_of(found).select("core", "left", "right", "kinds", pii.form(F.col("core")).alias("form"), F.explode("patterns").alias("p")).select("*", "p.*").collect()
+    wrong = lambda x: {1} & {1 for y in [x] if len(y.split(".")) == 4 and y.replace(".", "").isdigit() and any(int(z) > 255 for z in y.split("."))} | ({2} if y_card(x) else set())
+    y_card = lambda x: x.replace(" ", "").replace("-", "").isdigit() and 12 <= len(x.replace(" ", "").replace("-", "")) <= 19 and not brute.luhn(x.replace(" ", "").replace("-", ""))
+    named = {r["pattern"]: (("before", r["left"]), ("around", r["left"].split(" ")[-1], r["right"]), None)[r["type"]] for r in rows}
+    totals = brute.context_words(texts)
+    occurrences = [(r["type"], r["pattern"], r["core"], r["kinds"], wrong(r["core"])) for r in rows]
+    own = {(r["kind"], r["core"]) for r in seeds.collect()}
+    want = brute.confident(occurrences, {p: totals[c] for p, c in named.items() if c}, own, pii.LEAST_SEEDS, pii.ROUNDS, pii.CONFIDENCE, pii.FORMED)
+    got = {(r["kind"], r["pattern"]): r["confidence"] for r in patterns.collect()}
+    assert got == pytest.approx(want) and len(want) > 4
+
+
+def test_personal_data_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "x a@b.co y"), (1, "x a@b.co y"), (None, "x a@b.co y"), (None, None), (2, "")]
+    got = collections.Counter((r["doc_id"], r["spans"], r["n_email"]) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, "email:2:8", 1): 2, (None, "email:2:8", 1): 1, (None, "", 0): 1, (2, "", 0): 1}
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"1.2.{i % 250}.{i // 250} u{i}@x.org" for i in range(20_000))
+    r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_ip"], r["n_email"], r["base_sha256"]) == (20_000, 20_000, brute.pii_base(text)[4])
 
 
 def test_seeds_of_several_words_and_without_a_digit_teach_contexts(spark):

@@ -1,18 +1,25 @@
 """Personal data by patterns and by bootstrapped contexts.
 
-One scan over the texts finds the base matches of four kinds and all candidates
-with the words before them; what follows works on those few columns and never on
-texts. Candidates go by shape: words with a digit, numbers of several words, and
-words without a digit that have a mark between letters, as addresses do. Valid
-base matches, whole, and long hexadecimal keys are seeds. The words before a seed are a lexical pattern; patterns and instances form
-a graph that is scored in rounds: a pattern by the share of its distinct
-instances that are good, an instance by its best pattern. Patterns that stay above
-a confidence mark identifiers that no seed had.
-
-Matches are found by splitting: the gaps between matches and the matches' lengths
-give positions in code points. Patterns begin only where the regular leftmost
-search would, by look-behind or at the last match's end, and use possessive runs,
-so a long run of letters or digits is passed in linear time.
+One scan over the texts finds the base matches of four kinds, long keys, and all
+candidates, each with the words around it; what follows works on those few
+columns. Candidates go by shape: words with a digit, numbers of several words, and
+words without a digit that have a mark between letters, as addresses do.
+
+Seeds are the valid base matches and at most SEED_KEYS keys. Each place of an
+instance gives three lexical patterns: the two words before it; the words before
+and after it; the word before it and the shape of what it is made of. Patterns and
+instances form a graph that is scored in rounds. A pattern's confidence is its
+good instances against those that speak against it: seeds of another kind, numbers
+that fail their kind's check, and plain words that stand in the same context,
+which a second scan counts over all texts. Instances of unknown kind don't count
+for or against a context, but count against a pattern by shape. Instances of a
+confident pattern are good in the next round; those that the last round's
+patterns find are what no seed had.
+
+Matches are marked by one replacement and split at the marks, which gives gaps and
+matches in turn and so positions in code points. Patterns begin only where the
+regular leftmost search would, by look-behind or at the last match's end, and use
+possessive runs, so a long run of letters or digits is passed in linear time.
 """
 
 from __future__ import annotations
@@ -25,39 +32,44 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: kind: (a character that any match has, pattern)
+#: kind: (a character that any match has, pattern); the last is for keys.
 PATTERNS = {
     "email": ("@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (".", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"),
     "card": ("", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "secret": ("", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"),
 }
 #: Marks around a candidate that are no part of it.
 _OPEN, _CLOSE = r"[\"'(\[{<]", r"[\"')\]}>.,;:!?#$%&*|]"
 _END = rf"{_CLOSE}*+(?![^{SPACE}])"
 _GROUP = r"\(*+[0-9][0-9()./-]*+"
 _NEXT = rf"\x20++{_GROUP}(?={_END})"
-#: Candidates by shape: words with a digit; numbers of several words (19 digits at most, so as many words); words without a digit.
+#: Candidates by shape: words with a digit, or with a mark between letters; numbers of several words (19 digits at most, so as many words).
 TOKEN, NUMBER, NAME, BASE = range(4)
 SHAPES = {
-    TOKEN: rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+",
+    TOKEN: rf"(?<![^{SPACE}])(?:[^{SPACE}0-9]*+[0-9]|[^{SPACE}]*?\p{{L}}[@._%+(\[-]++\p{{L}})[^{SPACE}]*+",
     NUMBER: rf"(?<![^{SPACE}])[\"'\[{{<]*+\+?{_GROUP}(?:{_NEXT}){{1,18}}+(?!{_NEXT})",
-    NAME: rf"(?<![^{SPACE}])(?=[^{SPACE}0-9]++(?![^{SPACE}]))[^{SPACE}]*?\p{{L}}[@._%+(\[-]++\p{{L}}[^{SPACE}]*+",
 }
 MOST_DIGITS = 19
-#: Seeds beyond the base kinds.
-SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}$"
-#: Characters before a candidate in which its context stands, and words of it.
-CONTEXT_CHARS, CONTEXT_WORDS = 64, 2
+#: A word that looks like an identifier itself: contexts end there, and it stands in them as this mark.
+_IDENTIFIER, _ANY = "[0-9@]", "#"
+#: Put around matches; a text's own are replaced by another control character, which no pattern tells from it.
+_MARK, _OTHER = "\x01", "\x02"
+#: Seeds beyond the base kinds: so many keys, those with the least hash.
+SEED_KEYS = 32
 ROUNDS = 3
 CONFIDENCE = 0.8
 LEAST_SEEDS = 3
-LEAST_LENGTH = 6
+#: More patterns than this are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Pattern types: words before; words around; word before and shape.
+BEFORE, AROUND, FORMED = range(3)
 
-_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,core:string,context:string>>"
-_CANDIDATES = "array<struct<shape:int,i:int,gap:int,token:string,context:string>>"
+_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,core:string,left:string,right:string>>"
+_CANDIDATES = "array<struct<shape:int,i:int,gap:int,token:string,left:string,right:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -79,174 +91,289 @@ def valid(kind: str, hit: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "secret":
+        return F.rlike(hit, F.lit("[0-9]")) & F.rlike(hit, F.lit("[A-Fa-f]"))
     return F.lit(True)
 
 
-def context_of(hits: Column, gaps: Column, i: Column) -> Column:
-    """The last words before match i, back to the last word that looks like an identifier itself."""
-    tail = lambda c: F.coalesce(F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(""))
-    # A match and the gaps around it have a word at least, so two matches back are enough for two words.
-    opened = F.regexp_replace(F.get(gaps, i), f"{_OPEN}+$", "")
-    before = F.concat(tail(F.get(hits, i - 2)), tail(F.get(gaps, i - 1)), tail(F.get(hits, i - 1)), tail(opened))
-    words = F.filter(F.split(F.lower(tail(before)), f"[{SPACE}]+", -1), lambda w: w != "")
-    last = F.filter(F.transform(words, lambda w, k: F.when(F.rlike(w, F.lit("[0-9@]")), k + 1)), lambda k: k.isNotNull())
-    since = F.greatest(F.coalesce(F.array_max(last), F.lit(0)), F.size(words) - CONTEXT_WORDS) + 1
-    return F.array_join(F.slice(words, since, F.lit(CONTEXT_WORDS)), " ")
+def words_in(c: Column) -> Column:
+    return F.filter(F.split(c, f"[{SPACE}]+", -1), lambda w: w != "")
 
 
-def each_match(text: Column, pattern: str, row: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """row(match, gap before it, its number, its context) of all matches; the text is searched once for them and once for the gaps."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+def last_words(c: Column) -> Column:
+    """The words of c, at least its last two: of a long one, those of its end, unless that has too few."""
+    near = words_in(F.substring(c, -200, 200))
+    # The first of three may be cut, the last two can't be.
+    return F.when((F.length(c) > 200) & (F.size(near) >= 3), F.slice(near, -2, 2)).otherwise(words_in(c))
+
+
+def around(parts: Column, i: Column) -> tuple[Column, Column]:
+    """The last two words before match i, back to the last that looks like an identifier, and the first word after it."""
+    part = lambda k: F.coalesce(F.get(parts, 2 * i + k), F.lit(""))
+    # A match and the gap beside it have a word at least, so two matches back are enough for two words.
+    opened = F.regexp_replace(F.get(parts, 2 * i), rf"(?<!{_OPEN}){_OPEN}++$", "")
+    words = last_words(F.lower(F.concat(part(-3), part(-2), part(-1), opened)))
+    one, two = F.get(words, F.size(words) - 1), F.get(words, F.size(words) - 2)
+    id_ = lambda w: F.rlike(w, F.lit(_IDENTIFIER))
+    left = F.when(one.isNull() | id_(one), "").when(two.isNull() | id_(two), one).otherwise(F.concat(two, F.lit(" "), one))
+    following = F.regexp_extract(part(2), rf"^{_CLOSE}*+[{SPACE}]*+([^{SPACE}]*+)", 1)
+    right = F.when(following != "", F.when(id_(following), _ANY).otherwise(F.lower(following)))
+    return left, F.coalesce(right, F.when(F.get(parts, 2 * i + 3).isNotNull(), _ANY).otherwise(""))
+
+
+def each_match(text: Column, pattern: str, row: Callable[..., Column], schema: str) -> Column:
+    """row(match, gap before it, its number, words before, word after) of all matches; the text is searched once."""
+    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
     def rows(x: Column) -> Column:
-        return F.transform(x["hits"], lambda h, i: row(h, F.get(x["gaps"], i), i, context_of(x["hits"], x["gaps"], i)))
+        numbers = F.sequence(F.lit(0), F.greatest(((F.size(x) - 3) / 2).cast("int"), F.lit(0)))
+        each = F.transform(numbers, lambda i: row(F.get(x, 2 * i + 1), F.get(x, 2 * i), i, *around(x, i)))
+        return F.when(F.size(x) > 1, each.cast(schema)).otherwise(F.array().cast(schema))
 
     # The one element names what was found, else each use of it would search the text again.
-    return F.get(F.transform(F.array(found), rows), F.lit(0))
+    return F.get(F.transform(F.array(parts), rows), F.lit(0))
 
 
 def base_hits(text: Column) -> Column:
-    """All matches of the base kinds, valid or not, with the length of the gap before each; valid ones with their text and context."""
+    """All matches of the base kinds and of keys, valid or not, with the length of the gap before each; valid ones with their text and words around."""
 
-    def as_hit(number: int, kind: str) -> Callable[[Column, Column, Column, Column], Column]:
-        def hit(h: Column, gap: Column, i: Column, context: Column) -> Column:
+    def as_hit(number: int, kind: str) -> Callable[..., Column]:
+        def hit(h: Column, gap: Column, i: Column, left: Column, right: Column) -> Column:
             ok = valid(kind, h)
             lengths = F.length(gap).alias("gap"), F.length(h).alias("len")
-            seed = F.when(ok, h).alias("core"), F.when(ok, context).alias("context")
+            seed = [F.when(ok, c).alias(n) for n, c in (("core", h), ("left", left), ("right", right))]
             return F.struct(F.lit(number).alias("kind"), i.cast("int").alias("i"), *lengths, ok.alias("ok"), *seed)
 
         return hit
 
     found = []
-    for k, kind in enumerate(KINDS):
-        must, pattern = PATTERNS[kind]
-        has = F.rlike(text, F.lit("[0-9]")) if not must else F.contains(text, F.lit(must))
-        found.append(F.when(has, each_match(text, pattern, as_hit(k, kind)).cast(_HITS)).otherwise(F.array().cast(_HITS)))
+    for k, (kind, (must, pattern)) in enumerate(PATTERNS.items()):
+        has = F.rlike(text, F.lit("[0-9]"))
+        if must:
+            has = F.contains(text, F.lit(must)) & (has if kind == "ip" else F.lit(True))
+        found.append(F.when(has, each_match(text, pattern, as_hit(k, kind), _HITS)).otherwise(F.array().cast(_HITS)))
     return F.concat(*found)
 
 
 def candidates(text: Column) -> Column:
-    """Matches of each shape, with the gap before each and its context."""
+    """Matches of each shape, with the gap before each and the words around it."""
 
-    def as_candidate(shape: int) -> Callable[[Column, Column, Column, Column], Column]:
-        return lambda h, gap, i, context: F.struct(
-            F.lit(shape).alias("shape"), i.cast("int").alias("i"), F.length(gap).alias("gap"), h.alias("token"), context.alias("context")
-        )
+    def as_candidate(shape: int) -> Callable[..., Column]:
+        def candidate(h: Column, gap: Column, i: Column, left: Column, right: Column) -> Column:
+            kind = F.when(F.rlike(h, F.lit("[0-9]")), shape).otherwise(NAME).cast("int")
+            return F.struct(kind.alias("shape"), i.cast("int").alias("i"), F.length(gap).alias("gap"), h.alias("token"), left.alias("left"), right.alias("right"))
 
-    found = []
-    for shape, pattern in SHAPES.items():
-        has = F.lit(True) if shape == NAME else F.rlike(text, F.lit("[0-9]"))
-        found.append(F.when(has, each_match(text, pattern, as_candidate(shape)).cast(_CANDIDATES)).otherwise(F.array().cast(_CANDIDATES)))
-    return F.concat(*found)
+        return candidate
+
+    numbers = each_match(text, SHAPES[NUMBER], as_candidate(NUMBER), _CANDIDATES)
+    numbers = F.when(F.rlike(text, F.lit("[0-9]")), numbers).otherwise(F.array().cast(_CANDIDATES))
+    return F.concat(each_match(text, SHAPES[TOKEN], as_candidate(TOKEN), _CANDIDATES), numbers)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its number, doc_id, base hits and candidates."""
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER).alias("text"))
     text = F.col("text")
     number = F.monotonically_increasing_id().alias("row")
     return materialize(read.select(number, "doc_id", base_hits(text).alias("hits"), candidates(text).alias("candidates")), "pii-scan")
 
 
-def running(partition: list[str]) -> Window:
+def running(partition: list[Column | str]) -> Window:
     return Window.partitionBy(*partition).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def base_spans(scan: DataFrame) -> DataFrame:
-    """(row, kind, start, stop, core, context) of the valid base matches."""
+    """(row, kind, start, stop, core, left, right) of the valid base matches and keys."""
     each = scan.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
     stop = F.sum(F.col("gap") + F.col("len")).over(running(["row", "kind"]))
-    return each.withColumn("stop", stop).filter("ok").select("row", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop", "core", "context")
+    return each.withColumn("stop", stop).filter("ok").select("row", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop", "core", "left", "right")
 
 
 def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
-    """(row, start, stop, core, context, shape, kinds) of base matches and of candidates without the marks around them.
+    """(row, start, stop, core, left, right, shape, kinds) of base matches and keys, and of candidates without the marks around them.
 
     kinds are those that an instance counts for: numbers of several words can be
-    cards and phones, names addresses. A candidate that starts where a base match
-    does is that match, unless it is a key, which has seeds of its own.
+    cards and phones, their single words neither, names addresses. A candidate that
+    starts where a base match or a key does, or lies inside one, is that match, and
+    one that holds a key is left to the key.
     """
     each = scan.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("x")).select("row", "x.*")
-    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row", "shape"])))
     number = F.col("shape") == NUMBER
-    opened = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*", 0)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*", 0))
-    inner = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*(.*[0-9])", 1)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*(.*?){_CLOSE}*$", 1))
-    each = each.withColumn("start", F.col("end") - F.length("token") + F.length(opened)).withColumn("core", inner)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row", number])))
+    opened = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*+", 0)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*+", 0))
+    # Greedy or by the last of the closing marks: a lazy search would pass a long token once for each of its characters.
+    bare = F.regexp_replace(F.expr("substr(token, length(opened) + 1)"), rf"(?<!{_CLOSE}){_CLOSE}++$", "")
+    inner = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*+(.*[0-9])", 1)).otherwise(bare)
+    each = each.withColumn("opened", opened).withColumn("core", inner)
+    each = each.withColumn("start", F.col("end") - F.length("token") + F.length("opened"))
     each = each.withColumn("stop", F.col("start") + F.length("core")).filter(F.length("core") >= 1)
     each = each.filter(~number | (F.length(F.regexp_replace("core", "[^0-9]", "")) <= MOST_DIGITS))
-    names = ["row", "start", "stop", "core", "context", "shape"]
+    each = each.filter(number | ~F.rlike("core", F.lit(PATTERNS["secret"][1])))
+    names = ["row", "start", "stop", "core", "left", "right", "shape"]
     every = each.select(*names).unionByName(base.withColumn("shape", F.lit(BASE)).select(*names).distinct())
-    here = Window.partitionBy("row", "start")
-    starts = lambda shape: F.max(F.col("shape") == shape).over(here)
-    every = every.withColumns({"based": starts(BASE), "numbered": starts(NUMBER)})
-    every = every.filter((F.col("shape") == BASE) | ~F.col("based") | F.rlike("core", F.lit(SECRET)))
-    kinds = lambda *names: F.array(*[F.lit(k) for k, kind in enumerate((*KINDS, "secret")) if kind in names])
+    so_far = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    until = lambda shape: F.max(F.when(F.col("shape") == shape, F.col("stop"))).over(so_far)
+    starts = F.max(F.when(F.col("shape") == BASE, F.col("start"))).over(so_far)
+    every = every.withColumns({"based": until(BASE), "at": starts, "numbered": until(NUMBER)})
+    same = (F.col("based") >= F.col("stop")) | (F.col("at") == F.col("start"))
+    every = every.filter((F.col("shape") == BASE) | ~F.coalesce(same, F.lit(False)))
+    kinds = lambda *names: F.array(*[F.lit(k) for k, kind in enumerate(PATTERNS) if kind in names])
     of_shape = (
-        F.when(number, kinds("card", "phone"))
+        F.when(F.col("shape") == NUMBER, kinds("card", "phone"))
         .when(F.col("shape") == NAME, kinds("email"))
-        .when((F.col("shape") == TOKEN) & F.col("numbered"), kinds("email", "ip", "secret"))
-        .otherwise(kinds(*KINDS, "secret"))
+        .when((F.col("shape") == TOKEN) & (F.col("numbered") >= F.col("stop")), kinds("email", "ip", "secret"))
+        .otherwise(kinds(*PATTERNS))
     )
     return every.select(*names, of_shape.alias("kinds"))
 
 
-def confident_patterns(found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, context) of the patterns above the confidence.
+def form(core: Column) -> Column:
+    """What a text is made of: kinds of letters, digits, its marks, and its length by powers of two."""
+    has = lambda pattern, shown: F.when(F.rlike(core, F.lit(pattern)), shown).otherwise("")
+    marks = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(core, F.lit(r"[^\p{L}\p{N}]"), 0))), "")
+    return F.concat(has(r"\p{Ll}", "a"), has(r"\p{Lu}", "A"), has("[0-9]", "9"), marks, F.lit(":"), F.floor(F.log2(F.length(core))).cast("string"))
+
+
+def pattern_key(kind: int, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(kind), *parts)
+
+
+def patterns_of(found: DataFrame) -> DataFrame:
+    """found with `patterns`: (type, key) of up to three for each place."""
+    last = F.element_at(F.split("left", " "), -1)
+    one = lambda kind, has, *parts: F.when(has, F.struct(F.lit(kind).alias("type"), pattern_key(kind, *parts).alias("pattern")))
+    has = F.col("left") != ""
+    each = (
+        one(BEFORE, has, F.col("left")),
+        one(AROUND, has & (F.col("right") != ""), last, F.col("right")),
+        one(FORMED, has, last, form(F.col("core"))),
+    )
+    return found.withColumn("patterns", F.filter(F.array(*each), lambda x: x.isNotNull()))
+
+
+def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, total): how many words of all texts stand in each wanted (pattern) context."""
+    words = words_in(F.lower(F.coalesce("text", F.lit(""))))
+    words = F.transform(words, lambda w: F.when(F.rlike(w, F.lit(_IDENTIFIER)), _ANY).otherwise(w))
+
+    def contexts(w: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            one, two, following = F.get(w, i - 1), F.get(w, i - 2), F.get(w, i + 1)
+            left = F.when(two.isNull() | (two == _ANY), one).otherwise(F.concat(two, F.lit(" "), one))
+            both = F.array(pattern_key(BEFORE, left), F.when(following.isNotNull(), pattern_key(AROUND, one, following)))
+            return F.when(one != _ANY, both)
+
+        return F.transform(w, at)
 
-    found has (core, context, shape, kinds), seeds (kind, core); both can repeat.
-    Edges of the graph are distinct, pre-aggregated rows, so a pattern before a
-    third of all candidates costs as many rows as it has different instances.
+    each = docs.select(F.explode(F.get(F.transform(F.array(words), contexts), F.lit(0))).alias("x"))
+    each = each.select(F.explode("x").alias("pattern")).filter("pattern is not null")
+    if wanted.count() <= BROADCAST_ROWS:
+        return each.join(F.broadcast(wanted), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    return each.groupBy("pattern").agg(F.count("*").alias("total")).join(wanted, "pattern")
+
+
+def graph(found: DataFrame, seeds: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (kind, pattern, instance, against) and patterns (kind, type, pattern, n, plain).
+
+    found is instances(); seeds (kind, core). Only patterns of LEAST_SEEDS different
+    instances are there, as no others can come to count. Edges are distinct, so a
+    pattern before a third of all candidates costs as many rows as it has
+    different instances. plain: places of the pattern's context with no candidate.
     """
-    instance = F.xxhash64("core").alias("instance")
-    wide = found.filter(((F.col("shape") == BASE) | (F.length("core") >= LEAST_LENGTH)) & (F.col("context") != ""))
-    edges = materialize(wide.select(F.explode("kinds").alias("kind"), "context", instance).distinct(), "pii-edges")
-    seeded = materialize(seeds.select("kind", instance).distinct(), "pii-seeds")
-    of_pattern = edges.groupBy("kind", "context").agg(F.count("*").alias("n"))
-    good = seeded.withColumn("score", F.lit(1.0))
-    scored = None
+    placed = patterns_of(found).select(F.explode("patterns").alias("p"), "core", "kinds").select("p.*", "core", F.xxhash64("core").alias("instance"), "kinds")
+    places = placed.groupBy("type", "pattern").agg(F.count("*").alias("places"))
+    distinct = placed.groupBy("type", "pattern", "instance").agg(F.min("core").alias("core"), F.first("kinds").alias("kinds"))
+    each = distinct.select("type", "pattern", "instance", "core", F.explode("kinds").alias("kind"))
+    own = seeds.select(F.xxhash64("core").alias("instance"), F.col("kind").alias("seed_kind")).distinct()
+    known = own.groupBy("instance").agg(F.collect_set("seed_kind").alias("seed_kinds"))
+    of_pattern = each.groupBy("type", "kind", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
+    of_pattern = materialize(of_pattern, "pii-supported")
+    each = each.join(of_pattern.select("kind", "pattern"), ["kind", "pattern"]).join(known, "instance", "left")
+    failing = F.lit(False)
+    for kind, looks in (("ip", r"^[0-9]+(?:\.[0-9]+){3}$"), ("card", r"^[0-9](?:[\x20-]?[0-9]){11,18}$")):
+        failing = failing | ((F.col("kind") == KINDS.index(kind)) & F.rlike("core", F.lit(looks)) & ~valid(kind, F.col("core")))
+    other = F.size("seed_kinds") > 0
+    against = F.coalesce(other & ~F.array_contains("seed_kinds", F.col("kind")), F.lit(False)) | failing
+    edges = materialize(each.select("kind", "type", "pattern", "instance", against.alias("against")), "pii-edges")
+    wanted = of_pattern.filter(F.col("type") != FORMED).select("pattern").distinct()
+    totals = context_totals(docs, wanted)
+    plain = F.when(F.col("type") == FORMED, 0).otherwise(F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0)))
+    of_pattern = of_pattern.join(places, ["type", "pattern"]).join(totals, "pattern", "left").select("kind", "type", "pattern", "n", plain.alias("plain"))
+    return edges, materialize(of_pattern, "pii-plain")
+
+
+def confident_patterns(edges: DataFrame, of_pattern: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(kind, pattern, confidence) of the patterns at or above CONFIDENCE after ROUNDS rounds."""
+    seeded = materialize(seeds.select("kind", F.xxhash64("core").alias("instance"), F.lit(1.0).alias("score")).distinct(), "pii-seeds")
+    good, scored = seeded, None
     for turn in range(ROUNDS):
-        sums = (F.sum("score").alias("mass"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        mass = edges.join(good, ["kind", "instance"]).groupBy("kind", "context").agg(*sums).filter(F.col("seeds") >= LEAST_SEEDS)
-        confidence = (F.col("mass") / (F.col("n") + 1)).alias("confidence")
-        scored = materialize(mass.join(of_pattern, ["kind", "context"]).select("kind", "context", confidence), "pii-patterns")
+        sums = (F.sum("score").alias("mass"), F.count("score").alias("good"), F.count_if(F.col("against") & F.col("score").isNull()).alias("bad"))
+        found = edges.join(good, ["kind", "instance"], "left").groupBy("kind", "pattern").agg(*sums).filter(F.col("good") >= LEAST_SEEDS)
+        against = F.when(F.col("type") == FORMED, F.col("n")).otherwise(F.col("good") + F.col("bad") + F.col("plain"))
+        confidence = (F.col("mass") / (against + 1)).alias("confidence")
+        scored = found.join(of_pattern, ["kind", "pattern"]).select("kind", "pattern", confidence).filter(F.col("confidence") >= CONFIDENCE)
+        scored = materialize(scored, "pii-patterns")
         if turn + 1 < ROUNDS:
-            lifted = edges.join(scored.filter(F.col("confidence") >= CONFIDENCE), ["kind", "context"])
-            lifted = lifted.select("kind", "instance", F.col("confidence").alias("score"))
-            every = seeded.withColumn("score", F.lit(1.0)).unionByName(lifted)
+            lifted = edges.join(scored, ["kind", "pattern"]).select("kind", "instance", F.col("confidence").alias("score"))
+            every = seeded.unionByName(lifted)
             good = materialize(every.groupBy("kind", "instance").agg(F.max("score").alias("score")), "pii-good")
-    return scored.filter(F.col("confidence") >= CONFIDENCE).select("kind", "context")
+    return scored
+
 
+def learnt(docs: DataFrame, scan: DataFrame, seed_keys: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Base spans with keys, instances, seeds (kind, core) and confident patterns."""
+    base = materialize(base_spans(scan), "pii-base")
+    found = materialize(instances(scan, base), "pii-instances")
+    # At most seed_keys rows.
+    keys = base.filter(F.col("kind") == SECRET).select("kind", "core").distinct().orderBy(F.xxhash64("core"), "core").limit(seed_keys)
+    seeds = materialize(base.filter(F.col("kind") < SECRET).select("kind", "core").distinct().unionByName(keys), "pii-all-seeds")
+    edges, of_pattern = graph(found, seeds, docs)
+    return base, found, seeds, confident_patterns(edges, of_pattern, seeds)
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text; other columns are ignored).
+
+def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(row, kind, start, stop) of instances in a confident pattern; of several kinds the surest."""
+    wide = patterns_of(found).select("row", "start", "stop", "kinds", F.explode("patterns.pattern").alias("pattern"))
+    small = patterns.count() <= BROADCAST_ROWS
+    hits = wide.join(F.broadcast(patterns) if small else patterns, "pattern").filter(F.array_contains("kinds", F.col("kind")))
+    best = F.max(F.struct("confidence", "kind")).alias("best")
+    return hits.groupBy("row", "start", "stop").agg(best).select("row", F.col("best.kind").alias("kind"), "start", "stop")
+
+
+def personal_data(docs: DataFrame, seed_keys: int = SEED_KEYS) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have no spans (the hash of the empty string). Spans of
-    the method are `secret` for keys, and a base kind with `_like` for what its
-    contexts discover; one that meets a base span is left out. Repeated rows are
-    scanned each. An empty table gives an empty result.
+    the method are a base kind with `_like`, or `secret`, for what its contexts
+    discover and for the seed_keys keys that it starts from; a `_like` that meets a
+    base span, and a `secret` inside one, is left out. Repeated rows, and rows with a null doc_id, are scanned each;
+    instances are counted once, however many rows have them. Very long texts, words
+    and numbers are scanned whole, in linear time. An empty table gives an empty result.
     """
     scan = scanned(docs)
-    base = materialize(base_spans(scan), "pii-base")
-    found = materialize(instances(scan, base), "pii-instances")
-    names = F.array(*[F.lit(f"{k}_like") for k in KINDS], F.lit("secret"))
-    secrets = found.filter((F.col("shape") == TOKEN) & F.rlike("core", F.lit(SECRET)))
-    keys = secrets.withColumn("kind", F.lit(len(KINDS)))
-    seeds = base.select("kind", "core").unionByName(keys.select("kind", "core"))
-    patterns = materialize(confident_patterns(found, seeds), "pii-confident")
-    small = patterns.count() <= BROADCAST_ROWS
-    wide = found.filter((F.col("shape") != BASE) & (F.length("core") >= LEAST_LENGTH)).withColumn("kind", F.explode("kinds"))
-    discovered = wide.join(F.broadcast(patterns) if small else patterns, ["kind", "context"]).select("row", "kind", "start", "stop")
-    more = discovered.unionByName(keys.select("row", "kind", "start", "stop"))
-    more = more.groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
+    every, found, seeds, patterns = learnt(docs, scan, seed_keys)
+    base = every.filter(F.col("kind") < SECRET)
+    # Few rows: at most seed_keys different keys.
+    keys = every.filter(F.col("kind") == SECRET).join(F.broadcast(seeds.filter(F.col("kind") == SECRET)), ["kind", "core"], "left_semi")
+    more = discovered(found.filter((F.col("shape") != BASE) | F.array_contains("kinds", F.lit(SECRET))), patterns)
+    more = more.unionByName(keys.select("row", "kind", "start", "stop")).groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
     both = base.select("row", "kind", "start", "stop").withColumn("base", F.lit(True)).unionByName(more.withColumn("base", F.lit(False)))
-    of_row = both.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "base"))).alias("all"))
-    of_row = of_row.withColumn("own", F.filter("all", lambda x: x["base"])).withColumn(
-        "all", F.filter("all", lambda x: x["base"] | ~F.exists("own", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])))
+    # A span of the method meets a base span if one from before ends after its start, or one from here on starts before its end.
+    # Both are running values, the second from the end: a frame to the end would pass all later rows for each row.
+    so_far, from_here = (
+        Window.partitionBy("row").orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow) for by in (F.col("start"), F.col("start").desc())
     )
-    base_names = F.array(*[F.lit(k) for k in KINDS], F.lit("secret"))
+    until = F.max(F.when(F.col("base"), F.col("stop"))).over(so_far)
+    met = (until > F.col("start")) | (F.min(F.when(F.col("base"), F.col("start"))).over(from_here) < F.col("stop"))
+    # Runs of digits in a key can pass for a card; it stays unless a base span has all of it.
+    gone = F.when(F.col("kind") == SECRET, until >= F.col("stop")).otherwise(met)
+    both = both.withColumn("gone", F.coalesce(gone, F.lit(False))).filter("base or not gone")
+    of_row = both.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "base"))).alias("all"))
+    of_row = of_row.withColumn("own", F.filter("all", lambda x: x["base"]))
+    names = {True: F.array(*[F.lit(k) for k in KINDS], F.lit("secret")), False: F.array(*[F.lit(f"{k}_like") for k in KINDS], F.lit("secret"))}
 
     def shown(spans: str) -> Column:
-        name = lambda x: F.element_at(F.when(x["base"], base_names).otherwise(names), x["kind"] + 1)
+        name = lambda x: F.element_at(F.when(x["base"], names[True]).otherwise(names[False]), x["kind"] + 1)
         one = lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["stop"].cast("string"))
         return F.array_join(F.transform(spans, one), ",")
 
@@ -255,4 +382,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
     out = scan.select("row", "doc_id").join(of_row, "row", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,base:boolean>>")
     out = out.withColumn("own", F.coalesce("own", none)).withColumn("all", F.coalesce("all", none))
-    return out.select("doc_id", *counts, F.sha2(shown("own"), 256).alias("base_sha256"), shown("all").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(shown("own"), 256).alias("base_sha256"), shown("all").alias("spans"), F.size("all").cast("long").alias("n_spans"))
