@@ -2,11 +2,13 @@
 
 A host is turned round label by label, so that a host and all of its subdomains
 are one interval of keys. Rules become the starts of such intervals; each start
-carries the stack of rules that are active there, innermost first. One sorted
-sweep over pages and starts then gives each page the last start before it, and
-the page's own rule is the first in that stack whose interval holds the page and
-whose path fits. Pages are dealt to groups by a hash, so a host that holds a third
-of all pages is spread as any other; every group sweeps all rule starts.
+carries the stack of rules that are active there, innermost first. Pages and
+starts are sorted together, by ranges of keys; one sweep over each range then
+gives each page the last start before it, and the page's own rule is the first in
+that stack whose interval holds the page and whose path fits. What is active where
+a range begins is carried to it from those before. Pages of one host are told
+apart by a hash in the sort, so a host that holds a third of all pages takes as
+many ranges as it needs, and no rule is copied but one stack a range.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, width
+from .common import lower_ascii, materialize, width
 
 #: (host, path, verdict)
 RULES = (
@@ -65,21 +67,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     rules has host, path, verdict. A rule fits its host and all subdomains if the
     path starts with the rule's; the longest host wins, then the longest path. A
     null url, or one without ://, has an empty host and path, no rule and the
-    default verdict. Repeated rows are judged each. An empty table gives an empty
-    result; without rules every page has the default.
+    default verdict. Repeated rows, and rows with a null page_id, are judged each;
+    urls of any length are taken whole. An empty table gives an empty result; without
+    rules every page has the default.
     """
-    groups = 4 * width(pages.sparkSession)
     page = pages.select(F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    group = F.pmod(F.xxhash64("url", "page_id"), F.lit(groups)).cast("int")
-    url = F.col("url")
-    page = page.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), group.alias("group"))
-    starts = rule_starts(rules)
-    in_all = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    starts = starts.select(in_all, "key", F.lit(0).alias("kind"), "stack")
-    keyed = page.select("group", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path")
-    events = keyed.unionByName(starts, allowMissingColumns=True)
-    sweep = Window.partitionBy("group").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tie, url = F.xxhash64("url", "page_id").alias("tie"), F.col("url")
+    page = page.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), tie)
+    starts = rule_starts(rules).select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), "stack")
+    keyed = page.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "tie", "page_id", "host", "path")
+    order = ("key", "kind", "tie")
+    ranges = keyed.unionByName(starts, allowMissingColumns=True).repartitionByRange(width(pages.sparkSession), *order)
+    events = materialize(ranges.withColumn("part", F.spark_partition_id()), "url-events")
+    # One row a range: the last start in it, and from that the last one before each.
+    ends = events.groupBy("part").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("end"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    swept = swept.join(F.broadcast(carried), "part").withColumn("active", F.coalesce("active", "carried"))
     holding = F.filter("active", lambda level: F.startswith(F.col("key"), level["prefix"]))
     fitting = F.filter(F.flatten(F.transform(holding, lambda level: level["rules"])), lambda r: F.startswith(F.col("path"), r["path"]))
     # Without any start before a page there is no stack at all.
