@@ -1,15 +1,19 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 Queries and candidates meet in blocks of bounded size. The components are cut
-into slices; each slice of a block is one list of partial scores.
-
-1. Each block gives, for each query, its list of local scores: of the rows that
-   lead one of the slices, the best totals. The k-th best of all lists is a score
-   that k rows reach, so it is a safe cutoff.
-2. The cutoff goes with the queries to every block. A row can reach it only if
-   one of its m slices has at least the m-th part; those entries are collected.
-3. Their remaining slices are added exactly; the local best that reach the cutoff
-   go to the final ranking.
+into m slices; each slice of a block is a list of partial scores.
+
+1. Each block gives, for each query, its local list: of the rows that lead the
+   slice in which the block's vectors are longest, the best exact totals. The k-th
+   best of all lists is a score that k rows reach, so it is a safe cutoff. This
+   multiplies one slice only.
+2. The cutoff is broadcast to every block. A row can reach it only if one of its m
+   slices has at least the m-th part; those entries are collected.
+3. Their scores are resolved exactly, and those that reach the cutoff, k of a block
+   at most, go to the final ranking.
+
+A block holds all slices of its rows, so the second and third phase run in one
+task: partial scores of a quarter of all pairs would else be shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ from .common import materialize
 
 SCALE = 64
 SLICES = 4
+#: Rows that lead a block's slice whose totals are resolved in the first phase, as a multiple of k.
+LEADERS = 4
+#: Queries whose leaders are resolved at a time.
+RESOLVED = 64
+#: Cutoffs that are broadcast, at most, of 16 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 QUERY_BLOCK = 1024
 ROW_BLOCK = 4096
 #: Components in a block of rows, at most, so that long vectors come in smaller blocks.
@@ -58,15 +68,15 @@ def matrix(flat: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def partial_scores(queries: pa.ChunkedArray, rows: pa.ChunkedArray, slices: int) -> list[np.ndarray]:
-    """For each slice, the exact partial scores of queries against rows."""
+def quantised(queries: pa.ChunkedArray, rows: pa.ChunkedArray, slices: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Matrices whose products are exact, and the bounds of the slices."""
     vectors = [one_array(queries), one_array(rows)]
     dims = max(1, *(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in vectors))
     q, x = (matrix(c, dims) for c in vectors)
     if dims * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= EXACT:
         q, x = (np.vectorize(int, otypes=[object])(m) for m in (q, x))
-    edges = np.linspace(0, dims, min(slices, dims) + 1).astype(int)
-    return [q[:, a:b] @ x[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    edges = np.linspace(0, dims, min(slices, dims) + 1).astype(int).tolist()
+    return q, x, list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def leaders(scores: np.ndarray, k: int) -> np.ndarray:
@@ -85,10 +95,10 @@ def as_long(x) -> int:
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query by integer inner product.
 
-    Queries are the rows whose vec_id is divisible by `every`. vectors has vec_id and embedding; other columns are ignored. Components are
-    floor(64 * x). Ties go to the smaller vec_id. Null vec_ids, null vectors and
-    vectors with null or non-finite components take no part; of rows that repeat a
-    vec_id the least vector does. Shorter vectors are filled with zeros. Scores
+    Queries are the rows whose vec_id is divisible by `every`. vectors has vec_id and
+    embedding; other columns are ignored. Components are floor(64 * x). Ties go to the
+    smaller vec_id. Null vec_ids, null vectors and vectors with null or non-finite
+    components take no part; of rows that repeat a vec_id the least vector does, as one row. Shorter vectors are filled with zeros. Scores
     beyond a long are set to its ends. An empty table gives an empty result.
     """
     rows = materialize(usable(vectors), "topk-rows")
@@ -113,31 +123,40 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
         if not len(q) or not len(x):
             return of_lists([], [], [])
         asked, ids = q.column("vec_id").to_numpy(), x.column("row_id").to_numpy()
-        parts = partial_scores(q.column("v"), x.column("row"), slices)
-        totals = sum(parts[1:], parts[0])
-        # One more than k, as the query itself may lead.
-        seen = np.concatenate([leaders(p, k + 1) for p in parts], axis=1)
-        others = lambda i, a: (as_long(totals[i, j]) for j in set(seen[i].tolist()) if ids[j] != a)
-        best = [sorted(others(i, a), reverse=True)[:k] for i, a in enumerate(asked)]
+        a, b, cut = quantised(q.column("v"), x.column("row"), slices)
+        low, high = max(cut, key=lambda s: np.abs(a[:, s[0] : s[1]]).sum() * np.abs(b[:, s[0] : s[1]]).sum())
+        # One more, as the query itself may lead.
+        seen = leaders(a[:, low:high] @ b[:, low:high].T, LEADERS * k + 1)
+        best = []
+        for at in range(0, len(asked), RESOLVED):
+            here = seen[at : at + RESOLVED]
+            totals = (a[at : at + RESOLVED, None, :] * b[here]).sum(axis=2)
+            for i, (columns, scores) in enumerate(zip(here, totals, strict=True), start=at):
+                best.append(sorted(map(as_long, scores[ids[columns] != asked[i]]), reverse=True)[:k])
         return of_lists(asked, np.full(len(q), x.column("rb")[0].as_py()), best)
 
     def sufficient(q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if len(q) and len(x):
-            asked, cut, ids = q.column("vec_id").to_numpy(), q.column("cutoff").to_pylist(), x.column("row_id").to_numpy()
-            parts = partial_scores(q.column("v"), x.column("row"), slices)
-            for i, a in enumerate(asked):
-                low = cut[i]
-                if low is None:
-                    at = np.arange(len(ids))
-                else:
-                    at = np.flatnonzero(np.any([np.asarray(p[i] * len(parts) >= low, dtype=bool) for p in parts], axis=0))
-                score = sum((p[i, at] for p in parts[1:]), parts[0][i, at])
-                keep = (ids[at] != a) & (True if low is None else np.asarray(score >= low, dtype=bool))
-                at, score = at[keep], score[keep]
+            asked, cutoffs, ids = q.column("vec_id").to_numpy(), q.column("cutoff").to_pylist(), x.column("row_id").to_numpy()
+            a, b, cut = quantised(q.column("v"), x.column("row"), slices)
+            total = most = None
+            for low, high in cut:
+                part = a[:, low:high] @ b[:, low:high].T
+                total = part if total is None else total + part
+                most = part if most is None else np.maximum(most, part)
+            for i, (query, least) in enumerate(zip(asked, cutoffs, strict=True)):
+                enough = ids != query
+                if least is not None:
+                    enough &= np.asarray(most[i] * len(cut) >= least, dtype=bool)
+                at = np.flatnonzero(enough)
+                score = total[i, at]
+                if least is not None:
+                    reach = np.asarray(score >= least, dtype=bool)
+                    at, score = at[reach], score[reach]
                 falling = np.array([-as_long(s) for s in score], dtype=object if score.dtype == object else np.int64)
                 for j in np.lexsort((ids[at], falling))[:k]:
-                    for column, value in zip(out, (a, ids[at[j]], as_long(score[j])), strict=True):
+                    for column, value in zip(out, (query, ids[at[j]], as_long(score[j])), strict=True):
                         column.append(int(value))
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
@@ -147,7 +166,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, slices: int = SLICES
     some = lists.groupBy("query_id", (F.col("rb") % max(1, int(row_blocks**0.5))).alias("part")).agg(best_of("best").alias("best"))
     whole = some.groupBy("query_id").agg(best_of("best").alias("best"))
     cutoffs = whole.select(F.col("query_id").alias("vec_id"), F.get("best", F.lit(k - 1)).alias("cutoff"))
-    asked = queries.join(materialize(cutoffs, "topk-cutoffs"), "vec_id", "left")
+    cutoffs = materialize(cutoffs, "topk-cutoffs")
+    asked = queries.join(F.broadcast(cutoffs) if n_queries <= BROADCAST_ROWS else cutoffs, "vec_id", "left")
     entries = met(asked, sufficient, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
