@@ -4,11 +4,13 @@ Texts are read once, for their sizes. Documents are dealt to blocks of their
 source. A source's target is whole rounds of all its blocks and a last round of
 blocks in permuted order, cut where the target is reached, so every source has an
 exact quota of blocks. A tree splits the quotas among the output shards: at each
-node the blocks are permuted and the first half goes left, so the left side's
-counts by source are a multivariate-hypergeometric draw and the sums stay exact.
-A shard's blocks are disjoint from all others'; within a shard documents are
-ordered by a hash. What is planned is a few columns for each block; a document
-finds its block by its hash, so no text is shuffled to decide what is taken.
+node its blocks stand in a drawn order, and the first part of them goes left, so
+the left side's counts by source are a multivariate-hypergeometric draw and the
+sums stay exact. A part of a drawn order is one itself, so one permutation serves
+all nodes, and a node is a range of it. A shard's blocks are disjoint from all others'; within a
+shard documents are ordered by a hash. What is planned is a few columns for each
+block; a document finds its block by its hash, so no text is shuffled to decide
+what is taken.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import SPACE, materialize
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-SHARDS = 16
-SHARD_WORDS = 8_000_000
+#: Words of an output shard, about: its task reads some 30 MB.
+SHARD_WORDS = 4_000_000
 #: Documents of a block, about, and blocks of a source at most.
 BLOCK_DOCS = 2048
 MAX_BLOCKS = 4096
@@ -82,9 +84,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 
 def mixing_plan(
-    sized: DataFrame, weights: tuple[int, ...], shards: int, max_repeats: int, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Plans by source and by block for sized (doc_id, source, size)."""
+    sized: DataFrame, weights: tuple[int, ...], shards: int | None, max_repeats: int, seed: int
+) -> tuple[DataFrame, DataFrame, int]:
+    """Plans by source and by block for sized (doc_id, source, size), and the number of shards."""
     sizes = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, max_repeats)
     wanted = F.floor(F.col("target") + 0.5)
@@ -94,6 +96,8 @@ def mixing_plan(
     rest = (wanted - F.col("rounds") * F.col("source_size")).cast("long")
     sources = materialize(sources.withColumn("rest", rest), "mixing-quotas")
 
+    if shards is None:
+        shards = max(1, -(-(sources.agg(F.sum("source_size")).first()[0] or 0) // SHARD_WORDS))
     dealt = in_blocks(sized, sources, seed).select("source_no", "block", "order", "size", "rounds", "rest")
     blocks = materialize(dealt.groupBy("source_no", "block", "rounds", "rest").agg(F.sum("size").alias("words")), "mixing-blocks")
     # At most MAX_BLOCKS rows for each source.
@@ -118,53 +122,59 @@ def mixing_plan(
     plan = blocks.select("source_no", "block", "mode")
     for more in (cuts, of_block):
         plan = plan.join(more, ["source_no", "block"], "left")
-    return sources, materialize(plan, "mixing-plan")
+    return sources, materialize(plan, "mixing-plan"), shards
 
 
 def split_units(units: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """Add shard (0..shards-1) to units (source_no, block, round), by the splitting tree."""
-    units = units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
+    """Add shard (0..shards-1) to units (source_no, block, round), by the splitting tree.
+
+    A node is the shards from low up to high and n units from number first on; its
+    quota goes to both halves by their shards.
+    """
+    unit = ("source_no", "block", "round")
+    ranked = numbered(units, [drawn(seed, *unit), *map(F.col, unit)], "mixing-tree")
+    node = lambda low, high, first, n: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), first.cast("long").alias("first"), n.cast("long").alias("n"))
+
+    def descend(at: Column, _: Column) -> Column:
+        low, high, first, n = (at[c] for c in ("low", "high", "first", "n"))
+        middle = F.floor((low + high) / 2)
+        left = F.round(n * (middle - low) / (high - low))
+        goes = F.col("number") - first < left
+        return F.when(high - low == 1, at).when(goes, node(low, middle, first, left)).otherwise(node(middle, high, first + left, n - left))
+
+    root = node(F.lit(0), F.lit(shards), F.lit(0), F.lit(ranked.count()))
     depth = (shards - 1).bit_length()
-    for level in range(depth):
-        unit = ("source_no", "block", "round")
-        ranked = numbered(units, [F.col("low"), drawn(seed, level, *unit), *map(F.col, unit)], "mixing-tree")
-        # One row for each node; there are at most as many as shards.
-        nodes = ranked.groupBy("low", "high").agg(F.min("number").alias("first"), F.count("*").alias("n"))
-        middle = F.expr("(low + high) div 2").cast("int")
-        goes = F.col("number") - F.col("first") < F.round(F.col("n") * (middle - F.col("low")) / (F.col("high") - F.col("low")))
-        single = F.col("high") - F.col("low") == 1
-        units = join_plan(ranked, nodes, ["low", "high"]).select(
-            "source_no", "block", "round",
-            F.when(single | goes, F.col("low")).otherwise(middle).alias("low"),
-            F.when(single | ~goes, F.col("high")).otherwise(middle).alias("high"),
-        )
-    return units.select("source_no", "block", "round", F.col("low").alias("shard"))
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, descend) if depth else root
+    return ranked.select(*unit, leaf["low"].alias("shard"))
 
 
 def in_blocks(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """docs (doc_id, source, ...) with their source's quotas, block and order in it."""
     known = sources.select(F.col("source").alias("of_source"), "source_no", "source_size", "target", "blocks", "rounds", "rest")
     out = join_plan(docs, known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    block = (drawn(seed, "doc_id") % F.col("blocks")).cast("int")
+    block = (drawn(seed, "doc_id", "size") % F.col("blocks")).cast("int")
     return out.withColumn("block", block).withColumn("order", drawn(seed + 1, "doc_id", "size"))
 
 
 def mix(
-    sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED
+    sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, max_repeats: int = MAX_REPEATS, seed: int = SEED
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken, rounds, last_words, shards) for each row of sized.
 
-    sized has doc_id, source and size; other columns are ignored. Source n, by code point with null last, weighs weights[n mod len]; all
-    sources together share the sum of all sizes. A target stops at max_repeats
-    times its source's size, and the excess goes to the others by weight. taken is
-    `rounds` times the size and the last_words of one more round; only one order
-    value of a source is taken in part. shards has the shard of each round. Rows
-    that repeat doc_id and size are taken alike. Sources and documents without a
-    word have target and taken 0. An empty table gives an empty result. The same
-    rows give the same mix, however they are partitioned.
+    sized has doc_id, source and size; other columns are ignored. Source n, by code
+    point with null last, weighs weights[n mod len]; all sources together share the
+    sum of all sizes. A target stops at max_repeats times its source's size, and the
+    excess goes to the others by weight. taken is `rounds` times the size and the
+    last_words of one more round; only one order value of a source is taken in part.
+    shards has the shard of each round; there are as many as asked for, else one for
+    SHARD_WORDS words. Rows that repeat doc_id and size are taken alike, and so are
+    rows of one size with a null doc_id; they go to one block. Sources and documents
+    without a word have target and taken 0. A document of any length is one unit of
+    its block, so the largest bounds how even shards can be. An empty table gives an
+    empty result. The same rows give the same mix, however they are partitioned.
     """
     sized = sized.select("doc_id", "source", "size")
-    sources, plan = mixing_plan(sized, weights, shards, max_repeats, seed)
+    sources, plan, _ = mixing_plan(sized, weights, shards, max_repeats, seed)
     names = ["doc_id", "size", "source_size", "target", "taken", "rounds", "last_words", "shards"]
     return planned(sized, sources, plan, seed).select(*names)
 
@@ -192,20 +202,19 @@ def mixed_documents(
     """The mix itself: a row of docs for each time it is taken, dealt to shards and shuffled within them.
 
     A row that is taken in part has the first words of its text; n_chars, where
-    docs has it, follows the text. Other columns go through. shards defaults to
-    one for SHARD_WORDS words, and SHARDS at least.
+    docs has it, follows the text. Other columns go through. shards defaults to one
+    for SHARD_WORDS words. Rows without a word, null texts among them, aren't taken.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(F.col("text")).alias("size"), "text", row)
     small = materialize(sized.select("doc_id", "source", "size"), "mixing-sizes")
-    if shards is None:
-        shards = max(SHARDS, -(-(small.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
-    sources, plan = mixing_plan(small, weights, shards, max_repeats, seed)
+    sources, plan, shards = mixing_plan(small, weights, shards, max_repeats, seed)
     copy = F.posexplode("shards").alias("copy", "shard")
     copies = planned(sized, sources, plan, seed).select("doc_id", "row", "text", "rounds", "size", "last_words", copy)
     part = (F.col("copy") >= F.col("rounds")) & (F.col("last_words") < F.col("size"))
     copies = copies.withColumn("text", F.when(part, first_words(F.col("text"), F.col("last_words"))).otherwise(F.col("text")))
-    mixed = copies.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    # A shard is a partition: no sample of the rows is needed to deal them.
+    mixed = copies.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return mixed.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in names])

@@ -78,14 +78,8 @@ def drawn(*parts: str) -> str:
 
 def mixing() -> str:
     seed, weights, most = mixes.SEED, mixes.WEIGHTS, mixes.MAX_REPEATS
-    levels, before = [], "u0"
-    for k in range((mixes.SHARDS - 1).bit_length()):
-        goes = f"row_number() OVER (PARTITION BY low, high ORDER BY {drawn(f"'{seed}'", f"'{k}'", 'no', 'block', 'round')}, no, block, round) - 1 < round(count(*) OVER (PARTITION BY low, high) * (mid - low) / (high - low))"
-        levels.append(f"""u{k + 1} AS (SELECT no, block, round, CASE WHEN high - low = 1 OR goes THEN low ELSE mid END AS low, CASE WHEN high - low = 1 OR NOT goes THEN high ELSE mid END AS high
-  FROM (SELECT *, {goes} AS goes FROM (SELECT *, (low + high) // 2 AS mid FROM {before}) AS m) AS g)""")
-        before = f"u{k + 1}"
     return f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS no FROM d GROUP BY source
@@ -102,7 +96,7 @@ WITH d AS (
   SELECT *, least({mixes.MAX_BLOCKS}, ceil(docs / {mixes.BLOCK_DOCS})) AS blocks, CASE WHEN words > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // words ELSE 0 END AS rounds,
          CAST(floor(target + 0.5) AS BIGINT) AS wanted FROM t
 ), p AS (
-  SELECT doc_id, size, words, target, no, rounds, wanted - rounds * words AS rest, {drawn(f"'{seed}'", "doc_id")} % CAST(blocks AS BIGINT) AS block, {drawn(f"'{seed + 1}'", "doc_id", "size")} AS ord
+  SELECT doc_id, size, words, target, no, rounds, wanted - rounds * words AS rest, {drawn(f"'{seed}'", "doc_id", "size")} % CAST(blocks AS BIGINT) AS block, {drawn(f"'{seed + 1}'", "doc_id", "size")} AS ord
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 ), b AS (
   SELECT no, block, rounds, rest, sum(size) AS bwords FROM p GROUP BY no, block, rounds, rest
@@ -113,11 +107,19 @@ WITH d AS (
   FROM p JOIN n ON p.no = n.no AND p.block = n.block
 ), y AS (
   SELECT *, CASE WHEN need <= 0 THEN 0 WHEN need >= bwords THEN size ELSE greatest(0, least(size, remain)) END AS last_words FROM x
+), units AS (
+  SELECT no, block, unnest(range(1, CAST(rounds + CASE WHEN need > 0 THEN 1 ELSE 0 END AS BIGINT) + 1)) AS round FROM n
 ), u0 AS (
-  SELECT no, block, unnest(range(1, CAST(rounds + CASE WHEN need > 0 THEN 1 ELSE 0 END AS BIGINT) + 1)) AS round, 0 AS low, {mixes.SHARDS} AS high FROM n
-), {", ".join(levels)}
+  SELECT *, row_number() OVER (ORDER BY {drawn(f"'{seed}'", "no", "block", "round")}, no, block, round) - 1 AS number, count(*) OVER () AS total,
+         greatest(1, CAST(ceil((SELECT coalesce(sum(words), 0) FROM s) / {mixes.SHARD_WORDS}) AS BIGINT)) AS shards FROM units
+), u(no, block, round, number, low, high, first, total) AS (
+  SELECT no, block, round, number, CAST(0 AS BIGINT), shards, CAST(0 AS BIGINT), total FROM u0
+  UNION ALL
+  SELECT no, block, round, number, CASE WHEN goes THEN low ELSE mid END, CASE WHEN goes THEN mid ELSE high END, CASE WHEN goes THEN first ELSE first + left_n END, CASE WHEN goes THEN left_n ELSE total - left_n END
+  FROM (SELECT *, number - first < left_n AS goes FROM (SELECT *, CAST(round(total * (mid - low) / (high - low)) AS BIGINT) AS left_n FROM (SELECT *, (low + high) // 2 AS mid FROM u WHERE high - low > 1) AS a) AS b) AS c
+)
 SELECT doc_id, size, words AS source_size, target, CAST(rounds * size + last_words AS BIGINT) AS taken, CAST(rounds AS BIGINT) AS rounds, CAST(last_words AS BIGINT) AS last_words,
-       CASE WHEN size = 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(low AS VARCHAR), ',' ORDER BY round) FROM {before} u WHERE u.no = y.no AND u.block = y.block AND (u.round <= y.rounds OR y.last_words > 0)), '') END AS shards
+       CASE WHEN size = 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(low AS VARCHAR), ',' ORDER BY round) FROM u WHERE u.high - u.low = 1 AND u.no = y.no AND u.block = y.block AND (u.round <= y.rounds OR y.last_words > 0)), '') END AS shards
 FROM y
 """
 
@@ -138,16 +140,12 @@ WITH w AS (
   SELECT id, base, label, key_at, key_n, len(form) AS n, unnest(form) AS word, unnest(range(len(form))) AS pos FROM f
 ), tok AS (
   SELECT doc_id, word, ix FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS ix FROM w) AS a WHERE word IN (SELECT word FROM fw)
-), df AS (
-  SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY word
-), anchor AS (
-  SELECT id, word, pos FROM (SELECT fw.id, fw.word, fw.pos, row_number() OVER (PARTITION BY fw.id ORDER BY coalesce(df.df, 0), fw.word DESC, fw.pos) AS k FROM fw LEFT JOIN df ON fw.word = df.word) AS r WHERE k = 1
 ), h AS (
   SELECT t.doc_id, fw.id, any_value(fw.base) AS base, any_value(fw.label) AS label, t.ix - fw.pos AS start, count(*) / any_value(fw.n) AS share,
-         count(CASE WHEN fw.pos >= fw.key_at AND fw.pos < fw.key_at + fw.key_n THEN 1 END) = any_value(fw.key_n) AS keyed, count(CASE WHEN fw.pos = a.pos THEN 1 END) = 1 AS anchored
-  FROM tok t JOIN fw ON t.word = fw.word JOIN anchor a ON a.id = fw.id GROUP BY t.doc_id, fw.id, t.ix - fw.pos
+         count(CASE WHEN fw.pos >= fw.key_at AND fw.pos < fw.key_at + fw.key_n THEN 1 END) = any_value(fw.key_n) AS keyed
+  FROM tok t JOIN fw ON t.word = fw.word GROUP BY t.doc_id, fw.id, t.ix - fw.pos
 ), g AS (
-  SELECT * FROM h WHERE keyed AND anchored AND share >= CASE WHEN base THEN 1.0 ELSE {licenses.LEAST_SHARE} END
+  SELECT * FROM h WHERE keyed AND share >= CASE WHEN base THEN 1.0 ELSE {licenses.LEAST_SHARE} END
 ), r AS (
   SELECT doc_id, count(CASE WHEN base THEN 1 END) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
          string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
