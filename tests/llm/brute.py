@@ -99,6 +99,21 @@ def license_base(text):
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
 
+def licenses(text, base, templates, least):
+    """(labels, score) by trying every template at every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for template, key, label, share in [*((p, p, x, 1.0) for p, x in base), *((*t, least) for t in templates)]:
+        t, k = template.split(), key.split()
+        at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        for start in range(-len(t), len(w)):
+            here = [0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(t)]
+            if all(here[at : at + len(k)]) and sum(here) / len(t) >= share:
+                labels.add(label)
+                score = max(score, sum(here) / len(t))
+    return ",".join(sorted(labels)), score
+
+
 PII = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

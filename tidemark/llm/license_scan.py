@@ -1,25 +1,24 @@
 """Licence scans by a positional index of rare words.
 
-Corpus counts over all documents give each licence word its IDF. The index is
-keyed by the highest-IDF word of each template's mandatory key phrase, which
-every place that counts has, and holds its position in the template. A file's own such words are looked up; each gives a start by its relative position,
-and the other words of the template are intersected at their places after it. A
-template counts where enough of its words stand and its mandatory key phrase is
-complete. Base phrases are templates that must stand whole, so none is missed:
-each of their places has the rare word. Both passes are scans without a shuffle
-of texts; a word that is in a third of all files costs no task more than others.
+One pass tokenises the texts and keeps, for each, which licence words it has; that
+gives each word its IDF over all documents. The index holds the postings (word,
+template, position) of each template's rarest words: so many that a place which
+may lack the others must have one of them. Only texts that have all words of some
+mandatory key phrase are looked at further. Their words in the index are joined to
+the postings, which gives starts by relative position; the template's other words
+are intersected at their places, and the key phrase is verified. Base phrases are
+templates that must stand whole, so none is missed. Places are found in blocks of
+words, so no text makes a large row; nothing but places and numbers is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import materialize
 
 #: All characters but \x00-\x2F, \x3A-\x60 and \x7B-\x7F. Java tests a class that is stated
 #: by what it has many times faster than a negated union of ranges.
@@ -43,67 +42,116 @@ TEMPLATES = (
 LEAST_SHARE = 0.75
 
 
+#: Words of a block that is searched at a time.
+BLOCK_WORDS = 1024
+#: Postings that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+POSTINGS = "word string, form int, pos int, template array<string>, key_at int, key_words int, least double, label string, base boolean"
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """The words, with A-Z in lower case; what is beyond ASCII may change its case too, but never becomes ASCII.
+
+    Of all other characters only the Kelvin sign has a lower case in ASCII; the one
+    put in its place has none. translate() would be many times slower.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b"))
+    return F.regexp_extract_all(F.lower(plain), F.lit(WORD), 0)
+
+
+def forms_of(base, templates, least_share: float) -> list[tuple[list[str], int, int, float, str, bool]]:
+    """(words, where the key phrase is in them, its words, least share, label, whether it is of the base scan)."""
+    forms = [(p.split(), 0, len(p.split()), 1.0, label, True) for p, label in base]
+    for template, key, label in templates:
+        words, needed = template.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
+        forms.append((words, at, len(needed), least_share, label, False))
+    return forms
 
 
-def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """IDF of each word over all documents; as many rows as the templates have words."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    present = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), known)).alias("word"))
-    counts = {r["word"]: r["n"] for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}
+def literal(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def tokenised(docs: DataFrame, forms) -> DataFrame:
+    """(row, doc_id, n_words, present, words): the licence words of each text, and all of its words if it has those of a key phrase."""
+    vocabulary = sorted({w for words, *_ in forms for w in words})
+    keys = F.array(*[literal(sorted(set(words[at : at + n]))) for words, at, n, *_ in forms])
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    read = read.withColumn("present", F.array_intersect("words", literal(vocabulary)))
+    may = F.exists(keys, lambda key: F.size(F.array_except(key, F.col("present"))) == 0)
+    return read.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "present", F.when(may, F.col("words")).alias("words"))
+
+
+def rarity(scan: DataFrame) -> dict[str, float]:
+    """IDF of each licence word over all documents; as many rows as the templates have words."""
+    counts = {r["word"]: r["n"] for r in scan.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     most = max(counts.values(), default=0)
-    return {w: math.log((1 + most) / (1 + counts.get(w, 0))) for w in vocabulary}
+    return {w: math.log((1 + most) / (1 + n)) for w, n in counts.items()}
+
+
+def rare_postings(forms, idf: dict[str, float]) -> list[tuple]:
+    """The postings of each form's rarest words. A place that counts lacks fewer words than are posted, so it has one of them."""
+    out = []
+    for k, (words, key_at, key_words, least, label, is_base) in enumerate(forms):
+        lacking = math.floor(len(words) - least * len(words) + 1e-9)
+        rare = sorted(range(len(words)), key=lambda i: (-idf.get(words[i], math.inf), words[i], i))[: lacking + 1]
+        out += [(words[i], k, i, words, key_at, key_words, least, label, is_base) for i in sorted(rare)]
+    return out
+
+
+def places(scan: DataFrame, postings: list[tuple]) -> DataFrame:
+    """(row, form, start, share, label, base) of each place that counts, once."""
+    spark = scan.sparkSession
+    longest = max(len(p[3]) for p in postings)
+    margin = longest - 1
+    rare = sorted({p[0] for p in postings})
+    words, k = F.col("words"), F.col("k")
+    texts = scan.filter("words is not null").select("row", "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / BLOCK_WORDS).cast("int"))).alias("k"))
+    before = F.least(k * BLOCK_WORDS, F.lit(margin))
+    blocks = texts.select("row", (k * BLOCK_WORDS - before).alias("first"), before.alias("before"), F.slice(words, k * BLOCK_WORDS - before + 1, before + BLOCK_WORDS + margin).alias("block"))
+
+    def seen(w: Column, j: Column) -> Column:
+        own = (j >= F.col("before")) & (j < F.col("before") + BLOCK_WORDS)
+        near = F.transform(F.sequence(F.lit(-margin), F.lit(margin)), lambda d: F.get("block", j + d))
+        return F.when(own & w.isin(rare), F.struct((F.col("first") + j).alias("at"), w.alias("word"), near.alias("near")))
+
+    hits = blocks.select("row", F.explode(F.filter(F.transform("block", seen), lambda x: x.isNotNull())).alias("x")).select("row", "x.*")
+    index = spark.createDataFrame(postings, POSTINGS)
+    found = hits.join(F.broadcast(index) if len(postings) <= BROADCAST_ROWS else index, "word")
+    stands = F.transform("template", lambda w, t: F.coalesce(F.get("near", margin + t - F.col("pos")) == w, F.lit(False)))
+    found = found.withColumn("stands", stands)
+    share = F.size(F.filter("stands", lambda x: x)) / F.size("template")
+    keyed = F.forall(F.slice("stands", F.col("key_at") + 1, F.col("key_words")), lambda x: x)
+    found = found.withColumns({"share": share, "keyed": keyed}).filter("keyed and share >= least")
+    start = (F.col("at") - F.col("pos")).cast("long")
+    one = (F.first("share").alias("share"), F.first("label").alias("label"), F.first("base").alias("base"))
+    return found.groupBy("row", "form", start.alias("start")).agg(*one)
 
 
 def license_scan(docs: DataFrame, base=BASE, templates=TEMPLATES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
-    docs has doc_id and text; other columns are ignored. Null and empty texts have no words, no labels (empty strings) and score 0.
-    score is the largest share of a template's words found in their places with
-    its key phrase, 1 for a base phrase. Repeated rows are scanned each. An empty
-    table gives an empty result.
+    docs has doc_id and text; other columns are ignored. A template counts where at
+    least least_share of its words stand at their places, its key phrase (the first
+    place of it in the template) among them. Null and empty texts have no words, no
+    labels (empty strings) and score 0. score is the largest share of a template's
+    words found with its key phrase, 1 for a base phrase. Repeated rows, and rows
+    with a null doc_id, are scanned each. Very long texts are scanned whole, in
+    blocks of words that overlap by a template's length. An empty table gives an
+    empty result; without phrases and templates nothing is found.
     """
-    forms = [(p.split(), 0, len(p.split()), label, True) for p, label in base]
-    for template, key, label in templates:
-        words, needed = template.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
-        forms.append((words, at, len(needed), label, False))
-    vocabulary = sorted({w for words, *_ in forms for w in words})
-    idf = rarity(docs, vocabulary)
-    keys = [words[key_at : key_at + key_words] for words, key_at, key_words, *_ in forms]
-    anchors = [max(key, key=lambda w: (idf[w], w)) for key in keys]
-
-    read = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    seen = F.transform("words", lambda w, i: F.when(w.isin(sorted(set(anchors))), i))
-    read = read.withColumn("rare", F.filter(seen, lambda i: i.isNotNull()))
-
-    def places(k: int) -> Column:
-        """(start, share) of each place where form k counts."""
-        words, key_at, key_words, _, whole = forms[k]
-        here = F.filter("rare", lambda i: F.get("words", i) == anchors[k])
-        starts = F.transform(here, lambda i: i - key_at - keys[k].index(anchors[k]))
-        stands = lambda s, i: F.coalesce(F.get("words", s + i) == words[i], F.lit(False))
-
-        def measured(s: Column) -> Column:
-            share = reduce(add, [stands(s, i).cast("int") for i in range(len(words))]) / float(len(words))
-            key = reduce(lambda a, b: a & b, [stands(s, i) for i in range(key_at, key_at + key_words)])
-            return F.struct(s.cast("long").alias("start"), F.when(key, share).otherwise(0.0).alias("share"))
-
-        return F.filter(F.transform(starts, measured), lambda x: x["share"] >= (1.0 if whole else least_share))
-
-    none = F.array().cast("array<struct<start:bigint,share:double>>")
-    each = [F.when(F.size("rare") > 0, places(k)).otherwise(none).alias(f"at{k}") for k in range(len(forms))]
-    found = read.select("doc_id", F.size("words").cast("long").alias("n_words"), *each)
-    of_base = F.array_sort(F.transform(F.concat(*[F.col(f"at{k}") for k in range(len(base))]), lambda x: x["start"]))
-    label_if = lambda k: F.when(F.size(f"at{k}") > 0, F.lit(forms[k][3]))
-
-    def joined(ks: range) -> Column:
-        labels = F.filter(F.array(*map(label_if, ks)), lambda x: x.isNotNull())
-        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-
-    best = F.array_max(F.transform(F.concat(*[F.col(f"at{k}") for k in range(len(forms))]), lambda x: x["share"]))
-    return found.withColumn("starts", of_base).select(
-        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.get("starts", F.lit(0)).alias("first_word"), F.array_max("starts").alias("last_word"),
-        joined(range(len(base))).alias("base_labels"), joined(range(len(forms))).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"),
+    forms = forms_of(base, templates, least_share)
+    scan = materialize(tokenised(docs, forms or [(["\x00"], 0, 1, 1.0, "", True)]), "license-scan")
+    postings = rare_postings(forms, rarity(scan)) or [("\x00", 0, 0, ["\x00"], 0, 1, 1.0, "", True)]
+    found = places(scan, postings)
+    of_base = lambda c: F.when(F.col("base"), F.col(c))
+    labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    of_row = found.groupBy("row").agg(
+        F.count_if("base").alias("n_base"), F.min(of_base("start")).alias("first_word"), F.max(of_base("start")).alias("last_word"),
+        labels(of_base("label")).alias("base_labels"), labels("label").alias("labels"), F.max("share").alias("score"),
     )
+    out = scan.select("row", "doc_id", "n_words").join(of_row, "row", "left")
+    none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
+    out = out.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
