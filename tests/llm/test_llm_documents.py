@@ -124,7 +124,7 @@ def test_license_scan(clashing, spark):
     texts = {
         1: "CC BY cc by-cc,BY", 2: "The General  Public\nLicense. All rights reserved", 3: "", 4: None, 5: "all rights all rights reserved",
         6: "Licensed under the Apache License, Version 2.0.", 7: "licensed under that Apache licence", 8: "Released under the MIT License.", 9: "cc " * 3000 + "by", 10: "K cc by",
-        11: "This work is licensed under the GNU General Public License, version 3.", 12: "ccé by cc by",
+        11: "This work is licensed under the GNU General Public License, version 3.", 12: "ccé by cc by", 13: "MIT LI\u0130 all rights reserved \u0130 ÉÉ",
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("rare", F.lit(2))
     out = license_scan.license_scan(df)
@@ -135,12 +135,47 @@ def test_license_scan(clashing, spark):
     assert license_scan.license_scan(clashing).count() == clashing.count()
 
 
-def test_a_template_counts_without_its_rarest_word(spark):
-    """'released' and 'v' are the rarest words of their templates, and outside of the key phrases."""
-    common = ["licensed under the MIT License"] * 3
-    texts = ["Released under the MIT License", *common, "subject to the terms of the Mozilla Public License version 2 0", "released under the license"]
+def test_a_template_counts_with_any_word_altered_but_of_its_key_phrase(spark):
+    """Each word of each template in turn, two at a time, and templates cut by the text's ends."""
+    texts = []
+    for template, _, _ in license_scan.TEMPLATES:
+        w = template.split()
+        texts += [" ".join(["x"] * 3 + w[:i] + ["altered"] + w[i + 1 :]) for i in range(len(w))]
+        texts += [" ".join(w[:i] + ["altered"] + w[i + 1 : -1] + ["altered"]) for i in range(len(w) - 1)]
+        texts += [" ".join(w[1:]), " ".join(w[:-1]), f"{template} {template}"]
+    texts += ["Released under the MIT License", *["licensed under the MIT License"] * 3, "released under the license", None, ""]
     got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "labels", "score")
-    assert got[0] == ("mit", 1.0) and got[1] == ("mit", 0.8) and got[4] == ("mpl-2.0", 11 / 12) and got[5] == ("", 0.0)
+    want = {i: brute.licenses(t, license_scan.BASE, license_scan.TEMPLATES, license_scan.LEAST_SHARE) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(0.75 <= s < 1 for _, s in want.values()) >= 100
+
+
+def test_license_scan_of_many_templates_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BLOCK_WORDS", 16)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmno")
+    templates = [(" ".join(t), " ".join(t[k : k + 2]), f"l{n}") for n in range(80) for t in [[word() for _ in range(rng.randint(3, 9))]] for k in [rng.randrange(len(t) - 1)]]
+    texts = []
+    for _ in range(60):
+        w = [word() for _ in range(rng.randint(0, 120))]
+        for t, _, _ in rng.sample(templates, 3):
+            at = rng.randint(0, len(w))
+            w[at:at] = [x if rng.random() < 0.9 else word() for x in t.split()]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(license_scan.license_scan(df, templates=templates), "labels", "score")
+    want = {i: brute.licenses(t, license_scan.BASE, templates, 0.75) for i, t in enumerate(texts)}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in got.items()} == pytest.approx({i: x[1] for i, x in want.items()})
+
+
+def test_license_scan_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "cc by"), (1, "cc by"), (None, "cc by"), (None, None), (2, "cc " * 5000 + "by")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_base"], r["first_word"], r["labels"]) for r in license_scan.license_scan(df).collect())
+    assert got == {(1, 1, 0, "cc-by"): 2, (None, 1, 0, "cc-by"): 1, (None, 0, None, ""): 1, (2, 1, 4999, "cc-by"): 1}
+    nothing = license_scan.license_scan(df, base=(), templates=()).collect()
+    assert {r["labels"] for r in nothing} == {""} and len(nothing) == 5
 
 
 PII_TEXTS = {
@@ -236,3 +271,28 @@ def test_seeds_of_several_words_and_without_a_digit_teach_contexts(spark):
 @pytest.mark.parametrize("f", [quality_rules.quality_rules, quality_rules.quality_filter, line_dedup, near_dedup, license_scan.license_scan, pii.personal_data])
 def test_empty_tables(f, documents):
     assert f(documents.limit(0)).count() == 0
+
+
+def test_no_pair_just_above_the_threshold_is_lost():
+    """Of many pairs with a similarity of 0.75 or a little more, all share a band and agree in enough slots."""
+    import numpy as np
+
+    from tidemark.llm import near_dedup as near
+
+    rng = np.random.default_rng(11)
+    lost = 0
+    for _ in range(1500):
+        n = int(rng.integers(40, 400))
+        both = int(np.ceil(0.75 * n))
+        hashes = rng.integers(1, 2**63, n).astype(np.uint64)
+        a, b = (superminhash(np.sort(x)) for x in (hashes[: both + (n - both) // 2], np.concatenate([hashes[:both], hashes[both + (n - both) // 2 :]])))
+        bands = (a.reshape(near.BANDS, -1) == b.reshape(near.BANDS, -1)).all(axis=1)
+        lost += not bands.any() or (a == b).sum() < near.LEAST_AGREE
+    assert lost == 0
+
+
+def test_near_dedup_of_frequent_pivots_and_further_turns(documents, corpus, monkeypatch):
+    """Few pairs a task, all buckets large, and blocks of few shingles."""
+    for name, value in (("PIVOT_PAIRS", 2), ("HOT_PIVOTS", 10**9), ("DENSE", 3), ("BLOCK", 5), ("BLOCK_SHINGLES", 300), ("JOINED", 0.0)):
+        monkeypatch.setattr(f"tidemark.llm.near_dedup.{name}", value)
+    assert by_id(near_dedup(documents), "n_shingles", "component_id", "kept") == brute.near_components(corpus)

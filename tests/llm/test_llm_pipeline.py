@@ -40,6 +40,18 @@ def test_run(spark):
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    text = lambda k: " ".join(f"w{i}" for i in range(k, k + 60))
+    rows = [(5, text(0), "a"), (None, text(0), "b"), (None, text(1), "c"), (None, text(500), "d"), (None, text(500), "e"), (None, text(501), "f"), (None, None, "g"), (7, "", "h")]
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, more string")
+    out = stage(spark, docs, "")
+    assert out.schema == docs.schema
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert [r[0] for r in got if r[2] in "abc"] == [5] and sum(r[2] in "def" for r in got) == 1 and {r[2] for r in got} >= {"g", "h"}
+    assert {r[0] for r in got if r[2] in "defg"} == {None}
+
+
 def test_stages_with_further_columns_and_repeated_rows(spark, clashing):
     from pyspark.sql import functions as F
 

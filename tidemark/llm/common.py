@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
 #: ASCII white space, the separators of a word in most operators.
 SPACE = r"\x20\x09-\x0D"
@@ -24,10 +27,13 @@ ARROW_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it.
+
+    A cluster must name one: a folder of one machine would be lost with it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
@@ -60,14 +66,18 @@ def held(df: DataFrame) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that materialize() and held() keep; only once no result that reads it is needed."""
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all that materialize() and held() keep, but for the tables that `keep` reads; only once no other result that reads them is needed."""
     while _held:
         _held.pop().unpersist()
+    read = keep.inputFiles() if keep is not None else []
+    kept = [p for p in _written if any(p.split("://")[-1] in f for f in read)]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        if (p := _written.pop()) not in kept:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    _written.extend(kept)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,14 +97,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """Return free memory to the system at a task's end: workers are kept for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = TEXT_BATCH) -> DataFrame:
     """mapInArrow, with f given slices of at most so many rows, under the columns' own names."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield f(batch.slice(at, rows).rename_columns(names))
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield f(batch.slice(at, rows).rename_columns(names))
+        finally:
+            give_back()
 
     bounded_batches(df.sparkSession)
     # By number, as a column's name can have a dot.

@@ -6,12 +6,13 @@
 2. Bands of the signature put classes into buckets. A bucket gives no pairs of its
    members: each is compared with one pivot, drawn anew for each bucket. The
    pivot whose signature agrees best is verified on the full sets, and union-find
-   joins what it links.
-3. Only buckets that still hold several components are looked at again: all of
-   their signatures are compared there, in blocks of bounded size, and pairs that
-   may be links of different components are verified on the full sets. So every
-   pair that shares a bucket is either compared or already joined. A large bucket
-   is given its texts and verifies on the spot, so no pairs are written for it.
+   joins what it links. Large buckets that still hold several components draw
+   another pivot, as long as that joins many of them.
+3. Only buckets that are then still open are looked at again: all of their
+   signatures are compared there, in blocks of bounded size, and pairs that may be
+   links of different components are verified on the full sets. So every pair that
+   shares a bucket is either compared or already joined. A large bucket is given
+   its texts and verifies on the spot, so no pairs are written for it.
 """
 
 from __future__ import annotations
@@ -32,10 +33,17 @@ PERCENT = 75
 SLOTS = 128
 BANDS = 32
 #: Slots that must agree before sets are compared; a pair at the threshold has 96 on average, with a deviation of 5 at most.
-LEAST_AGREE = 76
-#: Buckets of more members are compared where their texts are, in blocks of two times BLOCK rows.
+LEAST_AGREE = 64
+#: Buckets of more members are compared where their texts are, in blocks of two times BLOCK rows or BLOCK_SHINGLES, about.
 DENSE = 64
 BLOCK = 256
+BLOCK_SHINGLES = 1_000_000
+#: Further pivots that a large bucket draws, at most, while each round joins a quarter of what is open.
+TURNS = 4
+JOINED = 0.25
+#: Pairs of one pivot that are verified in one task, about. Only HOT_PIVOTS pivots can have a HOT_PIVOTS-th part of all pairs.
+PIVOT_PAIRS = 256
+HOT_PIVOTS = 10_000
 #: Word hashes that a worker keeps.
 WORDS_KEPT = 200_000
 #: Shingles that are ranked at a time.
@@ -154,8 +162,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             kept.append(similar(mine, other))
         return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    return map_batches(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), keep, "a long, b long")
+    # A frequent pivot's text is copied, so that its pairs are dealt to as many tasks.
+    pairs = held(pairs.select("a", "b"))
+    least_hot = max(PIVOT_PAIRS, -(-pairs.count() // HOT_PIVOTS))
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > least_hot)
+    hot = F.broadcast(hot.select("b", F.ceil(F.col("n") / PIVOT_PAIRS).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    a = texts.toDF("a", "text_a")
+    b = texts.toDF("b", "text_b").join(hot, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    pairs = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"))
+    return map_batches(pairs.join(a, "a").join(b, ["b", "copy"]).select("a", "b", "text_a", "text_b"), keep, "a long, b long")
 
 
 def sizes_allow(n: str, m: str) -> str:
@@ -166,10 +182,11 @@ def sizes_allow(n: str, m: str) -> str:
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components.
 
-    rows has (key, i, j, band, node, n_shingles, root, sig, text), dealt and sorted
-    by (key, i, j). A pair whose signatures agree enough is looked at in the first band that both
-    share. With texts, it is verified here on the full sets, and only links that
-    join two components of the block come out; without, the pair comes out.
+    rows has (key, i, j, own, band, node, n_shingles, root, sig, text), dealt and sorted
+    by (key, i, j); a block with i < j compares rows of its own part i with those of
+    part j only. A pair whose signatures agree enough is looked at in the first band
+    that both share. With texts, it is verified here on the full sets, and only links
+    that join two components of the block come out; without, the pair comes out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,27 +197,30 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             if len(held) < 2:
                 return []
             out: list[tuple[int, int]] = []
-            band = held[0][0]
-            node, n, root = (np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3))
-            joined = b"".join(r[4] for r in held)
+            band, across = held[0][1], block[1] != block[2]
+            own, node, n, root = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 2, 3, 4))
+            joined = b"".join(r[5] for r in held)
             sigs = np.frombuffer(joined, dtype="<u2").reshape(len(held), -1)
             bands = np.frombuffer(joined, dtype="<u8").reshape(len(held), -1)
             sets: dict[int, np.ndarray] = {}
 
             def set_of(k: int) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingle_set(held[k][5])
+                    sets[k] = shingle_set(held[k][6])
                 return sets[k]
 
             for x in range(len(held) - 1):
                 small, large = np.minimum(n[x + 1 :], n[x]), np.maximum(n[x + 1 :], n[x])
-                others = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (100 * small >= PERCENT * large))
+                meet = (root[x + 1 :] != root[x]) & (100 * small >= PERCENT * large)
+                if across:
+                    meet &= own[x + 1 :] != own[x]
+                others = x + 1 + np.flatnonzero(meet)
                 if not len(others):
                     continue
                 agree = (sigs[others] == sigs[x]).sum(axis=1) >= LEAST_AGREE
                 others = others[agree & ((bands[others] == bands[x]).argmax(axis=1) == band)]
                 for y in others.tolist():
-                    if held[x][5] is not None:
+                    if held[x][6] is not None:
                         if root[x] == root[y] or not similar(set_of(x), set_of(y)):
                             continue
                         root[root == root[y]] = root[x]
@@ -214,7 +234,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, TEXT_BATCH):
                 part, found = batch.slice(at, TEXT_BATCH), []
                 columns = [c.to_pylist() for c in part.columns[:-1]]
-                texts = [None] * part.num_rows if part.column(8).null_count == part.num_rows else texts_as_bytes(part.column(8))
+                texts = [None] * part.num_rows if part.column(9).null_count == part.num_rows else texts_as_bytes(part.column(9))
                 for row in zip(*columns, texts, strict=True):
                     if row[:3] != block:
                         found += pairs()
@@ -227,8 +247,16 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Enough verified links (a, b) between nodes (node, n_shingles, sig) to join all that belong together."""
+def open_keys(rooted: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
+    return rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+
+
+def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Enough verified links (a, b) between nodes (node, n_shingles, sig) to join all that belong together.
+
+    repeated: whether a doc_id of docs stands on several rows.
+    """
     key_of = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 8 * b + 1, 8))
     keys = [F.struct(F.lit(b).alias("band"), key_of(b).alias("key")) for b in range(BANDS)]
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.band", "x.key")
@@ -238,36 +266,58 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     # Most documents share no bucket: their texts are left out before the shuffle.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = split_marked(texts, "doc_id", marks(involved, "doc_id"))[1]
-    texts = materialize(texts.join(involved, "doc_id", "left_semi"), "near-texts")
+    texts = split_marked(texts, "doc_id", marks(involved, "doc_id"))[1].join(involved, "doc_id", "left_semi")
+    if repeated:  # else rows that repeat a text would be compared each
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("version")).agg(F.first("text").alias("text")).drop("version")
+    texts = materialize(texts, "near-texts")
 
     a, b = nodes.toDF("a", "n_a", "sig_a"), nodes.toDF("b", "n_b", "sig_b")
+    possible = lambda pairs: likely(pairs.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b")))
+    surest = F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    possible = likely(stars.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b")))
-    best = possible.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    first = held(verified(best, texts))
-
-    root = components(first)
-    rooted = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
-    rooted = held(rooted)
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    columns = ["key", "i", "j", "band", "node", "n_shingles", "root", "sig", "text"]
-    open_rows = rooted.join(split, "key").join(nodes, "node")
+    found = held(verified(possible(stars).groupBy("a").agg(surest), texts))
+
+    def rooted() -> tuple[DataFrame, DataFrame]:
+        """(key, band, node, m, root) of the members, and (node, root) of those that are joined to others."""
+        root = components(found)
+        each = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
+        return held(each), root
+
+    rows, root = rooted()
+    before = None
+    for turn in range(1, 1 + TURNS):
+        large = held(rows.filter(F.col("m") > DENSE).join(open_keys(rows), "key"))
+        n = large.count()
+        if not n or (before is not None and n > (1 - JOINED) * before):
+            break
+        before = n
+        drawn = F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(turn))).alias("p")
+        pairs = large.join(large.groupBy("key").agg(drawn), "key").filter("root <> p.root")
+        pairs = pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+        of_root = possible(pairs).join(root.toDF("b", "b_root"), "b", "left").groupBy("a", F.coalesce("b_root", "b").alias("to"))
+        more = held(verified(of_root.agg(surest), texts))
+        if more.isEmpty():
+            break
+        found = held(found.unionByName(more))
+        rows, root = rooted()
+
+    columns = ["key", "i", "j", "own", "band", "node", "n_shingles", "root", "sig", "text"]
+    open_rows = rows.join(open_keys(rows), "key").join(nodes, "node")
     dealt = lambda df: df.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    sparse = open_rows.filter(F.col("m") <= DENSE).withColumns({"i": F.lit(0), "j": F.lit(0), "text": F.lit(None).cast("string")})
-    rest = verified(held(in_blocks(dealt(sparse))), texts)
+    zero = {c: F.lit(0) for c in ("i", "j", "own")}
+    sparse = open_rows.filter(F.col("m") <= DENSE).withColumns(zero | {"text": F.lit(None).cast("string")})
+    rest = verified(in_blocks(dealt(sparse)), texts)
     # Texts are joined once a member; only then is a member dealt to the blocks that it meets.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dense = held(open_rows.filter(F.col("m") > DENSE))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
     dense = (
-        open_rows.filter(F.col("m") > DENSE)
+        dense.join(dense.groupBy("key").agg(parts), "key")
         .join(texts.withColumnRenamed("doc_id", "node"), "node")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
-    found = in_blocks(dealt(dense))
-    return first.unionByName(rest).unionByName(found)
+    return found.unionByName(rest).unionByName(in_blocks(dealt(dense)))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -276,17 +326,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Null and empty texts have an empty set and are linked with nothing. Rows of
     one doc_id count as one document that has the links of each of its texts;
     they all stay or go. Texts whose rows all have a null doc_id form no
-    component (component_id null) and stay. An empty table gives an empty result.
+    component (component_id null) and stay. Very long texts are taken whole; the
+    blocks that hold several are bounded by their shingles. An empty table gives an
+    empty result.
     """
     signed = materialize(signatures(docs), "near-signatures")
     # Equal sets have equal signatures, so any of them will do.
     of_class = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")]
     classes = held(signed.filter("digest is not null").groupBy("digest").agg(*of_class))
     nodes = classes.filter("node is not null").select("node", "n_shingles", "sig")
-    found = links(nodes, docs)
     # A doc_id that stands on several rows ties their classes together.
+    several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    several = held(several)
+    found = links(nodes, docs, not several.isEmpty())
     named = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
-    several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     own = named.join(several, "doc_id").join(classes.select("digest", "node"), "digest")
     ties = own.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(found.unionByName(ties))
