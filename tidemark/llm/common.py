@@ -66,18 +66,26 @@ def held(df: DataFrame) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all that materialize() and held() keep, but for the tables that `keep` reads; only once no other result that reads them is needed."""
-    while _held:
-        _held.pop().unpersist()
+def so_far() -> tuple[int, int]:
+    """How many tables materialize() and held() keep; for release(since=...)."""
+    return len(_written), len(_held)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, since: tuple[int, int] = (0, 0)) -> None:
+    """Delete all that materialize() and held() keep, but for what `keep` reads and what was there at `since`.
+
+    Only once no other result that reads those tables is needed.
+    """
+    for df in _held[since[1] :]:
+        df.unpersist()
+    del _held[since[1] :]
     read = keep.inputFiles() if keep is not None else []
-    kept = [p for p in _written if any(p.split("://")[-1] in f for f in read)]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        if (p := _written.pop()) not in kept:
+    for p in _written[since[0] :]:
+        if not any(p.split("://")[-1] in f for f in read):
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-    _written.extend(kept)
+            _written.remove(p)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
