@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, marks, materialize, release, split_marked, table
+from tidemark.llm.common import SPACE, marks, materialize, release, so_far, split_marked, table
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near_dedup import near_dedup
@@ -105,10 +105,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what a stage has kept is written, and its own tables are deleted then."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), so_far()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, keep=docs)
+        release(spark, keep=docs, since=since)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
