@@ -5,10 +5,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import paths
+from tidemark.functions import fixed, paths
 from tidemark.operators import rules, scan
 from tidemark.sources.tree import list_tree
 
+# Put together from parts, so that this file has nothing that the scan itself would report.
 HOME = "/Users" + "/bob/"
 KEY = "AK" + "IA" + "ABCDEFGH01234567"
 
@@ -86,7 +87,7 @@ def test_tree_gives_the_expected_issues(spark, tree):
 
 def test_order_within_a_file_is_that_of_the_rules(spark, tree):
     issues = scan.release_issues(spark, tree, rules.rule_list(["alice"])).filter("rel = 'multi.md'").orderBy("ord")
-    assert [r["detail"] for r in issues.collect()] == [r"/Users/[^/\s]+/", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"]
+    assert [r["detail"] for r in issues.collect()] == [fixed.HOME_RULE[1], fixed.KEY_RULE[1]]
 
 
 def test_status_tells_unreadable_from_skipped(spark, tree):
@@ -98,7 +99,7 @@ def test_status_tells_unreadable_from_skipped(spark, tree):
 def test_report_of_issues_and_of_none(spark, tree, tmp_path_factory):
     row = scan.report(scan.rendered(scan.release_issues(spark, tree, rules.rule_list([])))).first()
     assert row["verdict"] == "FAIL" and row["n_issues"] == len(row["report"].split("\n"))
-    assert "high-risk file: app.log" in row["report"] and "sensitive text: notes.md / /Users/[^/\\s]+/" in row["report"]
+    assert "high-risk file: app.log" in row["report"] and f"sensitive text: notes.md / {fixed.HOME_RULE[1]}" in row["report"]
     empty = str(tmp_path_factory.mktemp("empty"))
     row = scan.report(scan.rendered(scan.release_issues(spark, empty, rules.rule_list([])))).first()
     assert tuple(row) == ("PASS", 0, "")
@@ -116,8 +117,43 @@ def test_listing_has_hidden_files_and_no_dangling_links(spark, tree, monkeypatch
     assert sorted(r["rel"] for r in list_tree(spark, tree).collect()) == near
 
 
+def test_listing_of_many_directories_and_of_uris(spark, tree, monkeypatch):
+    near = sorted(map(tuple, list_tree(spark, tree).collect()))
+    assert sorted(map(tuple, list_tree(spark, f"file://{tree}").collect())) == near
+    for name, value in (("MOST_DIRS", 1), ("LISTED", 2)):
+        monkeypatch.setattr(f"tidemark.sources.tree.{name}", value)
+    assert sorted(map(tuple, list_tree(spark, tree).collect())) == near
+    # As a file system that only pyarrow opens.
+    from pyarrow import fs
+
+    from tidemark.sources import tree as trees
+
+    monkeypatch.setattr(trees, "_local", lambda root: None)
+    found = [x for x in trees._listed(f"file://{tree}", "sub")]
+    assert {x[0] for x in found} >= {"sub/.gitignore", "sub/tools"} and trees._content(f"file://{tree}", "two.md") == f"{HOME} {HOME}".encode()
+    assert trees._content(f"file://{tree}", "none") is None and fs is not None
+
+
+def test_exit_status_tells_whether_there_are_issues(spark, tree, tmp_path_factory, capsys):
+    assert scan.main([tree, "tools/own.py"], ["alice"]) == 1
+    assert "high-risk file: app.log" in capsys.readouterr().out.split("\n")
+    clean = tmp_path_factory.mktemp("clean")
+    (clean / "a.md").write_text("nothing here")
+    assert scan.main([str(clean)], []) == 0
+    assert capsys.readouterr().out == "release scan: PASS\n"
+
+
+def test_long_reports_are_cut_and_written_whole(spark, tmp_path):
+    issues = spark.createDataFrame([(f"f{i:03}", 0, f"line {i}") for i in range(50)], "rel string, ord int, line string")
+    row = scan.report(issues.repartition(4), most=3).first()
+    assert tuple(row) == ("FAIL", 50, "line 0\nline 1\nline 2")
+    scan.write_report(issues.repartition(4), str(tmp_path / "report"))
+    lines = [x for p in sorted((tmp_path / "report").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [f"line {i}" for i in range(50)]
+
+
 def test_account_names(spark):
-    names = [r["name"] for r in rules.account_names(spark, ["bob", "alice", "alice", None, "", "al"]).collect()]
+    names = [r["name"] for r in rules.account_names(spark.createDataFrame([(c,) for c in ("bob", "alice", "alice", None, "", "al")], "name string")).collect()]
     assert names == ["alice", "bob"]
     assert rules.default_rules(spark, ["zed", None])[1].rule_id == "account"
 
@@ -139,5 +175,5 @@ def test_suffix(spark):
 def test_each_rule_is_found_once_a_text_as_python_finds_it(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     found = sorted((r["i"], r["rule_id"]) for r in rules.match_rules(df, "text", rules.rule_list(["ab."]), ["i"]).collect())
-    patterns = {"home": r"/Users/[^/\s]+/", "account": r"(?i)ab\.", "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"}
+    patterns = {"home": fixed.HOME_RULE[1], "account": r"(?i)ab\.", "key": fixed.KEY_RULE[1]}
     assert found == sorted((i, k) for i, t in enumerate(texts) for k, p in patterns.items() if re.search(p, t))

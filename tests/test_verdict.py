@@ -115,6 +115,29 @@ def test_nearest_layout(spark):
     assert got == {1: ("a", 1.0), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("a", 0.707107)}
 
 
+def test_many_assets_are_compared_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    vector = lambda: [round(rng.uniform(-1, 1), 3) for _ in range(4)]
+    items = spark.createDataFrame([(i, vector()) for i in range(40)], "item_id long, descriptor array<double>")
+    assets = spark.createDataFrame([(f"a{i:03}", vector()) for i in range(150)], "asset string, descriptor array<double>")
+    want = sorted(map(tuple, nearest.nearest_layout(items, assets).collect()))
+    monkeypatch.setattr(nearest, "BLOCK_ASSETS", 20)
+    assert sorted(map(tuple, nearest.nearest_layout(items, assets).collect())) == want
+    monkeypatch.setattr(nearest, "BROADCAST_BLOCKS", 2)
+    assert sorted(map(tuple, nearest.nearest_layout(items, assets).collect())) == want
+
+
+def test_chinese_table_is_one_to_one_and_folds_only_traditional_letters(spark):
+    table = folding.CHINESE
+    assert len(table[0]) == len(table[1]) == len(set(table[0])) and not set(table[0]) & set(table[1])
+    df = spark.createDataFrame([("國會發體 国会发体 abc",)], "t string")
+    assert df.select(folding.fold_letters(F.col("t"), table)).first()[0] == "国会发体 国会发体 abc"
+    words = folding.fold_letters(folding.fold_words(F.col("t"), {"國會": "议会"}), table)
+    assert df.select(words).first()[0] == "议会发体 国会发体 abc"
+
+
 def test_folding(spark):
     df = spark.createDataFrame([("éñ 體體 体育",)], "t string")
     assert df.select(folding.fold_letters(F.col("t"))).first()[0] == "en 體體 体育"
@@ -144,6 +167,22 @@ def test_one_item_does_not_stop_others(spark):
     assert evidence.filter("error = 'timeout'").count() == 2
 
 
+def dying(content, column_key, element):
+    import os
+
+    if element == "time":
+        os._exit(1)
+    return True, True, "acme"
+
+
+def test_a_killed_process_costs_one_element(spark):
+    items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
+    got = {r["element"]: (r["executed"], r["error"]) for r in readers.read_elements(items, dying, fixed.ELEMENTS, seconds=20).collect()}
+    assert got == {"subject": (True, None), "time": (False, "died"), "result": (True, None)}
+    plain = readers.isolated(fake, [(b"boom", "k", "subject"), (b"acme", "k", "subject")], None)
+    assert plain == [(None, "RuntimeError"), ((True, True, "acme"), None)]
+
+
 def test_without_a_reader_all_goes_to_review(spark):
     items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
     targets = spark.createDataFrame([(1, "acme")], "item_id long, subject string")

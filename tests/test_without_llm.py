@@ -28,9 +28,9 @@ def test_other_queries_are_there_without_the_subpackage(tmp_path, also):
     env = os.environ | {"PYTHONPATH": str(tmp_path / "repo"), "PYTHONDONTWRITEBYTECODE": "1"}
     out = subprocess.run([sys.executable, "-c", ASKED], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
-    from tidemark.plans import table_queries
+    from tidemark.plans import reading_queries, table_queries, tree_queries
 
-    assert set(out.stdout.strip().split(",")) == set(table_queries.queries())
+    assert set(out.stdout.strip().split(",")) == {*table_queries.queries(), *tree_queries.queries(), *reading_queries.queries()}
 
 
 def test_nothing_outside_imports_the_subpackage():

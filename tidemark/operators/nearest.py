@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Assets are one array that goes to every task, so their number is checked.
-MOST_ASSETS = 10_000
+#: Assets of a block, which is one array in a row, and blocks that are broadcast together, at most.
+BLOCK_ASSETS = 1_000
+BROADCAST_BLOCKS = 10
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,14 +23,24 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest_layout(items: DataFrame, assets: DataFrame, digits: int = 6) -> DataFrame:
     """(item_id, asset, score) for items (item_id, descriptor): the asset (asset, descriptor) with the highest cosine; ties go to the lesser asset.
 
-    Items that no asset can be compared with have null asset and score.
+    Items that no asset can be compared with have null asset and score; of rows that
+    repeat an item_id the best holds. Any number of assets is compared, in blocks: a
+    few are broadcast, more are joined by block and a salt of the items.
     """
-    if assets.limit(MOST_ASSETS + 1).count() > MOST_ASSETS:
-        raise ValueError(f"more than {MOST_ASSETS} assets")
     as_double = F.col("descriptor").cast("array<double>")
-    all_assets = assets.select("asset", as_double.alias("descriptor")).agg(F.collect_list(F.struct("asset", "descriptor")).alias("assets"))
-    # One row of at most MOST_ASSETS descriptors.
-    paired = items.select("item_id", as_double.alias("descriptor")).join(F.broadcast(all_assets))
+    n = assets.count()
+    blocks = max(1, -(-n // BLOCK_ASSETS))
+    block = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int").alias("block")
+    dealt = assets.select(block, F.struct("asset", as_double.alias("descriptor")).alias("a")).groupBy("block").agg(F.collect_list("a").alias("assets"))
+    asked = items.select("item_id", as_double.alias("descriptor"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    if blocks <= BROADCAST_BLOCKS:
+        paired = asked.join(F.broadcast(dealt), "block", "left")
+    else:
+        salts = max(8, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salted = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        paired = asked.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int")).join(salted, ["block", "salt"], "left")
     scored = F.transform("assets", lambda a: F.struct((-F.round(cosine(F.col("descriptor"), a["descriptor"]), digits)).alias("s"), a["asset"].alias("asset")))
     best = F.array_min(F.filter(scored, lambda x: x["s"].isNotNull()))
-    return paired.withColumn("best", best).select("item_id", F.col("best.asset").alias("asset"), (-F.col("best.s")).alias("score"))
+    each = paired.select("item_id", best.alias("best"))
+    found = each.groupBy("item_id").agg(F.min("best").alias("best"))
+    return found.select("item_id", F.col("best.asset").alias("asset"), (-F.col("best.s")).alias("score"))

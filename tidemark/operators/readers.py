@@ -21,6 +21,10 @@ REGIONS = "array<struct<space:string,role:string,x:int,y:int,w:int,h:int>>"
 READINGS = "item_id long, element string, executed boolean, column_resolved boolean, region_found boolean, readable boolean, value string, source string, error string"
 
 
+#: Time that a reader has for one element, unless told otherwise.
+SECONDS = 60.0
+
+
 class Reader(Protocol):
     """Reads one element of an item; raises if it can't run at all."""
 
@@ -28,59 +32,78 @@ class Reader(Protocol):
         """(region found, readable, value)"""
 
 
-def _child(reader: Reader, args: tuple, out) -> None:
-    try:
-        out.send((reader(*args), None))
-    except BaseException as e:
-        out.send((None, type(e).__name__))
+def _child(reader: Reader, calls: list[tuple], out) -> None:
+    for args in calls:
+        try:
+            out.send((reader(*args), None))
+        except BaseException as e:
+            out.send((None, type(e).__name__))
+
 
+def isolated(reader: Reader, calls: list[tuple], seconds: float | None = SECONDS) -> list[tuple[tuple | None, str | None]]:
+    """For each call the reader's answer and no error, or no answer and the error's name.
 
-def isolated(reader: Reader, args: tuple, seconds: float | None) -> tuple[tuple | None, str | None]:
-    """The reader's answer and no error, or no answer and the error's name; `timeout` if it takes longer."""
+    The calls of one item share a process. One that takes longer than `seconds` is a
+    `timeout` and one that kills the process is `died`; the calls after it get a new
+    process. Without a limit the reader runs in the task itself.
+    """
+    out: list[tuple[tuple | None, str | None]] = []
     if seconds is None:
+        for args in calls:
+            try:
+                out.append((reader(*args), None))
+            except Exception as e:
+                out.append((None, type(e).__name__))
+        return out
+    while len(out) < len(calls):
+        here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
+        p = multiprocessing.get_context("fork").Process(target=_child, args=(reader, calls[len(out) :], there), daemon=True)
+        p.start()
+        there.close()
         try:
-            return reader(*args), None
-        except Exception as e:
-            return None, type(e).__name__
-    here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
-    p = multiprocessing.get_context("fork").Process(target=_child, args=(reader, args, there), daemon=True)
-    p.start()
-    there.close()
-    try:
-        return here.recv() if here.poll(seconds) else (None, "timeout")
-    except EOFError:
-        return None, "died"
-    finally:
-        p.kill()
-        p.join()
-        here.close()
-
-
-def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str, ...], seconds: float | None = None, retries: int = 1) -> DataFrame:
+            while len(out) < len(calls):
+                if not here.poll(seconds):
+                    out.append((None, "timeout"))
+                    break
+                out.append(here.recv())
+        except EOFError:
+            out.append((None, "died"))
+        finally:
+            p.kill()
+            p.join()
+            here.close()
+    return out
+
+
+def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str, ...], seconds: float | None = SECONDS, retries: int = 1) -> DataFrame:
     """Evidence for each item (item_id, content, column_key) and element.
 
     Items must be blind. An item whose column_key is null isn't read. Without a reader
-    (degraded mode) nothing is executed, so verdicts go to review. A failure is
+    (degraded mode) nothing is executed, so verdicts go to review. What fails is
     tried again, alone, `retries` times.
     """
     assert_blind(items)
 
+    def answers(content: bytes, key: str | None) -> dict[str, tuple[tuple | None, str | None]]:
+        if reader is None:
+            return dict.fromkeys(elements, (None, "no reader"))
+        if not isinstance(key, str):
+            return dict.fromkeys(elements, (None, None))
+        found = dict(zip(elements, isolated(reader, [(content, key, e) for e in elements], seconds), strict=True))
+        for _ in range(retries):
+            if not (failed := [e for e in elements if found[e][1] is not None]):
+                break
+            for e in failed:
+                found[e] = isolated(reader, [(content, key, e)], seconds)[0]
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for item, content, key in zip(pdf["item_id"], pdf["content"], pdf["column_key"], strict=True):
-                for element in elements:
-                    answer, error = None, None
-                    resolved = isinstance(key, str)
-                    if reader is None:
-                        error = "no reader"
-                    elif resolved:
-                        for _ in range(1 + retries):
-                            answer, error = isolated(reader, (content, key, element), seconds)
-                            if error is None:
-                                break
+                for element, (answer, error) in answers(content, key).items():
                     found, readable, value = answer or (None, None, None)
-                    rows.append((item, element, reader is not None and error is None, resolved, found, readable, value, f"reader:{element}", error))
+                    rows.append((item, element, reader is not None and error is None, isinstance(key, str), found, readable, value, f"reader:{element}", error))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READINGS.split(", ")])
 
     return items.select("item_id", "content", "column_key").mapInPandas(run, READINGS)

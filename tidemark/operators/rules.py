@@ -38,10 +38,9 @@ def local_names() -> list[str | None]:
     return [user, os.environ.get("USER"), os.environ.get("LOGNAME"), Path.home().name]
 
 
-def account_names(spark: SparkSession, candidates: Iterable[str | None], least: int = LEAST_NAME) -> DataFrame:
-    """(name): distinct, of at least so many characters, by code point."""
-    given = spark.createDataFrame([(c,) for c in candidates], "name string")
-    return given.filter(F.length("name") >= least).distinct().orderBy("name")
+def account_names(candidates: DataFrame, least: int = LEAST_NAME) -> DataFrame:
+    """(name): distinct, of at least so many characters, by code point; nulls are left out."""
+    return candidates.select("name").filter(F.length("name") >= least).distinct().orderBy("name")
 
 
 def quoted(literal: str) -> str:
@@ -57,9 +56,13 @@ def rule_list(names: Iterable[str]) -> list[Rule]:
 
 def default_rules(spark: SparkSession, candidates: Iterable[str | None] | None = None) -> list[Rule]:
     """The rules of this machine; candidates replace its account names."""
+    given = spark.createDataFrame([(c,) for c in (local_names() if candidates is None else candidates)], "name string")
     # A handful of names.
-    rows = account_names(spark, local_names() if candidates is None else candidates).collect()
-    return rule_list(r["name"] for r in rows)
+    return rule_list(r["name"] for r in account_names(given).collect())
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    return spark.createDataFrame(rules, RULES_SCHEMA)
 
 
 def matches(text: Column, rules: list[Rule]) -> Column:
@@ -80,10 +83,6 @@ def match_rules(texts: DataFrame, text: str, rules: list[Rule], keep: list[str])
     """
     if len(rules) <= UNROLLED:
         return texts.select(*keep, F.explode(matches(F.col(text), rules)).alias("found")).select(*keep, "found.*")
-    table = texts.sparkSession.createDataFrame(rules, RULES_SCHEMA)
     tagged = texts.select(*keep, F.col(text).alias("searched_text"))
-    return tagged.join(F.broadcast(table), F.contains("searched_text", F.col("needs")) & F.rlike("searched_text", F.col("pattern"))).select(*keep, "ord", "rule_id", "shown")
-
+    return tagged.join(F.broadcast(rule_table(texts.sparkSession, rules)), F.contains("searched_text", F.col("needs")) & F.rlike("searched_text", F.col("pattern"))).select(*keep, "ord", "rule_id", "shown")
 
-def contains_any_case(text: Column, literal: str) -> Column:
-    return F.contains(F.lower(text), F.lit(literal.lower()))

@@ -12,20 +12,29 @@ from .rules import Rule, match_rules
 
 PASSED = "PASS"
 FAILED = "FAIL"
+#: Lines of a report that is one text, at most; write_report() has all of them.
+REPORT_LINES = 100_000
 
 
 def scannable(files: DataFrame, own_path: str | None = None) -> DataFrame:
     return files.filter(~excluded(F.col("rel"), own_path))
 
 
-def suffix_issues(files: DataFrame, approved: tuple[str, ...] = APPROVED_SHEETS) -> DataFrame:
-    """(rel, ord, kind, detail) of files that their suffix alone makes issues.
+def risky_files(files: DataFrame) -> DataFrame:
+    """files whose suffix is one of those that shouldn't be published."""
+    return files.filter(suffix(F.col("rel")).isin(*HIGH_RISK_SUFFIXES))
 
-    Approval is an anti join on the whole path, which is case-sensitive.
-    """
-    risky = files.filter(suffix(F.col("rel")).isin(*HIGH_RISK_SUFFIXES)).select("rel", F.lit("high-risk file").alias("kind"))
+
+def unapproved_sheets(files: DataFrame, approved: tuple[str, ...] = APPROVED_SHEETS) -> DataFrame:
+    """files that are sheets and whose whole path, which is case-sensitive, isn't approved."""
     allow = files.sparkSession.createDataFrame([(a,) for a in approved], "rel string")
-    sheets = files.filter(suffix(F.col("rel")) == SHEET_SUFFIX).join(F.broadcast(allow), "rel", "left_anti").select("rel", F.lit("unapproved xlsx").alias("kind"))
+    return files.filter(suffix(F.col("rel")) == SHEET_SUFFIX).join(F.broadcast(allow), "rel", "left_anti")
+
+
+def suffix_issues(files: DataFrame, approved: tuple[str, ...] = APPROVED_SHEETS) -> DataFrame:
+    """(rel, ord, kind, detail) of files that their suffix alone makes issues."""
+    risky = risky_files(files).select("rel", F.lit("high-risk file").alias("kind"))
+    sheets = unapproved_sheets(files, approved).select("rel", F.lit("unapproved xlsx").alias("kind"))
     return risky.unionByName(sheets).select("rel", F.lit(-1).alias("ord"), "kind", F.lit(None).cast("string").alias("detail"))
 
 
@@ -59,19 +68,30 @@ def rendered(issues: DataFrame) -> DataFrame:
     return issues.withColumn("line", F.concat(F.col("kind"), F.lit(": "), F.col("rel"), F.coalesce(F.concat(F.lit(" / "), F.col("detail")), F.lit(""))))
 
 
-def report(issues: DataFrame, order: tuple[str, ...] = ("rel", "ord")) -> DataFrame:
-    """One row (verdict, n_issues, report), also if there is no issue. issues has line and the order's columns."""
+def report(issues: DataFrame, order: tuple[str, ...] = ("rel", "ord"), most: int = REPORT_LINES) -> DataFrame:
+    """One row (verdict, n_issues, report), also if there is no issue. issues has line and the order's columns.
+
+    report has the first `most` lines, so the one row is bounded; n_issues counts all.
+    """
+    first = issues.select(*order, "line").orderBy(*order, "line").limit(most)
     lines = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    counted = issues.agg(F.count("*").alias("n_issues"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))
-    return counted.select(F.when(F.col("n_issues") > 0, FAILED).otherwise(PASSED).alias("verdict"), "n_issues", "report")
+    text = first.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))
+    counted = issues.agg(F.count("*").alias("n_issues"))
+    # Two rows, one of each.
+    return counted.join(F.broadcast(text)).select(F.when(F.col("n_issues") > 0, FAILED).otherwise(PASSED).alias("verdict"), "n_issues", "report")
+
+
+def write_report(issues: DataFrame, path: str, order: tuple[str, ...] = ("rel", "ord")) -> None:
+    """All lines in order, as text files whose names are in that order too."""
+    issues.orderBy(*order, "line").select("line").write.text(path)
 
 
-def main(argv: list[str]) -> int:
-    """Scan the tree argv[0] (argv[1]: the scanner's own path in it); 1 if there are issues."""
+def main(argv: list[str], candidates: list[str | None] | None = None) -> int:
+    """Scan the tree argv[0] (argv[1]: the scanner's own path in it); 1 if there are issues. candidates replace this machine's account names."""
     from .rules import default_rules
 
     spark = SparkSession.builder.getOrCreate()
-    issues = release_issues(spark, argv[0], default_rules(spark), argv[1] if len(argv) > 1 else None)
+    issues = release_issues(spark, argv[0], default_rules(spark, candidates), argv[1] if len(argv) > 1 else None)
     row = report(rendered(issues)).first()
     print(row["report"] if row["n_issues"] else f"release scan: {PASSED}")
     return int(row["n_issues"] > 0)

@@ -80,23 +80,16 @@ def component_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.filter(~paths.excluded(F.col("rel"), components=("fr", "de")))
 
 
-def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "source").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-def membership_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "source").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-
-
 def distinct_sorted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select(F.col("source").alias("name")).filter(F.length("name") >= fixed.LEAST_NAME).distinct().orderBy("name")
+    return rules.account_names(_read(spark, sf_dir, "documents").select(F.col("source").alias("name")))
 
 
 def literal_ci_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").filter(rules.contains_any_case(F.col("text"), SEARCHED)).select("doc_id", "lang")
+    searched = rules.Rule(0, "searched", SEARCHED, rules.quoted(SEARCHED))
+    return rules.match_rules(_read(spark, sf_dir, "documents"), "text", [searched], ["doc_id", "lang"]).select("doc_id", "lang")
 
 
-def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that were seen with https, each with its least page as the column's key."""
     secure = _read(spark, sf_dir, "pages").filter(F.startswith("url", F.lit("https://")))
     return secure.select(_host(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("column_key"))
@@ -104,12 +97,12 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", _host(F.col("url")).alias("host"))
-    return verdict.resolve(pages, _registry(spark, sf_dir), "host", "column_key").select("page_id", "host", "column_key", "route")
+    return verdict.resolve(pages, _page_registry(spark, sf_dir), "host", "column_key").select("page_id", "host", "column_key", "route")
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _five_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), _host(F.col("url")).alias("host"), "html")
-    known = verdict.resolve(pages, _registry(spark, sf_dir), "host", "column_key")
+    known = verdict.resolve(pages, _page_registry(spark, sf_dir), "host", "column_key")
     regions = {"subject": "<title>", "time": '<div class="ad">', "result": "<article>"}
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     each = F.explode(F.array(*[F.struct(F.lit(e).alias("element"), F.contains("html", F.lit(mark)).alias("region_found"), (title if e == "subject" else F.lit(None).cast("string")).alias("value")) for e, mark in regions.items()])).alias("e")
@@ -123,24 +116,24 @@ def _flat(verdicts: DataFrame) -> DataFrame:
 
 
 def five_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_verdicts(spark, sf_dir))
+    return _flat(_five_verdicts(spark, sf_dir))
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(verdict.review_queue(_verdicts(spark, sf_dir)))
+    return _flat(verdict.review_queue(_five_verdicts(spark, sf_dir)))
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(verdict.decided(_verdicts(spark, sf_dir)))
+    return _flat(verdict.decided(_five_verdicts(spark, sf_dir)))
 
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdict.attribution(_verdicts(spark, sf_dir))
+    return verdict.attribution(_five_verdicts(spark, sf_dir))
 
 
 def after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewers have passed the subjects in review of items with an even id."""
-    verdicts = _verdicts(spark, sf_dir)
+    verdicts = _five_verdicts(spark, sf_dir)
     decisions = _read(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(F.col("page_id").alias("item_id"), F.lit("subject").alias("element"), F.lit("pass").alias("status"), F.lit("r1").alias("reviewer"))
     return verdict.after_review(verdicts, decisions).select("item_id", "element", "status", "decided_by")
 
@@ -200,8 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            scan_issues, scan_issues_all, scan_verdict, scan_report, suffix_class, component_exclusion, allowlist_anti, membership_semi,
-            distinct_sorted_names, literal_ci_search, registry_lookup, five_state, review_queue, decided, after_review, attribution,
+            scan_issues, scan_issues_all, scan_verdict, scan_report, suffix_class, component_exclusion, distinct_sorted_names, literal_ci_search, registry_lookup, five_state, review_queue, decided, after_review, attribution,
             registry_integrity, nearest_layout, script_fold,
         )
     }
@@ -218,8 +210,6 @@ def oracle_sql() -> dict[str, str]:
         "suffix_class": f"""SELECT page_id, {_SUFFIX} AS suffix, CASE WHEN {_SUFFIX} IN ({_quoted(fixed.HIGH_RISK_SUFFIXES)}) THEN 'high-risk' WHEN {_SUFFIX} = '.xlsx' THEN 'sheet'
             WHEN {_SUFFIX} IN ({_quoted(fixed.TEXT_SUFFIXES)}) OR regexp_extract({_PATH}, '[^/]*$', 0) = '.gitignore' THEN 'text' ELSE 'other' END AS class FROM pages""",
         "component_exclusion": f"SELECT page_id, {_PATH} AS rel FROM pages WHERE NOT list_has_any(string_split({_PATH}, '/'), ['fr', 'de'])",
-        "allowlist_anti": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-        "membership_semi": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "distinct_sorted_names": f"SELECT DISTINCT source AS name FROM documents WHERE length(source) >= {fixed.LEAST_NAME} ORDER BY 1",
         "literal_ci_search": f"SELECT doc_id, lang FROM documents WHERE contains(lower(text), lower('{SEARCHED}'))",
         "registry_lookup": f"WITH reg AS ({_REGISTRY}) SELECT page_id, host, column_key, CASE WHEN column_key IS NULL THEN 'review' ELSE 'reuse' END AS route FROM (SELECT page_id, {_HOST} AS host FROM pages) AS p LEFT JOIN reg USING (host)",

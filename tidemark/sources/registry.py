@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON registry of the given schema; a malformed entry fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+def read_registry(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON registry of the given schema, one document or an entry a line; a malformed entry fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
