@@ -123,9 +123,9 @@ def test_many_assets_are_compared_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, vector()) for i in range(40)], "item_id long, descriptor array<double>")
     assets = spark.createDataFrame([(f"a{i:03}", vector()) for i in range(150)], "asset string, descriptor array<double>")
     want = sorted(map(tuple, nearest.nearest_layout(items, assets).collect()))
-    monkeypatch.setattr(nearest, "BLOCK_ASSETS", 20)
+    monkeypatch.setattr(nearest, "BLOCK_CELLS", 80)
     assert sorted(map(tuple, nearest.nearest_layout(items, assets).collect())) == want
-    monkeypatch.setattr(nearest, "BROADCAST_BLOCKS", 2)
+    monkeypatch.setattr(nearest, "BROADCAST_CELLS", 2)
     assert sorted(map(tuple, nearest.nearest_layout(items, assets).collect())) == want
 
 

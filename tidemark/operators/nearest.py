@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Assets of a block, which is one array in a row, and blocks that are broadcast together, at most.
-BLOCK_ASSETS = 1_000
-BROADCAST_BLOCKS = 10
+#: Numbers in the descriptors of a block, which is one array in a row, about, and in all that are broadcast, at most.
+BLOCK_CELLS = 64_000
+BROADCAST_CELLS = 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,12 +28,13 @@ def nearest_layout(items: DataFrame, assets: DataFrame, digits: int = 6) -> Data
     few are broadcast, more are joined by block and a salt of the items.
     """
     as_double = F.col("descriptor").cast("array<double>")
-    n = assets.count()
-    blocks = max(1, -(-n // BLOCK_ASSETS))
+    n, longest = assets.agg(F.count("*"), F.max(F.size("descriptor"))).first()
+    cells = n * max(1, longest or 1)
+    blocks = max(1, -(-cells // BLOCK_CELLS))
     block = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int").alias("block")
     dealt = assets.select(block, F.struct("asset", as_double.alias("descriptor")).alias("a")).groupBy("block").agg(F.collect_list("a").alias("assets"))
     asked = items.select("item_id", as_double.alias("descriptor"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    if blocks <= BROADCAST_BLOCKS:
+    if cells <= BROADCAST_CELLS:
         paired = asked.join(F.broadcast(dealt), "block", "left")
     else:
         salts = max(8, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
