@@ -97,6 +97,24 @@ def test_both_encoders_give_the_same_ids(monkeypatch):
     assert [packing.encoder(tokenizer())(t).tolist() for t in texts] == [packing.encoder(tokenizer(), by_ranks=False)(t).tolist() for t in texts]
 
 
+def test_only_plain_files_are_encoded_by_ranks(tmp_path):
+    import json
+
+    with open(tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    packing.check_plain(spec)
+    for change in (
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+        {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}},
+    ):
+        with pytest.raises(ValueError, match="not by ranks"):
+            packing.check_plain(spec | change)
+    other = tmp_path / "t.json"
+    other.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}))
+    assert not packing.ranks_agree(str(other))
+    assert packing.encoder(str(other), packing.ranks_agree(str(other)))("ABC abc").tolist() == packing.whole_tokenizer(str(other)).encode("ABC abc", add_special_tokens=False).ids
+
+
 def test_packing_of_repeated_rows(spark):
     out = packing.pack(spark.createDataFrame([(1, "a b")] * 3 + [(None, "c")], "doc_id long, text string"), tokenizer()).collect()
     assert len(out) == 4 and len({(r["sequence_id"], r["offset"]) for r in out}) == 4
@@ -188,6 +206,18 @@ def test_mixing_of_nothing(spark, documents):
     assert (zero["target"], zero["taken"], zero["shards"]) == (0.0, 0, [])
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (None, "a", 7), (None, "a", 7), (None, None, 4), (2, None, 0), (3, "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and len({str(r) for r in got}) == 5  # repeated rows are taken alike
+    taken, want = collections.Counter(), by_hand({"a": 24, "b": 9, None: 4})
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[n] - want[s]) <= 2 for s, n in (("a", 24), ("b", 9), (None, 4)))
+
+
 URLS = {
     1: "http://a.example.net/en/1?x#y", 2: "https://EXAMPLE.net/de/1", 3: "https://example.net", 4: None, 5: "no scheme/", 6: "ftp://notexample.net/en/", 7: "http://x.example.com/de/a", 8: "http://example.com/den",
     9: "http://deep.sub.org/fr/x", 10: "http://org/fr/", 11: "http://://net/", 12: "http://a.net?q=/en/", 13: "http://a.net/?q", 14: "http://example.net:80/en/", 15: "http:///en/", 16: "", 17: "://net/x", 18: "http://net./x",
@@ -215,6 +245,15 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0), none).count() == 0
 
 
+def test_url_rules_of_a_hot_host_repeated_rows_and_null_ids(spark):
+    rows = [(i if i % 3 else None, f"http://a{'.b' * (i % 2)}.example.net/{'en' if i % 5 else 'de'}/{i % 7}") for i in range(400)] * 2
+    rows += [(9, f"http://{'x.' * 5000}org/fr/")]
+    more = [*url_filter.RULES, *((f"h{i}.org", "/", "block") for i in range(300))]
+    out = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(more, "host string, path string, verdict string"))
+    got = collections.Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect())
+    assert got == collections.Counter((i, *judged_by_hand(u, more)) for i, u in rows)
+
+
 def top_by_hand(vectors, every, k):
     q = {i: np.floor(64 * np.array(v, dtype=float)) for i, v in vectors.items()}
     out = []

@@ -27,6 +27,8 @@ from .common import map_batches, materialize, width
 
 WINDOW = 2048
 END_ID = 1
+#: Rows of a plan that is broadcast, at most, of 48 bytes each.
+BROADCAST_ROWS = 1_000_000
 PROBES = ("It's 1,234 WORDS  here,\n\n\tI'LL say: été 中文 😀!?", "", " lead and trail ", "a<|endoftext|>b")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -115,24 +117,43 @@ def whole_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What a tokenizers file must say for ranks alone to give its ids, and the words that such a file splits a text into.
+PLAIN_MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False,
+}
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def check_plain(spec: dict) -> None:
+    """Raise ValueError unless the file is byte-level BPE without any normalizer, whose merges come in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k, v in PLAIN_MODEL.items() if model.get(k) not in ((v, "") if v is None else (v,))]
+    odd += [k for k, v in PLAIN_SPLIT.items() if split.get(k) != v]
+    odd += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if odd or merged != sorted(merged):
+        raise ValueError(f"not by ranks: {odd or 'merges'}")
+
+
 @cache
 def ranked(path: str):
-    """The ranks of a byte-level BPE file of the tokenizers library, applied by tiktoken."""
+    """The ranks of a byte-level BPE file of the tokenizers library, applied by tiktoken; ValueError if the file asks for more."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    check_plain(spec)
     # Printable stand-ins of the 256 bytes in byte-level BPE files.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=special)
 
 
 def ranks_agree(path: str) -> bool:
-    """Whether tiktoken gives the ids of tokenizers for the probes; asked once, on the driver."""
+    """Whether the file's settings are those that ranks alone follow, and the probes get the same ids; asked once, on the driver."""
     try:
         fast, slow = ranked(path), whole_tokenizer(path)
         return all(fast.encode(t, allowed_special="all") == slow.encode(t, add_special_tokens=False).ids for t in PROBES)
@@ -186,10 +207,8 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
     # At most `window` rows.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        best_fit_decreasing(histogram, window),
-        "length long, first_rank long, run long, per_window long, first_window long, at long",
-    )
+    runs = best_fit_decreasing(histogram, window)
+    plan = spark.createDataFrame(runs, "plan_length long, first_rank long, run long, per_window long, first_window long, at long")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
@@ -199,8 +218,8 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         .withColumn("rank", F.col("before") + F.col("row"))
     )
     nth = F.col("rank") - F.col("first_rank")
-    # The plan has a few rows for each length, however many pieces there are.
-    here = F.broadcast(plan.withColumnRenamed("length", "plan_length"))
+    # The plan has a few rows for each length, however many pieces there are; its rows are counted all the same.
+    here = F.broadcast(plan) if len(runs) <= BROADCAST_ROWS else plan
     return (
         ranked.join(here, (F.col("length") == F.col("plan_length")) & (nth >= 0) & (nth < F.col("run")))
         .withColumn("sequence_id", F.expr("first_window + (rank - first_rank) div per_window"))
@@ -212,8 +231,9 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pack docs (doc_id, text; other columns are ignored) into sequences of at most `window` ids.
 
-    Null and empty texts are documents of the end id alone. Repeated rows are
-    packed each. An empty table gives an empty result. Every sequence but the
+    Null and empty texts are documents of the end id alone. Repeated rows, and rows
+    with a null doc_id, are packed each. Very long texts are encoded whole, one at a
+    time. An empty table gives an empty result. Every sequence but the
     last of its kind is full or has no room for any shorter piece that remained;
     pieces of one sequence lie one behind the other from offset 0.
     """
