@@ -44,8 +44,8 @@ LEAST_SHARE = 0.75
 
 #: Words of a block that is searched at a time.
 BLOCK_WORDS = 1024
-#: Postings that are broadcast, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Postings that are broadcast, at most, each with its template; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 POSTINGS = "word string, form int, pos int, template array<string>, key_at int, key_words int, least double, label string, base boolean"
 
 
