@@ -85,7 +85,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     carried = ends.select("part", F.last("end", ignorenulls=True).over(before).alias("carried"))
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    swept = swept.join(F.broadcast(carried), "part").withColumn("active", F.coalesce("active", "carried"))
+    # Both are dealt by range already; nothing says how large a stack is, so it isn't broadcast.
+    swept = swept.join(carried, "part").withColumn("active", F.coalesce("active", "carried"))
     holding = F.filter("active", lambda level: F.startswith(F.col("key"), level["prefix"]))
     fitting = F.filter(F.flatten(F.transform(holding, lambda level: level["rules"])), lambda r: F.startswith(F.col("path"), r["path"]))
     # Without any start before a page there is no stack at all.
