@@ -227,7 +227,9 @@ def test_keys_are_found_by_discovered_patterns(spark):
     assert sum("secret" in s for (s,) in few.values()) == 2
 
 
-def test_scoring_rounds_are_those_of_the_plain_form(spark):
+@pytest.mark.parametrize("parts", [64, 1])
+def test_scoring_rounds_are_those_of_the_plain_form(spark, monkeypatch, parts):
+    monkeypatch.setattr(pii, "PARTS", parts)
     texts = [*keyed_texts(), *(f"call {'us' if i % 3 else 'them'} +1 (017) 555-77{i} now" for i in range(10, 30)), "call us today", "call us (018) 555-7799 now", "call us 1.2.3.4 now"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scan = pii.scanned(docs)
@@ -235,7 +237,8 @@ def test_scoring_rounds_are_those_of_the_plain_form(spark):
     rows = pii.patterns_of(found).select("core", "left", "right", "kinds", pii.form(F.col("core")).alias("form"), F.explode("patterns").alias("p")).select("*", "p.*").collect()
     wrong = lambda x: {1} & {1 for y in [x] if len(y.split(".")) == 4 and y.replace(".", "").isdigit() and any(int(z) > 255 for z in y.split("."))} | ({2} if y_card(x) else set())
     y_card = lambda x: x.replace(" ", "").replace("-", "").isdigit() and 12 <= len(x.replace(" ", "").replace("-", "")) <= 19 and not brute.luhn(x.replace(" ", "").replace("-", ""))
-    named = {r["pattern"]: (("before", r["left"]), ("around", r["left"].split(" ")[-1], r["right"]), None)[r["type"]] for r in rows}
+    words = lambda left: " ".join(filter(None, (left["two"], left["one"])))
+    named = {r["pattern"]: (("before", words(r["left"])), ("around", r["left"]["one"], r["right"]), None)[r["type"]] for r in rows}
     totals = brute.context_words(texts)
     occurrences = [(r["type"], r["pattern"], r["core"], r["kinds"], wrong(r["core"])) for r in rows]
     own = {(r["kind"], r["core"]) for r in seeds.collect()}

@@ -47,15 +47,20 @@ _OPEN, _CLOSE = r"[\"'(\[{<]", r"[\"')\]}>.,;:!?#$%&*|]"
 _END = rf"{_CLOSE}*+(?![^{SPACE}])"
 _GROUP = r"\(*+[0-9][0-9()./-]*+"
 _NEXT = rf"\x20++{_GROUP}(?={_END})"
-#: Candidates by shape: words with a digit, or with a mark between letters; numbers of several words (19 digits at most, so as many words).
+#: Candidates by shape: words with a digit; numbers of several words (19 digits at most, so as many words); words without a digit.
 TOKEN, NUMBER, NAME, BASE = range(4)
 SHAPES = {
-    TOKEN: rf"(?<![^{SPACE}])(?:[^{SPACE}0-9]*+[0-9]|[^{SPACE}]*?\p{{L}}[@._%+(\[-]++\p{{L}})[^{SPACE}]*+",
+    TOKEN: rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+",
     NUMBER: rf"(?<![^{SPACE}])[\"'\[{{<]*+\+?{_GROUP}(?:{_NEXT}){{1,18}}+(?!{_NEXT})",
+    NAME: rf"(?<![^{SPACE}])(?=[^{SPACE}0-9]++(?![^{SPACE}]))[^{SPACE}]*?\p{{L}}[@._%+(\[-]++\p{{L}}[^{SPACE}]*+",
 }
+#: What texts with such words have. Marks are tried first: most characters are none, so this passes a text many times faster than the shapes do.
+_HAS_DIGIT, _HAS_NAME = "[0-9]", r"[@._%+(\[-](?<=\p{L}[@._%+(\[-])[@._%+(\[-]*+\p{L}"
 MOST_DIGITS = 19
 #: A word that looks like an identifier itself: contexts end there, and it stands in them as this mark.
 _IDENTIFIER, _ANY = "[0-9@]", "#"
+#: Characters at the end of a gap that are looked at first for the words before a match.
+CONTEXT_CHARS = 120
 #: Put around matches; a text's own are replaced by another control character, which no pattern tells from it.
 _MARK, _OTHER = "\x01", "\x02"
 #: Seeds beyond the base kinds: so many keys, those with the least hash.
@@ -65,11 +70,13 @@ CONFIDENCE = 0.8
 LEAST_SEEDS = 3
 #: More patterns than this are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: The part of the texts in which frequent contexts are told from rare ones.
+PARTS = 64
 #: Pattern types: words before; words around; word before and shape.
 BEFORE, AROUND, FORMED = range(3)
 
-_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,core:string,left:string,right:string>>"
-_CANDIDATES = "array<struct<shape:int,i:int,gap:int,token:string,left:string,right:string>>"
+_HITS = "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,core:string,left:struct<two:string,one:string>,right:string>>"
+_CANDIDATES = "array<struct<shape:int,i:int,gap:int,token:string,left:struct<two:string,one:string>,right:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -100,25 +107,37 @@ def words_in(c: Column) -> Column:
     return F.filter(F.split(c, f"[{SPACE}]+", -1), lambda w: w != "")
 
 
-def last_words(c: Column) -> Column:
-    """The words of c, at least its last two: of a long one, those of its end, unless that has too few."""
-    near = words_in(F.substring(c, -200, 200))
-    # The first of three may be cut, the last two can't be.
-    return F.when((F.length(c) > 200) & (F.size(near) >= 3), F.slice(near, -2, 2)).otherwise(words_in(c))
+def named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def around(parts: Column, i: Column) -> tuple[Column, Column]:
-    """The last two words before match i, back to the last that looks like an identifier, and the first word after it."""
+    """(left, right): the last two words before match i, back to the last that looks like an identifier, and the first word after it.
+
+    left has (two, one), null where there is none; right is empty at the end.
+    """
     part = lambda k: F.coalesce(F.get(parts, 2 * i + k), F.lit(""))
-    # A match and the gap beside it have a word at least, so two matches back are enough for two words.
-    opened = F.regexp_replace(F.get(parts, 2 * i), rf"(?<!{_OPEN}){_OPEN}++$", "")
-    words = last_words(F.lower(F.concat(part(-3), part(-2), part(-1), opened)))
-    one, two = F.get(words, F.size(words) - 1), F.get(words, F.size(words) - 2)
+    tail = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
     id_ = lambda w: F.rlike(w, F.lit(_IDENTIFIER))
-    left = F.when(one.isNull() | id_(one), "").when(two.isNull() | id_(two), one).otherwise(F.concat(two, F.lit(" "), one))
+    opened = lambda c: F.regexp_replace(c, f"{_OPEN}+$", "")
+    # A match and the gap beside it have a word at least, so two matches back are enough for two words.
+    whole = lambda: words_in(F.lower(F.concat(part(-3), part(-2), part(-1), opened(F.get(parts, 2 * i)))))
+
+    def before(near: Column) -> Column:
+        # The first of three words of the gap's end may be cut, the last two can't be; a gap with fewer is read whole.
+        return named(F.when(F.size(near) >= 3, near).otherwise(whole()), last_two)
+
+    def last_two(words: Column) -> Column:
+        one, two = F.get(words, F.size(words) - 1), F.get(words, F.size(words) - 2)
+        one_ = F.when(~id_(one), one)
+        return F.struct(F.when(one_.isNotNull() & ~id_(two), two).alias("two"), one_.alias("one"))
+
+    left = named(words_in(F.lower(opened(tail(F.get(parts, 2 * i))))), before)
     following = F.regexp_extract(part(2), rf"^{_CLOSE}*+[{SPACE}]*+([^{SPACE}]*+)", 1)
-    right = F.when(following != "", F.when(id_(following), _ANY).otherwise(F.lower(following)))
-    return left, F.coalesce(right, F.when(F.get(parts, 2 * i + 3).isNotNull(), _ANY).otherwise(""))
+    shown = lambda w: F.when(w != "", F.when(id_(w), _ANY).otherwise(F.lower(w)))
+    right = F.coalesce(named(following, shown), F.when(F.get(parts, 2 * i + 3).isNotNull(), _ANY).otherwise(""))
+    return left, right
 
 
 def each_match(text: Column, pattern: str, row: Callable[..., Column], schema: str) -> Column:
@@ -130,8 +149,7 @@ def each_match(text: Column, pattern: str, row: Callable[..., Column], schema: s
         each = F.transform(numbers, lambda i: row(F.get(x, 2 * i + 1), F.get(x, 2 * i), i, *around(x, i)))
         return F.when(F.size(x) > 1, each.cast(schema)).otherwise(F.array().cast(schema))
 
-    # The one element names what was found, else each use of it would search the text again.
-    return F.get(F.transform(F.array(parts), rows), F.lit(0))
+    return named(parts, rows)
 
 
 def base_hits(text: Column) -> Column:
@@ -146,33 +164,32 @@ def base_hits(text: Column) -> Column:
 
         return hit
 
-    found = []
-    for k, (kind, (must, pattern)) in enumerate(PATTERNS.items()):
-        has = F.rlike(text, F.lit("[0-9]"))
-        if must:
-            has = F.contains(text, F.lit(must)) & (has if kind == "ip" else F.lit(True))
-        found.append(F.when(has, each_match(text, pattern, as_hit(k, kind), _HITS)).otherwise(F.array().cast(_HITS)))
-    return F.concat(*found)
+    # Emails need no digit; texts without one are passed for all other kinds at once.
+    each = {kind: each_match(text, pattern, as_hit(k, kind), _HITS) for k, (kind, (_, pattern)) in enumerate(PATTERNS.items())}
+    none = F.array().cast(_HITS)
+    guarded = {kind: F.when(F.contains(text, F.lit(must)), each[kind]).otherwise(none) if (must := PATTERNS[kind][0]) else each[kind] for kind in each}
+    email = guarded.pop("email")
+    return F.concat(email, F.when(F.rlike(text, F.lit(_HAS_DIGIT)), F.concat(*guarded.values())).otherwise(none))
 
 
 def candidates(text: Column) -> Column:
     """Matches of each shape, with the gap before each and the words around it."""
 
     def as_candidate(shape: int) -> Callable[..., Column]:
-        def candidate(h: Column, gap: Column, i: Column, left: Column, right: Column) -> Column:
-            kind = F.when(F.rlike(h, F.lit("[0-9]")), shape).otherwise(NAME).cast("int")
-            return F.struct(kind.alias("shape"), i.cast("int").alias("i"), F.length(gap).alias("gap"), h.alias("token"), left.alias("left"), right.alias("right"))
-
-        return candidate
+        return lambda h, gap, i, left, right: F.struct(
+            F.lit(shape).alias("shape"), i.cast("int").alias("i"), F.length(gap).alias("gap"), h.alias("token"), left.alias("left"), right.alias("right")
+        )
 
-    numbers = each_match(text, SHAPES[NUMBER], as_candidate(NUMBER), _CANDIDATES)
-    numbers = F.when(F.rlike(text, F.lit("[0-9]")), numbers).otherwise(F.array().cast(_CANDIDATES))
-    return F.concat(each_match(text, SHAPES[TOKEN], as_candidate(TOKEN), _CANDIDATES), numbers)
+    tokens, numbers, names = (each_match(text, SHAPES[k], as_candidate(k), _CANDIDATES) for k in (TOKEN, NUMBER, NAME))
+    none = F.array().cast(_CANDIDATES)
+    with_digits = F.when(F.rlike(text, F.lit(_HAS_DIGIT)), F.concat(tokens, numbers)).otherwise(none)
+    return F.concat(with_digits, F.when(F.rlike(text, F.lit(_HAS_NAME)), names).otherwise(none))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its number, doc_id, base hits and candidates."""
-    read = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER).alias("text"))
+    # Not translate(), which is many times slower and would run once for each pattern.
+    read = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(_MARK), F.lit(_OTHER)).alias("text"))
     text = F.col("text")
     number = F.monotonically_increasing_id().alias("row")
     return materialize(read.select(number, "doc_id", base_hits(text).alias("hits"), candidates(text).alias("candidates")), "pii-scan")
@@ -199,7 +216,7 @@ def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
     """
     each = scan.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("x")).select("row", "x.*")
     number = F.col("shape") == NUMBER
-    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row", number])))
+    each = each.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(running(["row", "shape"])))
     opened = F.when(number, F.regexp_extract("token", r"^[\"'\[{<]*+", 0)).otherwise(F.regexp_extract("token", rf"^{_OPEN}*+", 0))
     # Greedy or by the last of the closing marks: a lazy search would pass a long token once for each of its characters.
     bare = F.regexp_replace(F.expr("substr(token, length(opened) + 1)"), rf"(?<!{_CLOSE}){_CLOSE}++$", "")
@@ -235,71 +252,93 @@ def form(core: Column) -> Column:
 
 
 def pattern_key(kind: int, *parts: Column) -> Column:
+    """A hash of the type and its parts; nulls are left out."""
     return F.xxhash64(F.lit(kind), *parts)
 
 
 def patterns_of(found: DataFrame) -> DataFrame:
     """found with `patterns`: (type, key) of up to three for each place."""
-    last = F.element_at(F.split("left", " "), -1)
     one = lambda kind, has, *parts: F.when(has, F.struct(F.lit(kind).alias("type"), pattern_key(kind, *parts).alias("pattern")))
-    has = F.col("left") != ""
+    has, last = F.col("left.one").isNotNull(), F.col("left.one")
     each = (
-        one(BEFORE, has, F.col("left")),
+        one(BEFORE, has, F.col("left.two"), last),
         one(AROUND, has & (F.col("right") != ""), last, F.col("right")),
         one(FORMED, has, last, form(F.col("core"))),
     )
     return found.withColumn("patterns", F.filter(F.array(*each), lambda x: x.isNotNull()))
 
 
-def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pattern, total): how many words of all texts stand in each wanted (pattern) context."""
-    words = words_in(F.lower(F.coalesce("text", F.lit(""))))
-    words = F.transform(words, lambda w: F.when(F.rlike(w, F.lit(_IDENTIFIER)), _ANY).otherwise(w))
+def context_places(docs: DataFrame) -> DataFrame:
+    """(pattern) of each word of the texts: the words before it, and those around it."""
+    # Words that look like identifiers are one mark; most texts have none.
+    text = F.lower(F.coalesce("text", F.lit("")))
+    marked = F.regexp_replace(text, rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+", _ANY)
+    whole = F.when(F.rlike(text, F.lit(_IDENTIFIER)), marked).otherwise(text)
+    words = F.split(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+", -1)
 
     def contexts(w: Column) -> Column:
         def at(_: Column, i: Column) -> Column:
             one, two, following = F.get(w, i - 1), F.get(w, i - 2), F.get(w, i + 1)
-            left = F.when(two.isNull() | (two == _ANY), one).otherwise(F.concat(two, F.lit(" "), one))
-            both = F.array(pattern_key(BEFORE, left), F.when(following.isNotNull(), pattern_key(AROUND, one, following)))
-            return F.when(one != _ANY, both)
+            before = F.when(two == _ANY, pattern_key(BEFORE, one)).otherwise(pattern_key(BEFORE, two, one))
+            return F.when(one != _ANY, F.array(before, F.when(following.isNotNull(), pattern_key(AROUND, one, following))))
 
         return F.transform(w, at)
 
-    each = docs.select(F.explode(F.get(F.transform(F.array(words), contexts), F.lit(0))).alias("x"))
-    each = each.select(F.explode("x").alias("pattern")).filter("pattern is not null")
+    each = docs.select(F.explode(named(words, contexts)).alias("x"))
+    return each.select(F.explode("x").alias("pattern")).filter("pattern is not null")
+
+
+def context_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, total): how many words of all texts stand in each wanted (pattern) context."""
+    each = context_places(docs)
     if wanted.count() <= BROADCAST_ROWS:
-        return each.join(F.broadcast(wanted), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+        each = each.join(F.broadcast(wanted), "pattern", "left_semi")
+        return each.groupBy("pattern").agg(F.count("*").alias("total"))
     return each.groupBy("pattern").agg(F.count("*").alias("total")).join(wanted, "pattern")
 
 
 def graph(found: DataFrame, seeds: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (kind, pattern, instance, against) and patterns (kind, type, pattern, n, plain).
+    """Edges (kind, type, pattern, instance, against) and patterns (kind, type, pattern, n, plain).
 
     found is instances(); seeds (kind, core). Only patterns of LEAST_SEEDS different
-    instances are there, as no others can come to count. Edges are distinct, so a
-    pattern before a third of all candidates costs as many rows as it has
-    different instances. plain: places of the pattern's context with no candidate.
+    instances are there, as no others can come to count, and none in whose context
+    so many plain words stand that no score of its instances could make it
+    confident. Edges are distinct, so a pattern before a third of all candidates
+    costs as many rows as it has different instances.
     """
     placed = patterns_of(found).select(F.explode("patterns").alias("p"), "core", "kinds").select("p.*", "core", F.xxhash64("core").alias("instance"), "kinds")
     places = placed.groupBy("type", "pattern").agg(F.count("*").alias("places"))
     distinct = placed.groupBy("type", "pattern", "instance").agg(F.min("core").alias("core"), F.first("kinds").alias("kinds"))
     each = distinct.select("type", "pattern", "instance", "core", F.explode("kinds").alias("kind"))
+    of_pattern = each.groupBy("type", "kind", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
+    of_pattern = materialize(of_pattern.join(places, ["type", "pattern"]), "pii-supported")
+    of_pattern = materialize(with_plain(of_pattern, docs), "pii-plain")
+
     own = seeds.select(F.xxhash64("core").alias("instance"), F.col("kind").alias("seed_kind")).distinct()
     known = own.groupBy("instance").agg(F.collect_set("seed_kind").alias("seed_kinds"))
-    of_pattern = each.groupBy("type", "kind", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
-    of_pattern = materialize(of_pattern, "pii-supported")
     each = each.join(of_pattern.select("kind", "pattern"), ["kind", "pattern"]).join(known, "instance", "left")
     failing = F.lit(False)
     for kind, looks in (("ip", r"^[0-9]+(?:\.[0-9]+){3}$"), ("card", r"^[0-9](?:[\x20-]?[0-9]){11,18}$")):
         failing = failing | ((F.col("kind") == KINDS.index(kind)) & F.rlike("core", F.lit(looks)) & ~valid(kind, F.col("core")))
     other = F.size("seed_kinds") > 0
     against = F.coalesce(other & ~F.array_contains("seed_kinds", F.col("kind")), F.lit(False)) | failing
-    edges = materialize(each.select("kind", "type", "pattern", "instance", against.alias("against")), "pii-edges")
-    wanted = of_pattern.filter(F.col("type") != FORMED).select("pattern").distinct()
-    totals = context_totals(docs, wanted)
-    plain = F.when(F.col("type") == FORMED, 0).otherwise(F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0)))
-    of_pattern = of_pattern.join(places, ["type", "pattern"]).join(totals, "pattern", "left").select("kind", "type", "pattern", "n", plain.alias("plain"))
-    return edges, materialize(of_pattern, "pii-plain")
+    return materialize(each.select("kind", "type", "pattern", "instance", against.alias("against")), "pii-edges"), of_pattern
+
+
+def with_plain(of_pattern: DataFrame, docs: DataFrame) -> DataFrame:
+    """of_pattern with `plain`, the places of its context with no candidate, without those that have too many for any score.
+
+    A part of the texts shows that for frequent contexts, as their words there are
+    some of those in all; the others are counted in all texts, which takes few rows.
+    """
+    least = F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0))
+    hopeful = (F.col("type") == FORMED) | (F.col("n") / (F.col("n") + F.col("plain") + 1) >= CONFIDENCE)
+    for part in (docs.filter(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0), docs):
+        wanted = materialize(of_pattern.filter(F.col("type") != FORMED).select("pattern").distinct(), "pii-wanted")
+        counted = of_pattern.drop("plain").join(context_totals(part, wanted), "pattern", "left")
+        counted = counted.withColumn("plain", F.when(F.col("type") == FORMED, 0).otherwise(least)).drop("total")
+        of_pattern = materialize(counted.filter(hopeful), "pii-hopeful")
+    return of_pattern
 
 
 def confident_patterns(edges: DataFrame, of_pattern: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -327,8 +366,7 @@ def learnt(docs: DataFrame, scan: DataFrame, seed_keys: int) -> tuple[DataFrame,
     # At most seed_keys rows.
     keys = base.filter(F.col("kind") == SECRET).select("kind", "core").distinct().orderBy(F.xxhash64("core"), "core").limit(seed_keys)
     seeds = materialize(base.filter(F.col("kind") < SECRET).select("kind", "core").distinct().unionByName(keys), "pii-all-seeds")
-    edges, of_pattern = graph(found, seeds, docs)
-    return base, found, seeds, confident_patterns(edges, of_pattern, seeds)
+    return base, found, seeds, confident_patterns(*graph(found, seeds, docs), seeds)
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
