@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Used only where a local session names no shared folder, as in tests.
-FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
+from ..sources.shared import new_path
+
 #: ASCII white space, the separators of a word in most operators.
 SPACE = r"\x20\x09-\x0D"
 #: Rows of whole texts that Python works on at a time.
@@ -26,20 +23,8 @@ MARKS = 1 << 25
 ARROW_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    A cluster must name one: a folder of one machine would be lost with it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (named or FALLBACK_DIR).rstrip("/")
-
-
 #: Tables written by this process that release() has not deleted.
 _written: list[str] = []
-_held: list[DataFrame] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,39 +34,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     compressed, and a lost executor takes none of them with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, f"tables/{label}")
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, computed and kept on the executors' disks; what a lost executor held is computed again.
-
-    For tables in the middle of one operator, whose lineage goes back only to a
-    written table: unlike materialize() it makes no files in the shared folder.
-    """
-    _held.append(df.persist(StorageLevel.DISK_ONLY))
-    df.count()
-    return df
-
-
-def so_far() -> tuple[int, int]:
-    """How many tables materialize() and held() keep; for release(since=...)."""
-    return len(_written), len(_held)
+def so_far() -> int:
+    """How many tables materialize() keeps; for release(since=...)."""
+    return len(_written)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None, since: tuple[int, int] = (0, 0)) -> None:
-    """Delete all that materialize() and held() keep, but for what `keep` reads and what was there at `since`.
+def release(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete all that materialize() keeps, but for what `keep` reads and what was there at `since`.
 
     Only once no other result that reads those tables is needed.
     """
-    for df in _held[since[1] :]:
-        df.unpersist()
-    del _held[since[1] :]
     read = keep.inputFiles() if keep is not None else []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in _written[since[0] :]:
+    for p in _written[since:]:
         if not any(p.split("://")[-1] in f for f in read):
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)

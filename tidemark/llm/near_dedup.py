@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, bounded_batches, held, map_batches, marks, materialize, split_marked, texts_as_bytes
+from .common import TEXT_BATCH, bounded_batches, map_batches, marks, materialize, split_marked, texts_as_bytes
 from .components import components
 
 SHINGLE = 5
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     # A frequent pivot's text is copied, so that its pairs are dealt to as many tasks.
-    pairs = held(pairs.select("a", "b"))
+    pairs = materialize(pairs.select("a", "b"), "near-pairs")
     least_hot = max(PIVOT_PAIRS, -(-pairs.count() // HOT_PIVOTS))
     hot = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > least_hot)
     hot = F.broadcast(hot.select("b", F.ceil(F.col("n") / PIVOT_PAIRS).cast("int").alias("copies")))
@@ -262,7 +262,7 @@ def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.band", "x.key")
     pivot = F.min_by("node", F.xxhash64("node", "key")).alias("pivot")
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1")
-    members = held(bands.join(buckets, "key"))
+    members = materialize(bands.join(buckets, "key"), "near-members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     # Most documents share no bucket: their texts are left out before the shuffle.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -275,18 +275,18 @@ def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     possible = lambda pairs: likely(pairs.join(a, "a").join(b, "b").filter(sizes_allow("n_a", "n_b")))
     surest = F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = held(verified(possible(stars).groupBy("a").agg(surest), texts))
+    found = materialize(verified(possible(stars).groupBy("a").agg(surest), texts), "near-links")
 
     def rooted() -> tuple[DataFrame, DataFrame]:
         """(key, band, node, m, root) of the members, and (node, root) of those that are joined to others."""
         root = components(found)
         each = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
-        return held(each), root
+        return materialize(each, "near-rooted"), root
 
     rows, root = rooted()
     before = None
     for turn in range(1, 1 + TURNS):
-        large = held(rows.filter(F.col("m") > DENSE).join(open_keys(rows), "key"))
+        large = materialize(rows.filter(F.col("m") > DENSE).join(open_keys(rows), "key"), "near-large")
         n = large.count()
         if not n or (before is not None and n > (1 - JOINED) * before):
             break
@@ -295,10 +295,10 @@ def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
         pairs = large.join(large.groupBy("key").agg(drawn), "key").filter("root <> p.root")
         pairs = pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
         of_root = possible(pairs).join(root.toDF("b", "b_root"), "b", "left").groupBy("a", F.coalesce("b_root", "b").alias("to"))
-        more = held(verified(of_root.agg(surest), texts))
+        more = materialize(verified(of_root.agg(surest), texts), "near-links")
         if more.isEmpty():
             break
-        found = held(found.unionByName(more))
+        found = found.unionByName(more)
         rows, root = rooted()
 
     columns = ["key", "i", "j", "own", "band", "node", "n_shingles", "root", "sig", "text"]
@@ -308,7 +308,7 @@ def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     sparse = open_rows.filter(F.col("m") <= DENSE).withColumns(zero | {"text": F.lit(None).cast("string")})
     rest = verified(in_blocks(dealt(sparse)), texts)
     # Texts are joined once a member; only then is a member dealt to the blocks that it meets.
-    dense = held(open_rows.filter(F.col("m") > DENSE))
+    dense = materialize(open_rows.filter(F.col("m") > DENSE), "near-dense")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
     dense = (
         dense.join(dense.groupBy("key").agg(parts), "key")
@@ -333,11 +333,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs), "near-signatures")
     # Equal sets have equal signatures, so any of them will do.
     of_class = [F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")]
-    classes = held(signed.filter("digest is not null").groupBy("digest").agg(*of_class))
+    classes = materialize(signed.filter("digest is not null").groupBy("digest").agg(*of_class), "near-classes")
     nodes = classes.filter("node is not null").select("node", "n_shingles", "sig")
     # A doc_id that stands on several rows ties their classes together.
     several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    several = held(several)
+    several = materialize(several, "near-several")
     found = links(nodes, docs, not several.isEmpty())
     named = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
     own = named.join(several, "doc_id").join(classes.select("digest", "node"), "digest")
