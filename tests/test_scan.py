@@ -177,3 +177,19 @@ def test_each_rule_is_found_once_a_text_as_python_finds_it(spark, texts):
     found = sorted((r["i"], r["rule_id"]) for r in rules.match_rules(df, "text", rules.rule_list(["ab."]), ["i"]).collect())
     patterns = {"home": fixed.HOME_RULE[1], "account": r"(?i)ab\.", "key": fixed.KEY_RULE[1]}
     assert found == sorted((i, k) for i, t in enumerate(texts) for k, p in patterns.items() if re.search(p, t))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.sources import shared
+
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared.shared_dir(session("local[4]")) == shared.FALLBACK_DIR
+    assert shared.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared.shared_dir(session(master))
