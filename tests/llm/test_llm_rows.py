@@ -362,6 +362,21 @@ def test_written_tables_can_be_released(spark):
     assert not any(map(os.path.exists, paths)) and not common._written
 
 
+def test_tables_that_are_read_or_older_stay(spark):
+    from tidemark.llm import common
+
+    older = common.materialize(spark.range(2), "test")
+    since = common.so_far()
+    middle = common.materialize(spark.range(3), "test")
+    last = common.materialize(middle.filter("id > 0"), "test")
+    common.release(spark, keep=last, since=since)
+    assert older.count() == 2 and last.count() == 2 and common.so_far() == since + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|file_not_exist"):
+        middle.count()
+    common.release(spark, since=since)
+    assert common.so_far() == since
+
+
 def test_marks_miss_no_id(spark, monkeypatch):
     from tidemark.llm import common
 
