@@ -196,7 +196,7 @@ def pairwise_scores(x, good, pairs, seed, penalty, threshold):
     for _ in range(20_000):
         slope = penalty * w - diff.T @ (1 / (1 + np.exp(diff @ w))) / pairs
         w = w - step * slope
-        if np.abs(slope).max() < 1e-6:
+        if np.abs(slope).max() < 1e-5:
             break
     s = z @ w
     cut = np.quantile(s, (~good).mean(), method="midpoint")
