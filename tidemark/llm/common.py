@@ -19,6 +19,8 @@ SPACE = r"\x20\x09-\x0D"
 TEXT_BATCH = 256
 #: Bits of a bitmap of marked ids.
 MARKS = 1 << 25
+#: Narrow rows in one file of a table whose size is known.
+FILE_ROWS = 200_000
 #: Rows in one Arrow batch between the JVM and Python, at most.
 ARROW_ROWS = 512
 
@@ -27,16 +29,20 @@ ARROW_ROWS = 512
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     This cuts the lineage like a checkpoint, but the files are columnar and
-    compressed, and a lost executor takes none of them with it.
+    compressed, and a lost executor takes none of them with it. rows, where it is
+    known how many there can be, keeps small tables to few files.
     """
     spark = df.sparkSession
     path = new_path(spark, f"tables/{label}")
     _written.append(path)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    # Nobody else looks for the mark of a finished job.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,17 +59,18 @@ def components(edges: DataFrame) -> DataFrame:
     of loops alone don't appear.
     """
     edges = materialize(local_stars(edges.filter("a is not null and b is not null and a <> b")), "components-edges")
-    labels = None
-    while not edges.isEmpty():
+    labels, n, nodes = None, edges.count(), 0
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).toDF("node", "to"), "components-moves")
+        moved = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).toDF("node", "to"), "components-moves", 2 * n)
         if labels is None:
-            labels = moved.toDF("node", "root")
+            labels, nodes = moved.toDF("node", "root"), 2 * n
         else:
             step = moved.toDF("root", "to")
             labels = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = materialize(labels, "components-labels")
+            labels = materialize(labels, "components-labels", nodes)
         a, b = moved.toDF("a", "a2"), moved.toDF("b", "b2")
         nearer = edges.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        edges = materialize(nearer.filter("a <> b").distinct(), "components-edges")
+        edges = materialize(nearer.filter("a <> b").distinct(), "components-edges", n)
+        n = edges.count()
     return edges.toDF("node", "root") if labels is None else labels

@@ -276,17 +276,18 @@ def links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     surest = F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     found = materialize(verified(possible(stars).groupBy("a").agg(surest), texts), "near-links")
+    n_members = members.count()
 
     def rooted() -> tuple[DataFrame, DataFrame]:
         """(key, band, node, m, root) of the members, and (node, root) of those that are joined to others."""
         root = components(found)
         each = members.join(root, "node", "left").select("key", "band", "node", "m", F.coalesce("root", "node").alias("root"))
-        return materialize(each, "near-rooted"), root
+        return materialize(each, "near-rooted", n_members), root
 
     rows, root = rooted()
     before = None
     for turn in range(1, 1 + TURNS):
-        large = materialize(rows.filter(F.col("m") > DENSE).join(open_keys(rows), "key"), "near-large")
+        large = materialize(rows.filter(F.col("m") > DENSE).join(open_keys(rows), "key"), "near-large", n_members)
         n = large.count()
         if not n or (before is not None and n > (1 - JOINED) * before):
             break
