@@ -75,12 +75,13 @@ def isolated(reader: Reader, calls: list[tuple], seconds: float | None = SECONDS
     return out
 
 
-def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str, ...], seconds: float | None = SECONDS, retries: int = 1) -> DataFrame:
+def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str, ...], seconds: float | None = SECONDS, retries: int = 1, tasks: int | None = None) -> DataFrame:
     """Evidence for each item (item_id, content, column_key) and element.
 
     Items must be blind. An item whose column_key is null isn't read. Without a reader
     (degraded mode) nothing is executed, so verdicts go to review. What fails is
-    tried again, alone, `retries` times.
+    tried again, alone, `retries` times. With `tasks` the items are dealt to so many
+    tasks first, for readers that take longer than moving an item does.
     """
     assert_blind(items)
 
@@ -106,7 +107,8 @@ def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str,
                     rows.append((item, element, reader is not None and error is None, isinstance(key, str), found, readable, value, f"reader:{element}", error))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READINGS.split(", ")])
 
-    return items.select("item_id", "content", "column_key").mapInPandas(run, READINGS)
+    asked = items.select("item_id", "content", "column_key")
+    return (asked if tasks is None else asked.repartition(tasks)).mapInPandas(run, READINGS)
 
 
 def decompose(items: DataFrame, splitter: Callable[[bytes], list[tuple]]) -> DataFrame:

@@ -58,6 +58,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.blind(known.withColumn("column_key", F.col("column_key").cast("string")), ["item_id", "content", "column_key"])
 
 
+def _tasks(spark: SparkSession) -> int:
+    """A process is started for each item, so a table in one file is spread over all cores."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(F.col("page_id").alias("item_id"), F.expr(_TARGET).alias("subject"))
 
@@ -67,12 +72,12 @@ def _flat(verdicts: DataFrame) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = readers.read_elements(_items(spark, sf_dir), page_reader, fixed.ELEMENTS)
+    evidence = readers.read_elements(_items(spark, sf_dir), page_reader, fixed.ELEMENTS, tasks=_tasks(spark))
     return _flat(verdict.check_domain(verdict.judge(evidence, _targets(spark, sf_dir))))
 
 
 def reader_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = readers.read_elements(_items(spark, sf_dir), page_reader, ("subject",), retries=1)
+    evidence = readers.read_elements(_items(spark, sf_dir), page_reader, ("subject",), retries=1, tasks=_tasks(spark))
     return evidence.filter("error is not null").select("item_id", "error")
 
 
