@@ -201,3 +201,22 @@ def pairwise_scores(x, good, pairs, seed, penalty, threshold):
     s = z @ w
     cut = np.quantile(s, (~good).mean(), method="midpoint")
     return 1 / (1 + np.exp(-(2 * (s - cut) / s.std() + np.log(threshold / (1 - threshold)))))
+
+
+def all_pairs_scores(x, good, bad, penalty, threshold):
+    """Bradley-Terry strengths by Newton's method on every pair of a good row and a bad one, as scores; row i stands for good[i] + bad[i] rows."""
+    import numpy as np
+
+    rows = np.repeat(x, good + bad, axis=0)
+    scale = np.where(rows.std(axis=0) > 1e-9, rows.std(axis=0), 1.0)
+    z = np.clip((x - rows.mean(axis=0)) / scale, -5, 5)
+    pairs = [(i, j) for i in np.flatnonzero(good) for j in np.flatnonzero(bad)]
+    diff = np.array([z[i] - z[j] for i, j in pairs])
+    share = np.array([good[i] * bad[j] for i, j in pairs]) / (good.sum() * bad.sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(diff @ w))
+        w = w - np.linalg.solve((diff.T * (share * p * (1 - p))) @ diff + penalty * np.eye(len(w)), penalty * w - diff.T @ (share * p))
+    s = np.repeat(z @ w, good + bad)
+    cut = np.quantile(s, bad.sum() / len(s), method="midpoint")
+    return 1 / (1 + np.exp(-(2 * (z @ w - cut) / s.std() + np.log(threshold / (1 - threshold)))))

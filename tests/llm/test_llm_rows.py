@@ -344,6 +344,37 @@ def test_scores_are_those_of_plain_gradient_descent(spark, corpus, documents):
     assert max(abs(got[i] - s) for (_, _, i), s in zip(rows, want, strict=True)) < 0.02
 
 
+def test_all_pairs_of_labels_teach(spark, corpus, documents, monkeypatch):
+    from tidemark.llm import quality_classifier as q
+
+    labels = {i: int(i % 3 > 0) for i, _ in corpus}
+    monkeypatch.setattr(q, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(q, "BINS", 4, raising=False)
+    df = quality_scores(documents, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), lambda d: F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in df.collect()}
+    x, good = np.array([features((t or "").encode()) for _, t in corpus]), np.array([labels[i] for i, _ in corpus])
+    want = brute.all_pairs_scores(x, good, 1 - good, q.PENALTY, q.THRESHOLD)
+    assert max(abs(got[i] - s) for (i, _), s in zip(corpus, want, strict=True)) < 1e-5
+
+
+def test_all_of_many_labels_teach(spark, corpus):
+    from tidemark.llm import quality_classifier as q
+
+    texts = [t or "" for _, t in corpus if len(t or "") < 1000]
+    x = np.array([features(t.encode()) for t in texts])
+    draw = random.Random(5)
+    taught = [(i, draw.randrange(len(texts))) for i in range(25_000)]
+    quality = [int(draw.random() < 0.2 + 0.6 * k / len(texts)) for _, k in taught]
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in taught], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for (i, _), y in zip(taught, quality, strict=True)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels, lambda d: F.lit(True)).collect()}
+    good, bad = np.zeros(len(texts), int), np.zeros(len(texts), int)
+    for (_, k), y in zip(taught, quality, strict=True):
+        (good if y else bad)[k] += 1
+    want = brute.all_pairs_scores(x, good, bad, q.PENALTY, q.THRESHOLD)
+    assert len(got) == len(taught) and max(abs(got[i] - want[k]) for i, k in taught) < 1e-5
+
+
 @pytest.mark.parametrize("text", [b"", b" \n", b"a", "é".encode() * 9, b"x" * 100_000, b"\n".join([b"same"] * 50), bytes(range(1, 128))])
 def test_features_are_finite(text):
     assert np.isfinite(features(text)).all()
