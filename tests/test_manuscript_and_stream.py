@@ -1,10 +1,12 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.rules import Rule
-from tidemark.sources import manuscript
+from tidemark.sources import manuscript, tree
 from tidemark.streaming import scan_stream
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -28,6 +30,38 @@ def test_items_and_mapping(spark):
     assert [tuple(r) for r in manuscript.map_items(items, r"^Subject: (.*) @ (\S+)$").collect()] == [("a.docx", 0, "Acme", "site1")]
 
 
+class Captured:
+    """Stands for a DataFrame, to run what an operator gives its tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *names):
+        return self
+
+    def mapInPandas(self, f, schema):
+        return f
+
+
+def test_many_manuscripts_share_a_frame(spark):
+    """A frame for each of them took ten times as long as reading them."""
+    run = manuscript.manuscript_items(Captured(spark))
+    files = pd.DataFrame({"rel": [f"m{i}" for i in range(3000)], "content": [docx("a", "b")] * 2999 + [b"not a zip"]})
+    frames = list(run([files, files.iloc[:0]]))
+    assert 5 <= len(frames) <= 7
+    got = pd.concat(frames)
+    assert len(got) == 2 * 2999 + 1 and got["rel"].nunique() == 3000 and list(got["text"][:2]) == ["a", "b"]
+    assert [(r, e) for r, e in zip(got["rel"], got["error"], strict=True) if e] == [("m2999", "BadZipFile")]
+
+
+def test_files_of_one_directory_are_read_by_many_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"m{i}.docx").write_bytes(b"%d" % i)
+    read = tree.read_contents(tree.list_tree(spark, str(tmp_path)), str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["rel"]: r["content"] for r in read} == {f"m{i}.docx": b"%d" % i for i in range(200)}
+    assert len({r["task"] for r in read}) >= spark.sparkContext.defaultParallelism
+
+
 def test_export_is_a_clean_copy(tmp_path):
     source = docx("Result: [[r1]] [[todo]]")
     path = str(tmp_path / "out" / "copy.docx")

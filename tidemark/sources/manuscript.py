@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Paragraphs in one frame of a task, about.
+ROWS = 1000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _COMMENT_PARTS = re.compile(r"^word/comments[^/]*\.xml$|^word/people\.xml$")
 _COMMENT_TAGS = re.compile(rb"<w:(commentRangeStart|commentRangeEnd|commentReference)\b[^>]*/>")
@@ -46,14 +48,15 @@ def composed(lines: list[str]) -> bytes:
     return out.getvalue()
 
 
-def compose(files: DataFrame) -> DataFrame:
-    """(rel, content) of manuscripts with the given lines, for files (rel, lines)."""
+def compose(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(rel, content) of manuscripts with the given lines, for files (rel, lines); with `tasks` the files are dealt to so many tasks first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"rel": pdf["rel"], "content": [composed(list(x)) for x in pdf["lines"]]})
 
-    return files.select("rel", "lines").mapInPandas(run, "rel string, content binary")
+    asked = files.select("rel", "lines")
+    return (asked if tasks is None else asked.repartition(tasks)).mapInPandas(run, "rel string, content binary")
 
 
 def manuscript_items(files: DataFrame) -> DataFrame:
@@ -63,14 +66,22 @@ def manuscript_items(files: DataFrame) -> DataFrame:
     row with an error and no text, so it is not lost and stops no other.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["rel", "item_id", "text", "error"]).astype({"item_id": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows: list[tuple] = []
             for rel, content in zip(pdf["rel"], pdf["content"], strict=True):
                 try:
-                    rows = [(rel, i, t, None) for i, t in enumerate(x for x in paragraphs(content) if x.strip())]
+                    rows += [(rel, i, t, None) for i, t in enumerate(x for x in paragraphs(content) if x.strip())]
                 except Exception as e:
-                    rows = [(rel, None, None, type(e).__name__)]
-                yield pd.DataFrame(rows, columns=["rel", "item_id", "text", "error"]).astype({"item_id": "Int64"})
+                    rows.append((rel, None, None, type(e).__name__))
+                if len(rows) >= ROWS:  # making a frame takes longer than reading a manuscript
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     return files.select("rel", "content").mapInPandas(run, "rel string, item_id long, text string, error string")
 

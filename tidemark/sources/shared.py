@@ -22,3 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else has."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy, however few files or directories the rows come from."""
+    return 2 * spark.sparkContext.defaultParallelism

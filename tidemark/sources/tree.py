@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .shared import tasks_of
+
 #: Directories that the driver opens, about, and names of directories that it holds, at most.
 DRIVER_DIRS = 256
 MOST_DIRS = 100_000
@@ -109,7 +111,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """files (rel, ...) with content added; null where a file can't be read."""
+    """files (rel, ...) with content added; null where a file can't be read.
+
+    A directory is listed by one task, however many files it has, so files are dealt to tasks by their paths first.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,7 +122,8 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                 part = pdf.iloc[at : at + 64]
                 yield part.assign(content=[_content(root, rel) for rel in part["rel"]])
 
-    return files.mapInPandas(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+    dealt = files.repartition(tasks_of(files.sparkSession), "rel")
+    return dealt.mapInPandas(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
 
 def _content(root: str, rel: str) -> bytes | None:
