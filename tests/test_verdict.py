@@ -183,6 +183,61 @@ def test_a_killed_process_costs_one_element(spark):
     assert plain == [(None, "RuntimeError"), ((True, True, "acme"), None)]
 
 
+def by_process(content, column_key, element):
+    """The process's number as value; a failure spoils its process for all that come after."""
+    import os
+
+    if content == b"die":
+        os._exit(1)
+    if content == b"boom":
+        os.environ["SPOILED"] = "1"
+        raise ValueError
+    if "SPOILED" in os.environ:
+        raise KeyError
+    return True, True, str(os.getpid())
+
+
+def readings(spark, contents, **more):
+    items = spark.createDataFrame([(i, c, "k") for i, c in enumerate(contents)], "item_id long, content binary, column_key string").coalesce(1)
+    return readers.read_elements(items, by_process, ("subject",), **more).collect()
+
+
+def test_items_that_go_well_share_a_process(spark):
+    """Starting one takes most of the time of a reading."""
+    got = readings(spark, [b"ok"] * 300)
+    assert len(got) == 300 and all(r["executed"] for r in got)
+    assert len({r["value"] for r in got}) <= 300 // readers.ITEMS + 5
+
+
+@pytest.mark.parametrize("retries", [0, 1])
+def test_a_failure_ends_its_process(spark, retries):
+    contents = [b"die" if i % 10 == 3 else b"boom" if i % 10 == 7 else b"ok" for i in range(60)]
+    got = {r["item_id"]: r["error"] for r in readings(spark, contents, retries=retries)}
+    assert got == {i: {b"die": "died", b"boom": "ValueError", b"ok": None}[c] for i, c in enumerate(contents)}
+
+
+def spoiling(content, column_key, element):
+    """Answers, but spoils the process for the next item."""
+    import os
+
+    if content == b"after" and "SPOILED" in os.environ:
+        raise KeyError
+    os.environ["SPOILED"] = "1"
+    return True, True, None
+
+
+def test_what_fails_in_a_shared_process_is_read_alone(spark):
+    items = spark.createDataFrame([(0, b"before", "k"), (1, b"after", "k")], "item_id long, content binary, column_key string").coalesce(1)
+    assert [r["error"] for r in readers.read_elements(items, spoiling, ("subject",), retries=0).collect()] == [None, None]
+
+
+def test_calls_after_a_time_out_or_a_death_get_answers():
+    calls = lambda c: [(c, "k", "subject"), (b"blank", "k", "time")]
+    found = readers.isolated_items(fake, [calls(b"acme"), [], calls(b"hang"), calls(b"boom"), calls(b"acme")], seconds=1)
+    fine, blank = (((True, True, "acme"), None), ((False, True, None), None))
+    assert found == [([fine, blank], False), ([], True), ([(None, "timeout"), blank], True), ([(None, "RuntimeError"), blank], False), ([fine, blank], False)]
+
+
 def test_without_a_reader_all_goes_to_review(spark):
     items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
     targets = spark.createDataFrame([(1, "acme")], "item_id long, subject string")

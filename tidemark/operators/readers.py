@@ -23,6 +23,8 @@ READINGS = "item_id long, element string, executed boolean, column_resolved bool
 
 #: Time that a reader has for one element, unless told otherwise.
 SECONDS = 60.0
+#: Items that share a process, at most.
+ITEMS = 64
 
 
 class Reader(Protocol):
@@ -32,12 +34,17 @@ class Reader(Protocol):
         """(region found, readable, value)"""
 
 
-def _child(reader: Reader, calls: list[tuple], out) -> None:
-    for args in calls:
-        try:
-            out.send((reader(*args), None))
-        except BaseException as e:
-            out.send((None, type(e).__name__))
+def _child(reader: Reader, items: list[list[tuple]], out) -> None:
+    for calls in items:
+        fine = True
+        for args in calls:
+            try:
+                out.send((reader(*args), None))
+            except BaseException as e:
+                fine = False
+                out.send((None, type(e).__name__))
+        if not fine:
+            return
 
 
 def isolated(reader: Reader, calls: list[tuple], seconds: float | None = SECONDS) -> list[tuple[tuple | None, str | None]]:
@@ -47,32 +54,55 @@ def isolated(reader: Reader, calls: list[tuple], seconds: float | None = SECONDS
     `timeout` and one that kills the process is `died`; the calls after it get a new
     process. Without a limit the reader runs in the task itself.
     """
-    out: list[tuple[tuple | None, str | None]] = []
+    return isolated_items(reader, [calls], seconds)[0][0]
+
+
+def isolated_items(reader: Reader, items: list[list[tuple]], seconds: float | None = SECONDS) -> list[tuple[list[tuple[tuple | None, str | None]], bool]]:
+    """For each item, given as its calls, what isolated() gives, and whether items before it had used its process.
+
+    Starting a process takes far longer than most readings, so items share one as long
+    as they go well: one with a failure is the last of its process.
+    """
+    answers: list[list[tuple[tuple | None, str | None]]] = [[] for _ in items]
+    shared = [False] * len(items)
     if seconds is None:
-        for args in calls:
-            try:
-                out.append((reader(*args), None))
-            except Exception as e:
-                out.append((None, type(e).__name__))
-        return out
-    while len(out) < len(calls):
+        for out, calls in zip(answers, items, strict=True):
+            for args in calls:
+                try:
+                    out.append((reader(*args), None))
+                except Exception as e:
+                    out.append((None, type(e).__name__))
+        return list(zip(answers, shared, strict=True))
+    at = 0
+    while at < len(items):
+        out = answers[at]
+        if len(out) == len(items[at]):
+            at += 1
+            continue
+        # What is left of an item after a time-out or a death has a process of its own.
+        left = [items[at][len(out) :]] if out else items[at:]
         here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
-        p = multiprocessing.get_context("fork").Process(target=_child, args=(reader, calls[len(out) :], there), daemon=True)
+        p = multiprocessing.get_context("fork").Process(target=_child, args=(reader, left, there), daemon=True)
         p.start()
         there.close()
         try:
-            while len(out) < len(calls):
-                if not here.poll(seconds):
-                    out.append((None, "timeout"))
+            for k in range(len(left)):
+                out, shared[at] = answers[at], shared[at] or k > 0
+                while len(out) < len(items[at]):
+                    if not here.poll(seconds):
+                        out.append((None, "timeout"))
+                        break
+                    out.append(here.recv())
+                if any(error is not None for _, error in out):
                     break
-                out.append(here.recv())
+                at += 1
         except EOFError:
             out.append((None, "died"))
         finally:
             p.kill()
             p.join()
             here.close()
-    return out
+    return list(zip(answers, shared, strict=True))
 
 
 def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str, ...], seconds: float | None = SECONDS, retries: int = 1, tasks: int | None = None) -> DataFrame:
@@ -80,31 +110,39 @@ def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str,
 
     Items must be blind. An item whose column_key is null isn't read. Without a reader
     (degraded mode) nothing is executed, so verdicts go to review. What fails is
-    tried again, alone, `retries` times. With `tasks` the items are dealt to so many
+    tried again, alone in a new process, `retries` times, and once at least if the
+    item's process had read others before. With `tasks` the items are dealt to so many
     tasks first, for readers that take longer than moving an item does.
     """
     assert_blind(items)
 
-    def answers(content: bytes, key: str | None) -> dict[str, tuple[tuple | None, str | None]]:
-        if reader is None:
-            return dict.fromkeys(elements, (None, "no reader"))
-        if not isinstance(key, str):
-            return dict.fromkeys(elements, (None, None))
-        found = dict(zip(elements, isolated(reader, [(content, key, e) for e in elements], seconds), strict=True))
-        for _ in range(retries):
-            if not (failed := [e for e in elements if found[e][1] is not None]):
+    def answers(content: bytes, key: str, first: list[tuple], shared: bool) -> list[tuple[tuple | None, str | None]]:
+        found = list(first)
+        for _ in range(max(retries, int(shared))):
+            if not (failed := [i for i, (_, error) in enumerate(found) if error is not None]):
                 break
-            for e in failed:
-                found[e] = isolated(reader, [(content, key, e)], seconds)[0]
+            for i in failed:
+                found[i] = isolated(reader, [(content, key, elements[i])], seconds)[0]
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, content, key in zip(pdf["item_id"], pdf["content"], pdf["column_key"], strict=True):
-                for element, (answer, error) in answers(content, key).items():
-                    found, readable, value = answer or (None, None, None)
-                    rows.append((item, element, reader is not None and error is None, isinstance(key, str), found, readable, value, f"reader:{element}", error))
+            for at in range(0, len(pdf), ITEMS):
+                part = pdf.iloc[at : at + ITEMS]
+                asked = list(zip(part["item_id"], part["content"], part["column_key"], strict=True))
+                known = [(c, k) for _, c, k in asked if isinstance(k, str)] if reader is not None else []
+                read = iter(isolated_items(reader, [[(c, k, e) for e in elements] for c, k in known], seconds))
+                for item, content, key in asked:
+                    if reader is None:
+                        found = [(None, "no reader")] * len(elements)
+                    elif not isinstance(key, str):
+                        found = [(None, None)] * len(elements)
+                    else:
+                        found = answers(content, key, *next(read))
+                    for element, (answer, error) in zip(elements, found, strict=True):
+                        located, readable, value = answer or (None, None, None)
+                        rows.append((item, element, reader is not None and error is None, isinstance(key, str), located, readable, value, f"reader:{element}", error))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READINGS.split(", ")])
 
     asked = items.select("item_id", "content", "column_key")
