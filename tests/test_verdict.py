@@ -1,4 +1,5 @@
 import itertools
+import multiprocessing
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,24 @@ def test_calls_after_a_time_out_or_a_death_get_answers():
     assert found == [([fine, blank], False), ([], True), ([(None, "timeout"), blank], True), ([(None, "RuntimeError"), blank], False), ([fine, blank], False)]
 
 
+def test_a_failing_item_costs_one_more_process(monkeypatch):
+    started = []
+
+    class Counted:
+        def __init__(self, context):
+            self.Pipe, self.of = context.Pipe, context.Process
+
+        def Process(self, **more):
+            started.append(more)
+            return self.of(**more)
+
+    fork = multiprocessing.get_context("fork")
+    monkeypatch.setattr(readers.multiprocessing, "get_context", lambda kind: Counted(fork))
+    found = readers.isolated_items(fake, [[(b"boom" if i % 10 == 3 else b"acme", "k", "subject")] for i in range(64)])
+    assert [i for i, ((_, error),) in ((i, x) for i, (x, _) in enumerate(found)) if error] == list(range(3, 64, 10))
+    assert len(started) == 7
+
+
 def test_without_a_reader_all_goes_to_review(spark):
     items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
     targets = spark.createDataFrame([(1, "acme")], "item_id long, subject string")
