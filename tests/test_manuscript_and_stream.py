@@ -54,6 +54,19 @@ def test_many_manuscripts_share_a_frame(spark):
     assert [(r, e) for r, e in zip(got["rel"], got["error"], strict=True) if e] == [("m2999", "BadZipFile")]
 
 
+def test_batches_of_manuscripts_are_bounded(spark):
+    """A batch of 10,000 contents grew with the input, in both processes of each task."""
+    files = spark.range(6000, numPartitions=1).select(F.col("id").cast("string").alias("rel"), F.array(F.lit("a")).alias("lines"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    made = manuscript.compose(files)
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    assert made.mapInPandas(sizes, "n long").agg(F.max("n"), F.sum("n")).first()[:] == (256, 6000)
+
+
 def test_files_of_one_directory_are_read_by_many_tasks(spark, tmp_path):
     for i in range(200):
         (tmp_path / f"m{i}.docx").write_bytes(b"%d" % i)

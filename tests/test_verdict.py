@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, folding
 from tidemark.operators import nearest, readers, verdict
-from tidemark.sources import registry
+from tidemark.sources import registry, shared
 
 EVIDENCE = "item_id long, element string, executed boolean, column_resolved boolean, region_found boolean, readable boolean, value string"
 
@@ -257,6 +257,14 @@ def test_a_failing_item_costs_one_more_process(monkeypatch):
     assert len(started) == 7
 
 
+def test_batches_of_contents_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
+    readers.read_elements(items, None, fixed.ELEMENTS)
+    assert int(spark.conf.get(key)) <= shared.CONTENT_ROWS
+
+
 def test_without_a_reader_all_goes_to_review(spark):
     items = spark.createDataFrame([(1, b"x", "k")], "item_id long, content binary, column_key string")
     targets = spark.createDataFrame([(1, "acme")], "item_id long, subject string")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bounded_batches
 from .verdict import assert_blind
 
 REGIONS = "array<struct<space:string,role:string,x:int,y:int,w:int,h:int>>"
@@ -145,6 +146,7 @@ def read_elements(items: DataFrame, reader: Reader | None, elements: tuple[str,
                         rows.append((item, element, reader is not None and error is None, isinstance(key, str), located, readable, value, f"reader:{element}", error))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READINGS.split(", ")])
 
+    bounded_batches(items.sparkSession)
     asked = items.select("item_id", "content", "column_key")
     return (asked if tasks is None else asked.repartition(tasks)).mapInPandas(run, READINGS)
 
@@ -163,6 +165,7 @@ def decompose(items: DataFrame, splitter: Callable[[bytes], list[tuple]]) -> Dat
                     rows.append((item, None, None, None, None, None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["item_id", "space", "role", "x", "y", "w", "h", "error"]).astype(dict.fromkeys("xywh", "Int32"))
 
+    bounded_batches(items.sparkSession)
     return items.select("item_id", "content").mapInPandas(run, "item_id long, space string, role string, x int, y int, w int, h int, error string")
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Paragraphs in one frame of a task, about.
 ROWS = 1000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -55,6 +57,7 @@ def compose(files: DataFrame, tasks: int | None = None) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"rel": pdf["rel"], "content": [composed(list(x)) for x in pdf["lines"]]})
 
+    bounded_batches(files.sparkSession)
     asked = files.select("rel", "lines")
     return (asked if tasks is None else asked.repartition(tasks)).mapInPandas(run, "rel string, content binary")
 
@@ -83,6 +86,7 @@ def manuscript_items(files: DataFrame) -> DataFrame:
             if rows:
                 yield frame(rows)
 
+    bounded_batches(files.sparkSession)
     return files.select("rel", "content").mapInPandas(run, "rel string, item_id long, text string, error string")
 
 
@@ -139,4 +143,5 @@ def export_files(files: DataFrame, root: str) -> DataFrame:
                 rows.append((rel, error))
             yield pd.DataFrame(rows, columns=["rel", "error"])
 
+    bounded_batches(files.sparkSession)
     return files.select("rel", "content", "fill").mapInPandas(run, "rel string, error string")

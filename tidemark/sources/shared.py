@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 #: Used only where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
+#: Rows with whole contents in one Arrow batch between the JVM and Python, at most.
+CONTENT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +29,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 def tasks_of(spark: SparkSession) -> int:
     """Tasks that keep all cores busy, however few files or directories the rows come from."""
     return 2 * spark.sparkContext.defaultParallelism
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """With Spark's default of 10,000 rows a batch of contents grows with the input, in both processes of every task, until it is full."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > CONTENT_ROWS:
+        spark.conf.set(key, str(CONTENT_ROWS))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import tasks_of
+from .shared import bounded_batches, tasks_of
 
 #: Directories that the driver opens, about, and names of directories that it holds, at most.
 DRIVER_DIRS = 256
@@ -122,6 +122,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                 part = pdf.iloc[at : at + 64]
                 yield part.assign(content=[_content(root, rel) for rel in part["rel"]])
 
+    bounded_batches(files.sparkSession)
     dealt = files.repartition(tasks_of(files.sparkSession), "rel")
     return dealt.mapInPandas(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
@@ -156,6 +157,7 @@ def write_tree(files: DataFrame, root: str) -> int:
                 os.replace(f"{path}.{os.getpid()}", path)
             yield pdf[["rel"]]
 
+    bounded_batches(files.sparkSession)
     return files.select("rel", "content").mapInPandas(write, "rel string").count()
 
 
